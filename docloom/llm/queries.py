@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language, packing, quality_rank, quality_rules, token_store
+from . import exact_dedup, jaccard_join, language, packing, quality_rank, quality_rules, suffix_dedup, token_store
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -40,6 +40,10 @@ def op7_token_store(spark, d):
     return token_store.read_all(store).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op8_suffix_dedup(spark, d):
+    return suffix_dedup.repeats(spark, table(spark, d, "documents")).select("doc_id", "start", "end", "first", "source_doc_id")
+
+
 def op9_jaccard_join(spark, d):
     join = jaccard_join.Join(width=3, num=90, den=100)
     return jaccard_join.link(spark, table(spark, d, "documents"), join).select("doc_id", "n_shingles", "component_id")
