@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, jaccard_join, language, packing, quality_rank, quality_rules, suffix_dedup, token_store
+from . import exact_dedup, jaccard_join, language, link_graph, packing, quality_rank, quality_rules, suffix_dedup, token_store, unigram
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,10 +23,18 @@ def op1_quality_rules(spark, d):
     return quality_rules.op1(table(spark, d, "documents"))
 
 
+def op2_link_graph(spark, d):
+    return link_graph.judge(spark, table(spark, d, "pages"))
+
+
 def op3_language_id(spark, d):
     return language.op3(spark, table(spark, d, "documents"))
 
 
+def op4_sentencepiece(spark, d):
+    return unigram.encode_documents(spark, table(spark, d, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op5_quality_rank(spark, d):
     return quality_rank.op5(spark, table(spark, d, "documents"), table(spark, d, "labels"))
 
