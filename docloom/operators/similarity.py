@@ -44,7 +44,7 @@ def knn(spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key:
                     continue
                 keys = b.column(0)
                 m = _unit(np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1))
-                d = np.round(1 - q @ m.T, 6)
+                d = np.round(1 - q @ m.T, 6) + 0.0  # no negative zeros
                 place = np.empty(b.num_rows, np.int64)
                 place[np.array(pa.compute.sort_indices(keys))] = np.arange(b.num_rows)
                 for i, row in enumerate(d):

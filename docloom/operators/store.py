@@ -84,5 +84,5 @@ def documents_of(rows: DataFrame) -> DataFrame:
 
 def embedding_sample(vector):
     """PRJ9: the first and last five numbers around a marker, as text."""
-    text = lambda a: F.transform(a, lambda x: F.format_number(x.cast("double"), "0.000000"))
+    text = lambda a: F.transform(a, lambda x: F.format_string("%.6f", x.cast("double")))
     return F.concat(text(F.slice(vector, 1, 5)), F.array(F.lit("...")), text(F.slice(vector, -5, 5)))
