@@ -35,18 +35,18 @@ class ExtendibleHash:
     """Directory of buckets addressed by the leading bits of a 64-bit key that follow `skip` bits.
 
     A bucket over `size` keys splits by one more bit, and the directory doubles when that bucket was as deep as
-    the directory. One key is one entry; entries of unequal texts under one key are its chain.
+    the directory. Keys that agree in `deepest` leading bits share a bucket however many they are. One key is one entry; entries of unequal texts under one key are its chain.
     """
 
-    def __init__(self, size: int = BUCKET):
-        self.size, self.depth = size, 0
+    def __init__(self, size: int = BUCKET, deepest: int = 24):
+        self.size, self.deepest, self.depth = size, deepest, 0
         self.directory: list[list] = [[0, {}]]
 
     def insert(self, key: int, chain: list) -> None:
         while True:
             bucket = self.directory[key >> (64 - self.depth) if self.depth else 0]
             bucket[1][key] = chain
-            if len(bucket[1]) <= self.size or bucket[0] >= 63:
+            if len(bucket[1]) <= self.size or bucket[0] >= self.deepest:
                 return
             del bucket[1][key]
             self._split(bucket)
