@@ -8,15 +8,15 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
    has no partner. Its own tokens are counted on a fixed share of the token space (2 (1 - t)): a lower
    bound, so leaving a class out is proven. Every map batch sends a token once: with its class, or
    as shared, so a token of a third of all documents costs one entry a batch.
-3. For the classes left, document frequencies are counted exactly and prefixes extended by one token: a pair then shares two tokens of
-   them. Rare tokens are indexed alone. Two frequent ones (over `frequent` classes) are indexed as a combination,
+3. Each class left is compared with one leader: the first class of the entry that it shares most often in a plain prefix
+   index. Components of the links found make most of a group of near copies one, and links inside a component needn't be found again.
+4. Tokens of one component only now count as its own. Document frequencies of the others are counted exactly and prefixes extended
+   by one token: a pair then shares two tokens of them. Rare tokens are indexed alone. Two frequent ones (over `frequent` classes) are indexed as a combination,
    in classes of up to `combine_up_to` tokens; in longer ones, whose combinations would be too many, frequent tokens are indexed alone as well
    (around the border both, so that the two kinds meet).
-4. Candidates are filtered by length and by the positions of the shared token. First each class is compared with one leader of an index
-   entry it shares most with; components of the links found make most of a group of near copies one. Then, in
-   entries that hold more than one component, classes outside the entry's first component are compared with all others of
-   other components: what remains to be found, since links inside a component add nothing.
-5. Candidates are verified on the whole sets.
+5. Candidates are filtered by length and by the positions of the shared token. In entries that hold more than one component, classes
+   outside the entry's first component are compared with all others of other components.
+6. Candidates are verified on the whole sets.
 
 Defined cases: texts with fewer words than a shingle are one shingle, the whole sequence; null texts and texts without words have an empty set,
 link with nothing and are their own component; rows that share a doc_id are separate rows (a component's id is the
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, groups, id_filter, materialise, mix, texts
+from .common import Batches, groups, id_filter, materialise, mix, rows_of, texts
 from .components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -135,8 +135,8 @@ def _sets(join: Join, parts: int):
     return run, "part int, doc_id long, row long, node binary, n int, ask binary"
 
 
-def _own_tokens(table: pa.Table) -> pa.Table:
-    """How many tokens of one part of the token space each class has to itself. Tokens equal in 32 further bits count as shared: never too many."""
+def _own_tokens(table: pa.Table, ways: int) -> pa.Table:
+    """Packed by `way`, the residue of the class: how many tokens of one part of the token space each class has to itself. Tokens equal in 32 further bits count as shared: never too many."""
     tok, tag = [], []
     for raw in table["ask"].to_pylist():
         n, u = (int(x) for x in np.frombuffer(raw, "<u4", 2))
@@ -149,6 +149,18 @@ def _own_tokens(table: pa.Table) -> pa.Table:
     at = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1]]))
     lo, hi = np.minimum.reduceat(tag, at), np.maximum.reduceat(tag, at)
     who, n = np.unique(lo[(lo == hi) & (lo != 0)], return_counts=True)
+    way = (who % np.uint64(ways)).astype(np.int32)
+    order = np.argsort(way, kind="stable")
+    who, n, way = who[order], n[order].astype("<u4"), way[order]
+    cut = np.searchsorted(way, np.arange(ways + 1))
+    full = [i for i in range(ways) if cut[i] < cut[i + 1]]
+    return pa.table({"way": pa.array(full, pa.int32()), "tags": pa.array([who[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), "own": pa.array([n[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())})
+
+
+def _sum_own(table: pa.Table) -> pa.Table:
+    """The packed counts of some classes, summed over all parts of the token space."""
+    who, at = np.unique(np.frombuffer(b"".join(table["tags"].to_pylist()), "<u8"), return_inverse=True)
+    n = np.bincount(at, np.frombuffer(b"".join(table["own"].to_pylist()), "<u4"), len(who))
     return pa.table({"tag": pa.array(who.view(np.int64)), "own": pa.array(n.astype(np.int64))})
 
 
@@ -221,8 +233,11 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
         .select("node", "n", "low", F.col("rep.row").alias("row"), F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
     )
     classes = materialise(spark, classes, "classes")
-    own = made.where("part IS NOT NULL").select("part", "ask").groupBy("part").applyInArrow(_own_tokens, "tag long, own long").groupBy("tag").agg(F.sum("own").alias("own"))
-    prefix = F.expr(f"n - ceil({join.num} * n / {join.den}D) + 1")
+    ways = groups(rows_of(spark, docs), 250_000)
+    counted = made.where("part IS NOT NULL").select("part", "ask").groupBy("part").applyInArrow(lambda t: _own_tokens(t, ways), "way int, tags binary, own binary")
+    own = counted.groupBy("way").applyInArrow(_sum_own, "tag long, own long")
+    prefix_sql = f"n - ceil({join.num} * n / {join.den}D) + 1"
+    prefix = F.expr(prefix_sql)
     live = classes.where(f"n * {join.den - join.num} >= {join.num}").join(own, "tag", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "row")
     live = materialise(spark, live, "live")
 
@@ -234,18 +249,21 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
 
     texts_of = id_filter(spark, src.select("row", "text"), live, "row").join(live, "row").select("node", "text", "row").dropDuplicates(["row"]).select("node", "text")
     sets = materialise(spark, texts_of.mapInArrow(whole, "node binary, n int, toks array<bigint>"), "live-sets")
-    flat = sets.select("node", "n", F.explode("toks").alias("tok"))
-    df = flat.groupBy("tok").agg(F.count("*").alias("df")).where("df > 1")
+    fits = f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"
+    # any order of tokens serves for the first comparison: the standard prefix by hash
+    quick = materialise(spark, sets.select("node", "n", F.explode(F.expr(f"slice(toks, 1, cast({prefix_sql} as int))")).alias("key")), "quick")
+    leader = quick.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
+    star = quick.join(leader, "key").where("node <> b").where(fits).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+    links = materialise(spark, _verify(join, star, sets), "star")
+    comp = materialise(spark, components(spark, links), "components")
+
+    named = sets.join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), "toks")
+    flat = materialise(spark, named.select("node", "n", "comp", F.explode("toks").alias("tok")), "tokens")
+    df = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "df")
     ordered = flat.join(df, "tok").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"))
     run, schema = _prefixes(join)
     index = materialise(spark, ordered.mapInArrow(run, schema), "index")
 
-    fits = f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"
-    leader = index.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
-    star = index.join(leader, "key").where("node <> b").where(fits).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = materialise(spark, _verify(join, star, sets), "star")
-    comp = components(spark, links)
-
     held = index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", F.coalesce("root", index.node).alias("comp"))
     held = materialise(spark, held, "held")
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
