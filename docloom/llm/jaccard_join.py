@@ -14,7 +14,8 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
    by one token: a pair then shares two tokens of them. Rare tokens are indexed alone. Two frequent ones (over `frequent` classes) are indexed as a combination,
    in classes of up to `combine_up_to` tokens; in longer ones, whose combinations would be too many, frequent tokens are indexed alone as well
    (around the border both, so that the two kinds meet).
-5. Candidates are filtered by length and by the positions of the shared token. In entries that hold more than one component, classes
+5. Candidates are filtered by length and by the positions of the shared token. A few rounds compare each class with one of another
+   component, so that groups which belong together merge before the last step. In entries that hold more than one component, classes
    outside the entry's first component are compared with all others of other components.
 6. Candidates are verified on the whole sets.
 
@@ -218,7 +219,7 @@ def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
+def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of doc_id and text), n_shingles, component_id, first (whether the row stands for its component)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -264,8 +265,23 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     run, schema = _prefixes(join)
     index = materialise(spark, ordered.mapInArrow(run, schema), "index")
 
-    held = index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", F.coalesce("root", index.node).alias("comp"))
-    held = materialise(spark, held, "held")
+    def with_component() -> DataFrame:
+        return index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", F.coalesce("root", index.node).alias("comp"))
+
+    for _ in range(rounds):  # each class with one of another component, again one pair a class: what links is merged before all are compared
+        held = materialise(spark, with_component(), "held")
+        one = F.struct("comp", "node", "n", "far")
+        ends = held.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.comp <> hi.comp")
+        other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi"))
+        met = held.join(ends, "key").select("node", "n", "far", other.alias("o")).select(F.col("node").alias("a"), "n", "far", F.col("o.node").alias("b"), F.col("o.n").alias("m"), F.col("o.far").alias("far2"))
+        met = met.where(F.expr(fits)).where("m <= far AND n <= far2").groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        new = materialise(spark, _verify(join, met, sets), "star")
+        if new.isEmpty():
+            break
+        links = links.union(new)
+        comp = materialise(spark, components(spark, links), "components")
+
+    held = materialise(spark, with_component(), "held")
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
     held = held.join(mixed, "key")
     x = held.where("comp <> lo").select("key", F.col("node").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
