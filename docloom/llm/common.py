@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,17 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def finished(spark: SparkSession, *tables: DataFrame) -> None:
+    """Free the disk of steps that nothing reads any more: these tables now, and shuffle files of plans that are gone.
+
+    Spark removes the latter when the JVM notices that nothing refers to them, which a quiet driver may not do for long.
+    """
+    for t in tables:
+        drop_table(spark, t)
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def open_out(uri: str):
     """A file in a shared folder, for executors: local paths and any store that pyarrow.fs knows."""
     from pyarrow import fs

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, groups, id_filter, materialise, mix, rows_of, texts
+from .common import Batches, drop_table, finished, groups, id_filter, materialise, mix, rows_of, texts
 from .components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -172,6 +172,7 @@ def _prefixes(join: Join):
         for b in batches:
             out: list[tuple] = []
             nodes, sizes, rest = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
+            copies = b.column(3).to_pylist()
             offs = rest.offsets.to_numpy()
             df, tok = (rest.values.field(i).to_numpy() for i in range(2))
             for k, (node, n) in enumerate(zip(nodes, sizes)):
@@ -183,18 +184,18 @@ def _prefixes(join: Join):
                 d, t = d[:room], t[:room]
                 rare = d <= join.frequent
                 alone = np.ones(len(d), bool) if n > join.combine_up_to else rare
-                out += [(int(t[i]), node, n, join.furthest(n, own + int(i))) for i in np.flatnonzero(alone)]
+                out += [(int(t[i]), node, n, join.furthest(n, own + int(i)), (own << 20) - copies[k]) for i in np.flatnonzero(alone)]
                 if join.num * n <= join.den * join.combine_up_to:
                     often = np.flatnonzero(~rare)
                     pairs = np.array(list(itertools.combinations(often, 2)), int).reshape(-1, 2)
                     keys = mix(mix(t.view(np.uint64)[pairs[:, 0]]) ^ (t.view(np.uint64)[pairs[:, 1]])).view(np.int64) if len(pairs) else []
-                    out += [(int(x), node, n, join.furthest(n, own + int(p[0]))) for x, p in zip(keys, pairs)]
+                    out += [(int(x), node, n, join.furthest(n, own + int(p[0])), (own << 20) - copies[k]) for x, p in zip(keys, pairs)]
             out = [o for o in out if join.den * o[3] >= join.num * o[2]]
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32())], names=["key", "node", "n", "far"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64())], names=["key", "node", "n", "far", "weight"])
 
-    return run, "key long, node binary, n int, far int"
+    return run, "key long, node binary, n int, far int, weight long"
 
 
 def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -219,19 +220,19 @@ def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 4) -> DataFrame:
+def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of doc_id and text), n_shingles, component_id, first (whether the row stands for its component)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = groups(size / 6 * join.share / 256, 1_500_000)
     run, schema = _sets(join, parts)
     made = materialise(spark, src.mapInArrow(run, schema), "sets")
-    meta = made.where("part IS NULL").select("doc_id", "row", "node", "n")
+    meta = materialise(spark, made.where("part IS NULL").select("doc_id", "row", "node", "n"), "rows")
     # the 8 bytes that tell classes apart in the counts, read as one number
     swap = "".join(f"substr(hex(node), {i}, 2), " for i in range(15, 0, -2)).rstrip(", ")
     classes = (
-        meta.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("rep"))
-        .select("node", "n", "low", F.col("rep.row").alias("row"), F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
+        meta.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("rep"))
+        .select("node", "n", "size", "low", F.col("rep.row").alias("row"), F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
     )
     classes = materialise(spark, classes, "classes")
     ways = groups(rows_of(spark, docs), 250_000)
@@ -239,49 +240,54 @@ def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 4) -> D
     own = counted.groupBy("way").applyInArrow(_sum_own, "tag long, own long")
     prefix_sql = f"n - ceil({join.num} * n / {join.den}D) + 1"
     prefix = F.expr(prefix_sql)
-    live = classes.where(f"n * {join.den - join.num} >= {join.num}").join(own, "tag", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "row")
+    live = classes.where(f"n * {join.den - join.num} >= {join.num}").join(own, "tag", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "row", F.coalesce("own", F.lit(0)).cast("long").alias("own"), F.least("size", F.lit((1 << 20) - 1)).alias("size"))
     live = materialise(spark, live, "live")
+    finished(spark, made)
 
     def whole(batches: Batches) -> Batches:
         for b in batches:
             if b.num_rows:
                 got = [shingle_set(t, join.width) for t in texts(b)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))], names=["node", "n", "toks"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2), b.column(3)], names=["node", "n", "toks", "own", "size"])
 
-    texts_of = id_filter(spark, src.select("row", "text"), live, "row").join(live, "row").select("node", "text", "row").dropDuplicates(["row"]).select("node", "text")
-    sets = materialise(spark, texts_of.mapInArrow(whole, "node binary, n int, toks array<bigint>"), "live-sets")
+    texts_of = id_filter(spark, src.select("row", "text"), live, "row").join(live, "row").dropDuplicates(["row"]).select("node", "text", "own", "size")
+    sets = materialise(spark, texts_of.mapInArrow(whole, "node binary, n int, toks array<bigint>, own long, size long"), "live-sets")
     fits = f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"
+    # the leader has fewest tokens of its own, then most copies: what near copies were made from, rather than one of them;
     # any order of tokens serves for the first comparison: the standard prefix by hash
-    quick = materialise(spark, sets.select("node", "n", F.explode(F.expr(f"slice(toks, 1, cast({prefix_sql} as int))")).alias("key")), "quick")
-    leader = quick.groupBy("key").agg(F.min(F.struct("node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
+    quick = materialise(spark, sets.select("node", "n", F.expr("own * 1048576 - size").alias("weight"), F.explode(F.expr(f"slice(toks, 1, cast({prefix_sql} as int))")).alias("key")), "quick")
+    leader = quick.groupBy("key").agg(F.min(F.struct("weight", "node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
     star = quick.join(leader, "key").where("node <> b").where(fits).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     links = materialise(spark, _verify(join, star, sets), "star")
     comp = materialise(spark, components(spark, links), "components")
 
-    named = sets.join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), "toks")
-    flat = materialise(spark, named.select("node", "n", "comp", F.explode("toks").alias("tok")), "tokens")
+    named = sets.join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), "size", "toks")
+    flat = materialise(spark, named.select("node", "n", "comp", "size", F.explode("toks").alias("tok")), "tokens")
     df = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "df")
-    ordered = flat.join(df, "tok").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"))
+    ordered = flat.join(df, "tok").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"), F.first("size").alias("size"))
     run, schema = _prefixes(join)
     index = materialise(spark, ordered.mapInArrow(run, schema), "index")
+    finished(spark, quick, flat)
 
     def with_component() -> DataFrame:
-        return index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", F.coalesce("root", index.node).alias("comp"))
+        return index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", "weight", F.coalesce("root", index.node).alias("comp"))
 
     for _ in range(rounds):  # each class with one of another component, again one pair a class: what links is merged before all are compared
         held = materialise(spark, with_component(), "held")
-        one = F.struct("comp", "node", "n", "far")
-        ends = held.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo.comp <> hi.comp")
+        one = lambda w: F.struct("comp", w.alias("w"), "node", "n", "far")
+        ends = held.groupBy("key").agg(F.min(one(F.col("weight"))).alias("lo"), F.max(one(-F.col("weight"))).alias("hi")).where("lo.comp <> hi.comp")
         other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi"))
         met = held.join(ends, "key").select("node", "n", "far", other.alias("o")).select(F.col("node").alias("a"), "n", "far", F.col("o.node").alias("b"), F.col("o.n").alias("m"), F.col("o.far").alias("far2"))
         met = met.where(F.expr(fits)).where("m <= far AND n <= far2").groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         new = materialise(spark, _verify(join, met, sets), "star")
+        drop_table(spark, held)
         if new.isEmpty():
             break
         links = links.union(new)
         comp = materialise(spark, components(spark, links), "components")
 
-    held = materialise(spark, with_component(), "held")
+    whole_index = materialise(spark, with_component(), "held")
+    held = whole_index
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
     held = held.join(mixed, "key")
     x = held.where("comp <> lo").select("key", F.col("node").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
@@ -290,6 +296,7 @@ def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 4) -> D
     rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _verify(join, rest, sets)
     comp = components(spark, links.union(more), "all-links")
+    finished(spark, whole_index, index, sets, live)
     low = classes.select("node", "low", "row").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     order = F.struct(F.col("low").isNull().alias("x"), F.col("low").alias("low"), F.col("row").alias("row"))
     best = low.groupBy("root").agg(F.min(order).alias("best"))

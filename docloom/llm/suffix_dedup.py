@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, groups, id_filter, materialise, mix, texts
+from .common import Batches, finished, groups, id_filter, materialise, mix, texts
 from .jaccard_join import word_hashes
 
 _B = 0x9E3779B97F4A7C15
@@ -149,11 +149,13 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
     parts = groups(total, 400_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ("lead", "row", "p")
     near = materialise(spark, made.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema + ", twin boolean, edge boolean"), "twins")
+    finished(spark, made)
     # leading words on both sides of a border between partitions: two rows a partition at most
     edges = near.where("edge").groupBy("lead").agg(F.countDistinct("row", "p").alias("c")).where("c > 1").select("lead")
     twins = near.where("twin").unionByName(near.where("edge AND NOT twin").join(edges, "lead").select(near.columns)).drop("twin", "edge")
     twins = twins.distinct()  # repeated rows
     twins = materialise(spark, twins, "candidates")
+    finished(spark, near)
 
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "p")
     kinds = twins.groupBy("lead", "whole", "back", "n").agg(F.count("*").alias("c"), F.min(place).alias("at"))
