@@ -14,8 +14,8 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
    by one token: a pair then shares two tokens of them. Rare tokens are indexed alone. Two frequent ones (over `frequent` classes) are indexed as a combination,
    in classes of up to `combine_up_to` tokens; in longer ones, whose combinations would be too many, frequent tokens are indexed alone as well
    (around the border both, so that the two kinds meet).
-5. Candidates are filtered by length and by the positions of the shared token. A few rounds compare each class with one of another
-   component, so that groups which belong together merge before the last step. In entries that hold more than one component, classes
+5. Candidates are filtered by length and by the positions of the shared token. Up to `rounds` times (none by default) each class is
+   compared with one of another component, so that groups which belong together merge before the last step. In entries that hold more than one component, classes
    outside the entry's first component are compared with all others of other components.
 6. Candidates are verified on the whole sets.
 
@@ -220,7 +220,7 @@ def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary")
 
 
-def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 3) -> DataFrame:
+def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of doc_id and text), n_shingles, component_id, first (whether the row stands for its component)."""
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
