@@ -47,7 +47,7 @@ class WordEncoder:
 
     def _word(self, w: str) -> bytes:
         """A lower-case word of letters is one word of the vocabulary's pattern; anything else goes through the whole library."""
-        if w.isascii() and w.isalpha():
+        if w.isascii() and w.isalpha() and w.islower():
             return np.array([x.id for x in self.lib.model.tokenize(w)], "<u2").tobytes()
         if w.isalpha() and self.lib.normalizer.normalize_str(w) == w:
             return np.array([x.id for x in self.lib.model.tokenize("".join(map(self.letters.__getitem__, w.encode())))], "<u2").tobytes()

@@ -305,6 +305,12 @@ def test_subwords_are_the_librarys(sf):
         assert [x.tolist() for x in load(vocabulary(name)).encode(texts)] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_capitals_beside_context_dependent_letters():
+    texts = ["Hello World Σ", "Cafe\u0301 Hello, WORLD. Plain", "İ Hello World's", "ΑΣ Hello\nWorld x", "A\u030a I A."]
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    assert [x.tolist() for x in load(vocabulary("word_bpe_49k.json")).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 # -- 7: token store ---------------------------------------------------------------------
 
 
