@@ -7,8 +7,12 @@ Where no rule fits, the host decides. Host edges are the absolute links of all p
 one weighted edge per pair of hosts. A host's trust seed is the share of its pages that an allow rule names, its distrust seed the share
 that a block rule names. Trust is personalised PageRank from the trust seeds along the edges, distrust the same from the
 distrust seeds along the reversed edges, so that a host that links to blocked ones inherits distrust; mass of hosts without
-a further edge stays where it is. A host is blocked if its distrust exceeds its trust by more than `threshold`. The rounds are joins on hosts with sums
-combined on the map side, cut by tables in the shared folder, and end early when nothing moves.
+a further edge stays where it is. Both conserve mass, so a score's scale depends on how many hosts share it; they are reported, and verdicts go by
+two figures from 0 to 1 that don't: a host's bad figure is its distrust seed, or if larger the damped mean of the bad figures of the hosts its links lead to
+(a mean by number of links); its good figure is its trust seed, or if larger the damped mean of the good figures of the hosts that link to it. A host is
+blocked if its bad figure exceeds its good one by more than `threshold`, or its distrust seed its trust seed: links to a host don't clear it of
+what rules say of its own pages. The rounds are joins on hosts with sums combined on the map side, cut by tables in the shared folder. Those of trust and
+distrust end early when nothing moves; the figures have as many as it takes until nothing moves.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, take part in no edge, and are allowed unless a rule without host
 and path is given; null html has no links; repeated rows are judged alike and count as pages; an empty table gives an empty result; other
@@ -106,14 +110,39 @@ def propagate(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping:
     return state.select("host", "trust", "distrust")
 
 
+def figures(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: float = 0.85, least: float = 1e-6) -> DataFrame:
+    """(host, good, bad, s, b) from hosts (host, trust_seed, distrust_seed) and edges (src, dst, w); s and b are the seeds. A round shrinks what moves by `damping` at least."""
+    if not 0 <= damping < 1:
+        raise ValueError("damping isn't in [0, 1)")
+    total = edges.groupBy("src").agg(F.sum("w").alias("t"))
+    ahead = materialise(spark, edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "edges-ahead")
+    total = edges.groupBy("dst").agg(F.sum("w").alias("t"))
+    behind = materialise(spark, edges.join(total, "dst").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "edges-behind")
+    ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
+    base = hosts.join(ends, "host", "full").select("host", F.coalesce("trust_seed", F.lit(0.0)).alias("s"), F.coalesce("distrust_seed", F.lit(0.0)).alias("b"))
+    state = materialise(spark, base.select("*", F.col("s").alias("good"), F.col("b").alias("bad")), "figures")
+    moved = 1.0
+    while moved >= least:
+        g_in = behind.join(state.where("good > 0").select(F.col("host").alias("src"), "good"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * good")).alias("g_in"))
+        b_in = ahead.join(state.where("bad > 0").select(F.col("host").alias("dst"), "bad"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * bad")).alias("b_in"))
+        # greatest passes nulls over; rounded as in propagate
+        good, bad = F.round(F.greatest("s", damping * F.col("g_in")), 10), F.round(F.greatest("b", damping * F.col("b_in")), 10)
+        step = state.join(g_in, "host", "left").join(b_in, "host", "left")
+        new = materialise(spark, step.select("host", "s", "b", good.alias("good"), bad.alias("bad"), F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("moved")), "figures")
+        moved = new.agg(F.max("moved")).first()[0] or 0.0
+        state = new.drop("moved")
+    return state
+
+
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float = 0.6, damping: float = 0.85, rounds: int = 12) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, trust, distrust."""
     host, path = host_and_path()
     located = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).fillna("", ["host", "path"])
     ruled = apply_rules(spark, located, rules)
     seeds = ruled.where("host <> ''").groupBy("host").agg((F.count_if(F.col("rule_allow")) / F.count("*")).alias("trust_seed"), (F.count_if(~F.col("rule_allow")) / F.count("*")).alias("distrust_seed"))
-    ranks = propagate(spark, seeds, materialise(spark, host_edges(pages), "host-edges"), damping, rounds)
-    by_host = ranks.select("host", "trust", "distrust", (F.col("distrust") - F.col("trust") > threshold).alias("__bad"))
+    edges = materialise(spark, host_edges(pages), "host-edges")
+    bad = F.greatest(F.col("b") - F.col("s"), F.col("bad") - F.col("good")) > threshold
+    by_host = propagate(spark, seeds, edges, damping, rounds).join(figures(spark, seeds, edges, damping).select("host", bad.alias("__bad")), "host")
     word = lambda ok: F.when(ok, "allow").otherwise("block")
     joined = ruled.join(by_host, "host", "left")
     verdict = F.when(F.col("rule").isNotNull(), word(F.col("rule_allow"))).otherwise(word(~F.coalesce("__bad", F.lit(False))))

@@ -123,6 +123,18 @@ def test_link_graph(spark):
     assert a == b
 
 
+def test_link_graph_verdicts_are_scale_free(spark):
+    link = lambda h: f"<a href='http://{h}/'>"
+    pages = [("b.test/x/1", ""), *((f"l{i}.test/", link("b.test")) for i in range(5)), ("m.test/", link("b.test") + 3 * link("clear.test")), ("chain.test/", link("l0.test"))]
+    pages += [("part.test/x/1", "")] * 9 + [("part.test/y", ""), ("fan.test/", link("part.test") + link("clear.test")), ("good.test/z/", link("own.test")), ("own.test/x/1", ""), ("clear.test/", "")]
+    pages += [("own.test/x/2", ""), ("own.test/x/3", ""), ("own.test/y", "")]
+    rules = [link_graph.Rule(f"{h}.test/x", False) for h in ("b", "part", "own")] + [link_graph.Rule("good.test/z", True)]
+    df = spark.createDataFrame([(i, "http://" + u, h) for i, (u, h) in enumerate(pages)], "page_id bigint, url string, html string")
+    got = {r.host: r.verdict for r in link_graph.judge(spark, df, rules).collect() if not r.rule}
+    blocked = {f"l{i}.test" for i in range(5)} | {"chain.test", "part.test", "own.test"}  # own.test: 3 of 4 pages are blocked, and a trusted host links to it
+    assert got == {h: "block" if h in blocked else "allow" for h in got} and blocked | {"m.test", "fan.test", "clear.test"} == set(got)
+
+
 # -- 3: language -----------------------------------------------------------------
 
 
