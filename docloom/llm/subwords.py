@@ -4,7 +4,8 @@ Byte-level BPE files (the library's pattern, no normalizer) are merged by tiktok
 vocabulary: the same ids, several times faster. Files that drop white space and end words with a suffix are encoded by the
 tokenizers library itself, one space-delimited piece at a time with a bounded memo: no word of such a vocabulary
 crosses white space, so a text's ids are its pieces' ids in order. Tests compare both with the library's encoding
-of whole texts. Strings of special tokens inside a text are ordinary text.
+of whole texts. A text that holds a string of the file's added tokens is split at it, as the library does by default: such texts go through the library
+whole (`encoder`, for the operators). `load` alone takes these strings as ordinary text, unless asked for `added`.
 """
 
 from __future__ import annotations
@@ -27,6 +28,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(shown))}
 
 
+class Added:
+    """Texts that hold a string of the file's added tokens go through the library with its default settings, the others through `plain`."""
+
+    def __init__(self, path: str, spec: dict, plain: ByteLevelEncoder | WordEncoder):
+        if any(a["normalized"] for a in spec["added_tokens"]):
+            raise ValueError("added tokens that are looked for in normalised text")
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.path, self.plain, self.lib = path, plain, None
+        self.marks = [a["content"] for a in spec["added_tokens"]]
+
+    def _whole(self, t: str) -> np.ndarray:
+        if self.lib is None:
+            self.lib = Tokenizer.from_file(self.path)
+        return np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u2")
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        held = [any(m in t for m in self.marks) for t in texts]
+        rest = iter(self.plain.encode([t for t, h in zip(texts, held) if not h]))
+        return [self._whole(t) if h else next(rest) for t, h in zip(texts, held)]
+
+
 class ByteLevelEncoder:
     def __init__(self, spec: dict):
         back = {c: b for b, c in byte_letters().items()}
@@ -86,11 +108,15 @@ class WordEncoder:
         return out
 
 
-def load(path: str) -> ByteLevelEncoder | WordEncoder:
+def load(path: str, added: bool = False) -> ByteLevelEncoder | WordEncoder | Added:
+    """The encoder of a file; with `added`, ids are those of the unmodified library also where texts hold its added tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    if max(spec["model"]["vocab"].values()) >= 1 << 16:
+    if max([*spec["model"]["vocab"].values(), *(a["id"] for a in spec["added_tokens"])]) >= 1 << 16:
         raise ValueError("more ids than 16 bits hold")
+    if added:
+        plain = load(path)
+        return Added(path, spec, plain) if spec["added_tokens"] else plain
     pre = spec["pre_tokenizer"]
     if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None:
         return ByteLevelEncoder(spec)
@@ -100,11 +126,11 @@ def load(path: str) -> ByteLevelEncoder | WordEncoder:
     raise ValueError("a vocabulary of neither kind")
 
 
-_have: dict[str, ByteLevelEncoder | WordEncoder] = {}
+_have: dict[str, ByteLevelEncoder | WordEncoder | Added] = {}
 
 
-def encoder(path: str) -> ByteLevelEncoder | WordEncoder:
+def encoder(path: str) -> ByteLevelEncoder | WordEncoder | Added:
     """One encoder for each worker process."""
     if path not in _have:
-        _have[path] = load(path)
+        _have[path] = load(path, added=True)
     return _have[path]

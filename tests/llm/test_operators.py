@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from docloom.llm import exact_dedup, jaccard_join, language, link_graph, packing, quality_rank, quality_rules, suffix_dedup, token_store, unigram
 from docloom.llm.queries import vocabulary
-from docloom.llm.subwords import load
+from docloom.llm.subwords import encoder, load
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -323,6 +323,17 @@ def test_capitals_beside_context_dependent_letters():
     assert [x.tolist() for x in load(vocabulary("word_bpe_49k.json")).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_added_tokens_are_the_librarys(spark):
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "Hello<|endoftext|><|startoftext|>World", "plain", "", "<|endoftext |> Σ Hello <|startoftext|> Cafe\u0301, A.", "<|ENDOFTEXT|> a"]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        lib = Tokenizer.from_file(vocabulary(name))
+        assert [x.tolist() for x in encoder(vocabulary(name)).encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for name, end, got in (("byte_bpe_50k.json", 1, packing.pack(spark, df, vocabulary("byte_bpe_50k.json"))), ("word_bpe_49k.json", 2, token_store.read_all(token_store.write(spark, df, vocabulary("word_bpe_49k.json"))))):
+        lib = Tokenizer.from_file(vocabulary(name))
+        assert {r.doc_id: r.ids_crc32 for r in got.collect()} == {i: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, end], "<u4")) for i, t in enumerate(texts)}
+
+
 # -- 7: token store ---------------------------------------------------------------------
 
 
