@@ -274,7 +274,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, per_owner: int = 50_000) -
     `row` tells apart rows that share a doc_id: a hash of the id and the original text. Rows that agree in both are
     told apart by nothing; `kept` then holds for each of them (`kept_documents` keeps one).
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("row"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     total = rows_of(spark, docs)
     owners = groups(total, per_owner)
     root = scratch(spark, "exact")

@@ -222,7 +222,7 @@ def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 0) -> DataFrame:
     """One row per row of docs: doc_id, row (hash of doc_id and text), n_shingles, component_id, first (whether the row stands for its component)."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = groups(size / 6 * join.share / 256, 1_500_000)
     run, schema = _sets(join, parts)

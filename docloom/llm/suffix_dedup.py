@@ -142,7 +142,7 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
     `first` passages are first occurrences; the others repeat something that stands earlier, at its beginning in source_doc_id.
     """
     shape = shape or Shape()
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
     run, schema = _anchors(shape)
     made = materialise(spark, src.mapInArrow(run, schema), "anchors")
     total = made.count()

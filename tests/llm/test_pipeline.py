@@ -40,5 +40,13 @@ def test_stages_take_hard_tables(spark, docs, empty, sf):
             assert out.count() >= 0 and (name == "packing" or out.columns == own.columns)
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.exact_copies, corpus_pipeline.repeated_passages, corpus_pipeline.near_copies])
+def test_stages_take_narrow_ids(spark, docs, stage):
+    wide = docs.select("doc_id", "text", "lang", "source", "n_chars").where("doc_id < 24").coalesce(1)
+    narrow = wide.withColumn("doc_id", F.col("doc_id").cast("int"))
+    a, b = (sorted(str((r.doc_id, r.text)) for r in stage(spark, d, None).collect()) for d in (wide, narrow))
+    assert a == b and a
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
