@@ -8,7 +8,8 @@ did not see, and so is the score under which a prediction is rejected: the `reje
 As the model is linear after the mean, embedding and output layer fold into one table (bucket, language) for prediction:
 one gather and one sum a text, over the whole text in pieces of bounded size.
 
-The fit uses a bounded sample: at most `max_rows` labelled rows (4,000), the languages alike, chosen by a hash of doc_id.
+Every lang value is learned. The fit uses a bounded sample: for each language about `per_lang` labelled rows (200), or its even share of `max_rows` (4,000) if
+that is more, chosen by a hash of doc_id; so sample and model grow with the number of languages, not of rows.
 Defined cases: null texts and texts without a letter are `und` with score 0; null langs are not learned from; with no labelled row
 everything is `und`; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
 """
@@ -150,15 +151,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
-def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None) -> LanguageModel:
-    """Learn from rows with a lang that satisfy `where`; max_rows bounds what reaches the driver (bags of at most BUCKETS counts)."""
+def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None, per_lang: int = 200) -> LanguageModel:
+    """Learn from rows with a lang that satisfy `where`; max_rows, or per_lang rows a language if more, bound what reaches the driver (bags of at most BUCKETS counts)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
     own = own.where(where) if where is not None else own
-    n = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
-    each = max_rows // max(1, len(n))
-    keep = F.lit(False)
-    for lang, k in n.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < int(min(1.0, each / k) * (1 << 24))))
+    n = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(per_lang, max_rows // max(1, len(n)))
+    most = max(max_rows, each * len(n))
+    upto = spark.createDataFrame([(lang, int(min(1.0, each / k) * (1 << 24))) for lang, k in n.items()], "lang string, upto long")
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -166,7 +166,8 @@ def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None)
                 got = [bag(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0].astype("<u2").tobytes() for g in got]), pa.array([g[1].astype("<u4").tobytes() for g in got])], names=["lang", "at", "c"])
 
-    rows = own.where(keep).select("text", "lang").limit(max_rows + max_rows // 4).mapInArrow(run, "lang string, at binary, c binary").collect()
+    kept = own.join(F.broadcast(upto), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < F.col("upto"))
+    rows = kept.select("text", "lang").limit(most + most // 4).mapInArrow(run, "lang string, at binary, c binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.at, r.c))
     langs = sorted({r.lang for r in rows})
     bags = [(np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["c"], "<u4").astype(float)) for r in rows]

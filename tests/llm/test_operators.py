@@ -151,6 +151,11 @@ def test_language(spark, empty, docs, sf):
     assert {r.lang_pred for r in got.values()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    df = spark.range(1302).selectExpr("id AS doc_id", "concat('word ', id) AS text", "concat('l', if(id < 1300, id % 650, 650 + id % 2)) AS lang")
+    assert len(language.fit(spark, df).langs) == 652
+
+
 def test_language_pieces():
     t = "Wörter über alles " * 40000
     assert len(t) > 2 * language.PIECE
