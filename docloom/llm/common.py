@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
 import os
 import tempfile
 import uuid
@@ -38,10 +38,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/docloom/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
+#: Spark removes the shuffle files of an execution when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def _set(spark: SparkSession, **conf: str):
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def materialise(spark: SparkSession, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Cut lineage: write df as a table in the shared folder and read it back. `batch` is the most rows in an Arrow batch, where rows are large."""
+    return write_table(spark, df, scratch(spark, name), batch)
+
+
+def write_table(spark: SparkSession, df: DataFrame, path: str, batch: int | None = None) -> DataFrame:
+    rows = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {}
+    with _set(spark, **{CLEANUP: "true"}, **rows):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,14 +75,32 @@ def drop_table(spark: SparkSession, df: DataFrame) -> None:
 
 
 def finished(spark: SparkSession, *tables: DataFrame) -> None:
-    """Free the disk of steps that nothing reads any more: these tables now, and shuffle files of plans that are gone.
-
-    Spark removes the latter when the JVM notices that nothing refers to them, which a quiet driver may not do for long.
-    """
+    """Free the disk of tables that nothing reads any more."""
     for t in tables:
         drop_table(spark, t)
-    gc.collect()
-    spark._jvm.System.gc()
+
+
+#: Stands for a null doc_id where rows are told apart.
+NO_ID = -0x7FFFFFFFFFFFFFF3
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id (long), text, and what tells rows apart: `row`, a hash of both, and `who`, the doc_id or NO_ID. Two rows agree in row and who only if they
+    share a doc_id and a 64-bit hash, so rows of distinct doc_ids are never taken for one another."""
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return src.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("who"))
+
+
+def packed_rows(docs: DataFrame) -> DataFrame:
+    """All columns of docs as one struct `d` beside `row` and `who` (see `identified`): no name of a user's column can clash."""
+    who = F.col("doc_id").cast("long")
+    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("d"), F.xxhash64(who, "text").alias("row"), F.coalesce(who, F.lit(NO_ID)).alias("who"))
+
+
+def rows_in(docs: DataFrame, stay: DataFrame) -> DataFrame:
+    """The rows of docs whose (row, who) is in stay, repeated rows once, all columns as they were."""
+    once = packed_rows(docs).join(stay.select("row", "who").distinct(), ["row", "who"]).dropDuplicates(["row", "who"])
+    return once.select("d.*")
 
 
 def open_out(uri: str):
@@ -100,6 +139,16 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [b or b"" for b in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
+def lean(run):
+    """run, giving back at the end of a partition what the Arrow pool holds for reuse."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return wrapped
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     with np.errstate(over="ignore"):
@@ -108,12 +157,13 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(31))
 
 
-def id_filter(spark: SparkSession, df: DataFrame, ids: DataFrame, key: str, bits: int = 1 << 24) -> DataFrame:
+def id_filter(spark: SparkSession, df: DataFrame, ids: DataFrame, key: str, most: int = 1 << 26) -> DataFrame:
     """Drop rows of df whose key surely isn't in ids, before a join shuffles them.
 
-    One bit per hash slot, gathered by bitwise aggregation: at most bits/63 longs reach the
+    About 16 bits per id, `most` bits (8 MB) at most, gathered by bitwise aggregation: at most most/63 longs reach the
     driver whatever the input; a full filter only prunes less, the join after it stays exact.
     """
+    bits = min(most, 1 << max(12, (16 * rows_of(spark, ids)).bit_length()))
     from pyspark.sql.functions import pandas_udf
 
     slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
@@ -144,4 +194,29 @@ def groups(total: float, per: float, least: int = 1) -> int:
     return max(least, int(-(-total // per)))
 
 
+class Memo(dict):
+    """What pieces of text become, bounded in bytes: `room` empties it when too much is held. Pieces over `longest` characters shouldn't stay."""
+
+    longest = 256
+
+    def __init__(self, most: int = 64 << 20):
+        self.most, self.held = most, 0
+
+    def put(self, piece: str, ids: bytes) -> bytes:
+        self.held += 4 * len(piece) + len(ids) + 200
+        self[piece] = ids
+        return ids
+
+    def room(self) -> None:
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+
+    def drop_long(self, pieces) -> None:
+        """Take out long pieces once they are used."""
+        for w in pieces:
+            if len(w) > self.longest and w in self:
+                self.held -= 4 * len(w) + len(self.pop(w)) + 200
+
+
 Batches = Iterator[pa.RecordBatch]

@@ -6,23 +6,23 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
 2. Tokens (shingles) are ordered rarest first, those in one class only coming before all others. A pair
    at the threshold t shares a token among the first n - ceil(t n) + 1 of either set, so a class with that many tokens of its own
    has no partner. Its own tokens are counted on a fixed share of the token space (2 (1 - t)): a lower
-   bound, so leaving a class out is proven. Every map batch sends a token once: with its class, or
+   bound, so leaving a class out is proven. For the classes left it is then counted on all tokens. Every map batch sends a token once: with its class, or
    as shared, so a token of a third of all documents costs one entry a batch.
-3. Each class left is compared with one leader: the first class of the entry that it shares most often in a plain prefix
-   index. Components of the links found make most of a group of near copies one, and links inside a component needn't be found again.
-4. Tokens of one component only now count as its own. Document frequencies of the others are counted exactly and prefixes extended
-   by one token: a pair then shares two tokens of them. Rare tokens are indexed alone. Two frequent ones (over `frequent` classes) are indexed as a combination,
-   in classes of up to `combine_up_to` tokens; in longer ones, whose combinations would be too many, frequent tokens are indexed alone as well
-   (around the border both, so that the two kinds meet).
-5. Candidates are filtered by length and by the positions of the shared token. Up to `rounds` times (none by default) each class is
-   compared with one of another component, so that groups which belong together merge before the last step. In entries that hold more than one component, classes
-   outside the entry's first component are compared with all others of other components.
+3. Merging by sketches: each class left is compared with one leader, that of the entry it shares most often among the `sketch` least hashes of its
+   prefix; first the most central class of an entry, in further rounds a random one of another component, until few comparisons link.
+   Components make most of a group of near copies one, and links inside a component needn't be found again.
+4. Tokens of one component only now count as its own. Document frequencies of the others are counted exactly, and prefixes are extended by
+   B tokens: a pair then shares B + 1 of them. Rare tokens (up to `frequent` classes) are indexed alone. If a pair shares no rare one, two of its B + 1 frequent
+   ones fall into the same of B groups of tokens, so combinations of two frequent tokens are indexed within groups. B is a power of two in step with the prefix, so
+   long sets have few combinations as well; sets near a border between two values of B are indexed under both.
+5. Entries that hold more than one component are merged like the sketches, in rounds of one comparison a class. In those
+   that still do, classes outside the entry's first component are compared with all others of other components, filtered by length and by the positions of the shared tokens.
 6. Candidates are verified on the whole sets.
 
 Defined cases: texts with fewer words than a shingle are one shingle, the whole sequence; null texts and texts without words have an empty set,
-link with nothing and are their own component; rows that share a doc_id are separate rows (a component's id is the
-smallest doc_id in it, null only if it has no other); an empty table gives an empty result; other columns are
-ignored, whatever their names.
+link with nothing and are their own component; very long texts have long sets, held whole one at a time; rows that share a doc_id are separate rows (a component's id is the
+smallest doc_id in it, null only if it has no other); repeated rows are one class; ties between equal documents go by doc_id, then by a hash of the
+row; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,20 +32,24 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, drop_table, finished, groups, id_filter, materialise, mix, rows_of, texts
+from .common import Batches, drop_table, finished, groups, id_filter, identified, lean, materialise, mix, rows_in, rows_of, texts
 from .components import components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+#: Rows of whole sets in an Arrow batch.
+ROWS = 2000
+
+
 class _Hashes(dict):
     """The 64-bit hash of each word; emptied when large."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[w] = xxhash.xxh3_64_intdigest(w)
         return h
@@ -80,8 +84,8 @@ def _ceil(a: int, b: int) -> int:
 class Join:
     """Parameters of one join and the bounds that follow from them."""
 
-    def __init__(self, width: int = 5, num: int = 80, den: int = 100, frequent: int = 64, combine_up_to: int = 400):
-        self.width, self.num, self.den, self.frequent, self.combine_up_to = width, num, den, frequent, combine_up_to
+    def __init__(self, width: int = 5, num: int = 80, den: int = 100, frequent: int = 64, sketch: int = 16):
+        self.width, self.num, self.den, self.frequent, self.sketch = width, num, den, frequent, sketch
         self.share = min(256, 512 * (den - num) // den + 1)  # of 256: the part of the token space on which own tokens are counted
 
     def prefix(self, n: int) -> int:
@@ -91,10 +95,44 @@ class Join:
         """The largest partner that a class of n tokens can have when the first token they share is at pos."""
         return min(((self.den + self.num) * (n - pos) - self.num * n) // self.num, self.den * n // self.num)
 
+    def spread(self, n: int) -> int:
+        """The number B of token groups for sets of n tokens: about a quarter of the prefix, and less than linked sets share."""
+        return 1 << max(0, min(self.prefix(n) // 4, _ceil(self.num * n, self.den) - 1).bit_length() - 1)
+
+    def spreads(self, n: int) -> list[int]:
+        """Every B that n or a partner of n may have."""
+        low, high = self.spread(max(1, _ceil(self.num * n, self.den))), self.spread(self.den * n // self.num)
+        return [1 << i for i in range(low.bit_length() - 1, high.bit_length())]
+
+
+def _asks(own: list[np.ndarray], tags: np.ndarray, parts: int) -> pa.RecordBatch:
+    """The tokens of some classes, packed by part of the token space: each token once, with the place of its class's tag in a list, or 0 if several have it."""
+    tok = np.concatenate(own)
+    tag = np.repeat(tags, [len(x) for x in own])
+    order = np.argsort(tok)
+    tok, tag = tok[order], tag[order]
+    first = np.concatenate([[True], tok[1:] != tok[:-1]])
+    count = np.diff(np.append(np.flatnonzero(first), len(tok)))
+    tok, tag = tok[first], np.where(count > 1, np.uint64(0), tag[first])
+    part = ((tok >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    full, asks = [], []
+    for k, (i, j) in enumerate(zip(cut, cut[1:])):
+        if i < j:
+            u, at = np.unique(tag[i:j], return_inverse=True)
+            low = ((tok[i:j] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            full.append(k)
+            asks.append(np.array([j - i, len(u)], "<u4").tobytes() + u.tobytes() + low.tobytes() + at.astype("<u2" if len(u) < 65536 else "<u4").tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(asks, pa.binary())], names=["part", "ask"])
+
 
 def _sets(join: Join, parts: int):
     """Rows of two kinds: the class and set size of each document, and what a batch asks of each part of the token space."""
-    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("ask", pa.binary())])
+    kinds = [("part", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("who", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("ask", pa.binary())]
+    schema = pa.schema(kinds)
+
+    def rows(many: int, /, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns[k] if k in columns else pa.nulls(many, t) for k, t in kinds], schema=schema)
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -111,29 +149,36 @@ def _sets(join: Join, parts: int):
                     seen.add(node)
                     own.append(s[(s & np.uint64(255)) < join.share])
                     tags.append(np.frombuffer(node, "<u8", 1)[0])
-            m = len(nodes)
-            none = pa.nulls(m, pa.int32())
-            yield pa.RecordBatch.from_arrays([none, b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("row")), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
-            if not own:
+            ids = {c: b.column(b.schema.get_field_index(c)) for c in ("doc_id", "row", "who")}
+            yield rows(len(nodes), **ids, node=pa.array(nodes, pa.binary()), n=pa.array(sizes, pa.int32()))
+            if own:
+                a = _asks(own, np.array(tags, np.uint64), parts)
+                yield rows(a.num_rows, part=a.column(0), ask=a.column(1))
+
+    return run, "part int, doc_id long, row long, who long, node binary, n int, ask binary"
+
+
+def _all_asks(parts: int):
+    """What whole sets (id, toks) ask; tags are id + 1."""
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            tok = np.concatenate(own)
-            tag = np.repeat(np.array(tags, np.uint64), [len(x) for x in own])
-            order = np.argsort(tok)
-            tok, tag = tok[order], tag[order]
-            first = np.concatenate([[True], tok[1:] != tok[:-1]])
-            count = np.diff(np.append(np.flatnonzero(first), len(tok)))
-            tok, tag = tok[first], np.where(count > 1, np.uint64(0), tag[first])
-            part = ((tok >> np.uint64(48)) * np.uint64(parts) >> np.uint64(16)).astype(np.int32)
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            asks = []
-            for i, j in zip(cut, cut[1:]):
-                u, at = np.unique(tag[i:j], return_inverse=True)
-                asks.append(np.array([j - i, len(u)], "<u4").tobytes() + u.tobytes() + ((tok[i:j] >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() + at.astype("<u2" if len(u) < 65536 else "<u4").tobytes())
-            k = [i for i in range(parts) if cut[i] < cut[i + 1]]
-            gone = pa.nulls(len(k), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), gone, gone, pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.int32()), pa.array([asks[i] for i in k], pa.binary())], schema=schema)
-
-    return run, "part int, doc_id long, row long, node binary, n int, ask binary"
+            offs, v = b.column(1).offsets.to_numpy(), b.column(1).values.to_numpy().view(np.uint64)
+            tags = b.column(0).to_numpy().astype(np.uint64) + np.uint64(1)
+            # a million tokens at a time, and whole sets
+            cuts = np.unique(np.searchsorted(offs, np.append(np.arange(offs[0], offs[-1], 1_000_000), offs[-1])))
+            for x, y in zip(cuts, cuts[1:]):
+                yield _asks([v[i:j] for i, j in zip(offs[x:y], offs[x + 1 : y + 1])], tags[x:y], parts)
+
+    return run, "part int, ask binary"
+
+
+def _count_own(asks: DataFrame, ways: int) -> DataFrame:
+    """(tag, own): how many of the asked tokens each class has to itself."""
+    counted = asks.groupBy("part").applyInArrow(lambda t: _own_tokens(t, ways), "way int, tags binary, own binary")
+    return counted.groupBy("way").applyInArrow(_sum_own, "tag long, own long")
 
 
 def _own_tokens(table: pa.Table, ways: int) -> pa.Table:
@@ -165,40 +210,50 @@ def _sum_own(table: pa.Table) -> pa.Table:
     return pa.table({"tag": pa.array(who.view(np.int64)), "own": pa.array(n.astype(np.int64))})
 
 
-def _prefixes(join: Join):
-    """Index entries of one class: key, class, size, largest partner."""
-
+def _entries(join: Join, n: int, df: np.ndarray, tok: np.ndarray):
+    """Keys and largest partners of one class of n tokens, given those it shares with other components, rarest first."""
+    own, keys, far = n - len(df), [], []
+    basic = max(0, join.prefix(n) - own)
+    rare = int(np.searchsorted(df, join.frequent, "right"))
+    alone = len(df) if join.num * n <= join.den else rare  # sets that may share a single token have no combination
+    for i in range(min(alone, basic)):
+        keys.append(tok[i : i + 1])
+        far.append([join.furthest(n, own + i)])
+    # the first shared token is in the basic prefix; if it is frequent, so are all others
+    for spread in join.spreads(n) if rare < basic else ():
+        u = tok[rare : basic + spread].view(np.uint64)
+        group = (u >> np.uint64(20)) & np.uint64(spread - 1)
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            if len(at) > 1:
+                x, y = np.triu_indices(len(at), 1)
+                keys.append(mix(mix(u[at[x]] + np.uint64(spread)) ^ u[at[y]]).view(np.int64))
+                # of B + 1 shared tokens, the first that shares its group with another is the B-th at the latest
+                far.append([join.furthest(n, own + rare + max(0, int(p) - spread + 1)) for p in at[x]])
+    if not keys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    keys, far = np.concatenate(keys), np.concatenate(far).astype(np.int64)
+    fits = join.den * far >= join.num * n
+    return keys[fits], far[fits]
+
+
+def _index(join: Join):
     def run(batches: Batches) -> Batches:
         for b in batches:
-            out: list[tuple] = []
-            nodes, sizes, rest = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)
-            copies = b.column(3).to_pylist()
+            if not b.num_rows:
+                continue
+            ids, sizes, rest = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
             offs = rest.offsets.to_numpy()
             df, tok = (rest.values.field(i).to_numpy() for i in range(2))
-            for k, (node, n) in enumerate(zip(nodes, sizes)):
-                d, t = df[offs[k] : offs[k + 1]], tok[offs[k] : offs[k + 1]]
-                own = n - len(d)
-                room = join.prefix(n) + 1 - own
-                if room < 2:
-                    continue
-                d, t = d[:room], t[:room]
-                rare = d <= join.frequent
-                alone = np.ones(len(d), bool) if n > join.combine_up_to else rare
-                out += [(int(t[i]), node, n, join.furthest(n, own + int(i)), (own << 20) - copies[k]) for i in np.flatnonzero(alone)]
-                if join.num * n <= join.den * join.combine_up_to:
-                    often = np.flatnonzero(~rare)
-                    pairs = np.array(list(itertools.combinations(often, 2)), int).reshape(-1, 2)
-                    keys = mix(mix(t.view(np.uint64)[pairs[:, 0]]) ^ (t.view(np.uint64)[pairs[:, 1]])).view(np.int64) if len(pairs) else []
-                    out += [(int(x), node, n, join.furthest(n, own + int(p[0])), (own << 20) - copies[k]) for x, p in zip(keys, pairs)]
-            out = [o for o in out if join.den * o[3] >= join.num * o[2]]
-            if out:
-                c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.binary()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.int32()), pa.array(c[4], pa.int64())], names=["key", "node", "n", "far", "weight"])
-
-    return run, "key long, node binary, n int, far int, weight long"
-
-
-def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            got = [_entries(join, int(n), df[i:j], tok[i:j]) for n, i, j in zip(sizes, offs, offs[1:])]
+            m = [len(k) for k, _ in got]
+            keys, far = (np.concatenate(c) for c in zip(*got))
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, m)), pa.array(np.repeat(sizes, m)), pa.array(far.astype(np.int32))], names=["key", "id", "n", "far"])
+
+    return run, "key long, id long, n int, far int"
+
+
+def _verify(spark: SparkSession, join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets."""
 
     def run(batches: Batches) -> Batches:
@@ -215,32 +270,80 @@ def _verify(join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("toks").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("toks").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a binary, b binary")
-
-
-def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 0) -> DataFrame:
-    """One row per row of docs: doc_id, row (hash of doc_id and text), n_shingles, component_id, first (whether the row stands for its component)."""
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    def side(end: str, toks: str) -> DataFrame:
+        return id_filter(spark, sets.select("id", "toks"), pairs.select(F.col(end).alias("id")), "id").select(F.col("id").alias(end), F.col("toks").alias(toks))
+
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lean(run), "a long, b long")
+
+
+def _named(entries: DataFrame, comp: DataFrame) -> DataFrame:
+    """Entries with the component of their class."""
+    return entries.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
+
+
+def _merge(spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame | None, links: list[DataFrame], sets: DataFrame, enough: str, central: bool, few: int = 20):
+    """Compare each class with one of another component, round by round; returns what entries still hold several components, and the components.
+
+    entries: key, id, n, far (and weight if the first round goes by it). A comparison needs as many shared entries c as `enough` says. Rounds end when less than one comparison in `few` links.
+    """
+    held = entries
+    for turn in itertools.count():
+        named = held.withColumn("comp", F.col("id")) if comp is None else _named(held, comp)
+        weight = F.col("weight") if central and not turn else F.xxhash64("id", F.lit(turn))
+        lead = named.groupBy("key").agg(F.min(F.struct(weight.alias("w"), "id", "n", "far", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        lead = lead.select("key", F.col("l.id").alias("b"), F.col("l.n").alias("m"), F.col("l.far").alias("far_b"), F.col("l.comp").alias("comp_b"))
+        met = materialise(spark, named.join(lead, "key").select("key", "id", "n", "far", "comp", "b", "m", "far_b", "comp_b"), "met")
+        if turn:
+            drop_table(spark, held)
+        held = met.select("key", "id", "n", "far")
+        fits = met.where(f"comp <> comp_b AND m <= far AND n <= far_b AND {join.num} * greatest(n, m) <= {join.den} * least(n, m)")
+        pairs = fits.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(enough).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        pairs = materialise(spark, pairs, "pairs")
+        tried = rows_of(spark, pairs)
+        if not tried:
+            drop_table(spark, pairs)
+            return held, comp
+        new = materialise(spark, _verify(spark, join, pairs, sets), "new-links", ROWS)
+        found = rows_of(spark, new)
+        drop_table(spark, pairs)
+        if found:
+            links.append(new)
+            old, comp = comp, components(spark, _all(links), "components")
+            if old is not None:
+                drop_table(spark, old)
+        if found * few < tried:
+            return held, comp
+
+
+def _all(links: list[DataFrame]) -> DataFrame:
+    out = links[0]
+    for x in links[1:]:
+        out = out.union(x)
+    return out
+
+
+def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
+    """One row per row of docs: doc_id, row and who (see common.identified), n_shingles, component_id, first (whether the row stands for its component)."""
+    src = identified(docs)
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = groups(size / 6 * join.share / 256, 1_500_000)
     run, schema = _sets(join, parts)
-    made = materialise(spark, src.mapInArrow(run, schema), "sets")
-    meta = materialise(spark, made.where("part IS NULL").select("doc_id", "row", "node", "n"), "rows")
+    made = materialise(spark, src.mapInArrow(lean(run), schema), "sets")
+    meta = materialise(spark, made.where("part IS NULL").select("doc_id", "row", "who", "node", "n"), "rows")
     # the 8 bytes that tell classes apart in the counts, read as one number
     swap = "".join(f"substr(hex(node), {i}, 2), " for i in range(15, 0, -2)).rstrip(", ")
     classes = (
-        meta.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("rep"))
-        .select("node", "n", "size", "low", F.col("rep.row").alias("row"), F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
+        meta.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "who", "row")).alias("rep"))
+        .select(F.monotonically_increasing_id().alias("id"), "node", "n", "size", "low", "rep.who", "rep.row", F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
     )
-    classes = materialise(spark, classes, "classes")
+    classes = materialise(spark, classes, "classes")  # ids are fixed by being written
     ways = groups(rows_of(spark, docs), 250_000)
-    counted = made.where("part IS NOT NULL").select("part", "ask").groupBy("part").applyInArrow(lambda t: _own_tokens(t, ways), "way int, tags binary, own binary")
-    own = counted.groupBy("way").applyInArrow(_sum_own, "tag long, own long")
-    prefix_sql = f"n - ceil({join.num} * n / {join.den}D) + 1"
-    prefix = F.expr(prefix_sql)
-    live = classes.where(f"n * {join.den - join.num} >= {join.num}").join(own, "tag", "left").where(F.coalesce("own", F.lit(0)) < prefix).select("node", "row", F.coalesce("own", F.lit(0)).cast("long").alias("own"), F.least("size", F.lit((1 << 20) - 1)).alias("size"))
+    own = _count_own(made.where("part IS NOT NULL").select("part", "ask"), ways)
+    prefix_sql = f"cast(n - ceil({join.num} * n / {join.den}D) + 1 as int)"
+    alike = F.count("*").over(Window.partitionBy("tag"))  # classes with one tag can't tell whose tokens were counted
+    live = classes.join(own, "tag", "left").withColumn("own", F.when(alike == 1, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long"))
+    live = live.where(f"n * {join.den - join.num} >= {join.num} AND own < {prefix_sql}").select("id", "who", "row", "own", F.least("size", F.lit((1 << 20) - 1)).alias("size"))
     live = materialise(spark, live, "live")
     finished(spark, made)
 
@@ -248,67 +351,61 @@ def link(spark: SparkSession, docs: DataFrame, join: Join, rounds: int = 0) -> D
         for b in batches:
             if b.num_rows:
                 got = [shingle_set(t, join.width) for t in texts(b)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2), b.column(3)], names=["node", "n", "toks", "own", "size"])
-
-    texts_of = id_filter(spark, src.select("row", "text"), live, "row").join(live, "row").dropDuplicates(["row"]).select("node", "text", "own", "size")
-    sets = materialise(spark, texts_of.mapInArrow(whole, "node binary, n int, toks array<bigint>, own long, size long"), "live-sets")
-    fits = f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"
-    # the leader has fewest tokens of its own, then most copies: what near copies were made from, rather than one of them;
-    # any order of tokens serves for the first comparison: the standard prefix by hash
-    quick = materialise(spark, sets.select("node", "n", F.expr("own * 1048576 - size").alias("weight"), F.explode(F.expr(f"slice(toks, 1, cast({prefix_sql} as int))")).alias("key")), "quick")
-    leader = quick.groupBy("key").agg(F.min(F.struct("weight", "node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("key", F.col("l.node").alias("b"), F.col("l.n").alias("m"))
-    star = quick.join(leader, "key").where("node <> b").where(fits).groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-    links = materialise(spark, _verify(join, star, sets), "star")
-    comp = materialise(spark, components(spark, links), "components")
-
-    named = sets.join(comp, "node", "left").select("node", "n", F.coalesce("root", "node").alias("comp"), "size", "toks")
-    flat = materialise(spark, named.select("node", "n", "comp", "size", F.explode("toks").alias("tok")), "tokens")
-    df = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", "df")
-    ordered = flat.join(df, "tok").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"), F.first("size").alias("size"))
-    run, schema = _prefixes(join)
-    index = materialise(spark, ordered.mapInArrow(run, schema), "index")
-    finished(spark, quick, flat)
-
-    def with_component() -> DataFrame:
-        return index.join(comp, index.node == comp.node, "left").select("key", index.node, "n", "far", "weight", F.coalesce("root", index.node).alias("comp"))
-
-    for _ in range(rounds):  # each class with one of another component, again one pair a class: what links is merged before all are compared
-        held = materialise(spark, with_component(), "held")
-        one = lambda w: F.struct("comp", w.alias("w"), "node", "n", "far")
-        ends = held.groupBy("key").agg(F.min(one(F.col("weight"))).alias("lo"), F.max(one(-F.col("weight"))).alias("hi")).where("lo.comp <> hi.comp")
-        other = F.when(F.col("comp") != F.col("lo.comp"), F.col("lo")).otherwise(F.col("hi"))
-        met = held.join(ends, "key").select("node", "n", "far", other.alias("o")).select(F.col("node").alias("a"), "n", "far", F.col("o.node").alias("b"), F.col("o.n").alias("m"), F.col("o.far").alias("far2"))
-        met = met.where(F.expr(fits)).where("m <= far AND n <= far2").groupBy("a", "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
-        new = materialise(spark, _verify(join, met, sets), "star")
-        drop_table(spark, held)
-        if new.isEmpty():
-            break
-        links = links.union(new)
-        comp = materialise(spark, components(spark, links), "components")
-
-    whole_index = materialise(spark, with_component(), "held")
-    held = whole_index
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2)], names=["id", "n", "toks", "weight"])
+
+    texts_of = id_filter(spark, src.select("row", "who", "text"), live, "row").join(live, ["row", "who"]).dropDuplicates(["row", "who"])
+    # a leader has fewest tokens of its own, then most copies: what near copies were made from, rather than one of them
+    texts_of = texts_of.select("id", "text", F.expr("own * 1048576 - size").alias("weight"))
+    first = materialise(spark, texts_of.mapInArrow(lean(whole), "id long, n int, toks array<bigint>, weight long"), "live-sets", ROWS)
+    # the same count over all tokens of the classes left
+    total = first.agg(F.sum("n").cast("long")).first()[0] or 0
+    run, schema = _all_asks(groups(total, 1_500_000))
+    own = _count_own(first.select("id", "toks").mapInArrow(lean(run), schema), groups(rows_of(spark, first), 250_000)).select((F.col("tag") - 1).alias("id"), "own")
+    left = materialise(spark, first.select("id", "n").join(own, "id", "left").where(f"coalesce(own, 0) < {prefix_sql}").select("id"), "left", 2 * ROWS)
+    sets = materialise(spark, id_filter(spark, first, left, "id").join(left, "id"), "left-sets")
+    finished(spark, first, left)
+
+    # any order of tokens serves for merging: the standard prefix by hash
+    quick = sets.select("id", "n", "weight", F.explode(F.expr(f"slice(toks, 1, least({join.sketch}, {prefix_sql}))")).alias("key"), F.expr(f"cast({join.den} * n div {join.num} as int)").alias("far"))
+    links: list[DataFrame] = []
+    held, comp = _merge(spark, join, quick, None, links, sets, f"4 * c >= least({join.sketch}, {prefix_sql})", True)
+    finished(spark, held)
+
+    named = sets.select("id", "toks")
+    named = (_named(named, comp) if comp is not None else named.withColumn("comp", F.col("id"))).select("id", "comp", F.explode("toks").alias("tok"))
+    flat = materialise(spark, named, "tokens")
+    df = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", F.col("df").cast("int").alias("df"))
+    ordered = flat.select("tok", "id").join(df, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"))
+    run, schema = _index(join)
+    index = materialise(spark, ordered.join(sets.select("id", "n"), "id").select("id", "n", "rest").mapInArrow(lean(run), schema), "index", ROWS)
+    finished(spark, flat)
+
+    held, comp = _merge(spark, join, index, comp, links, sets, "c > 0", False)
+    finished(spark, index)
+    if comp is not None:
+        held = _named(held, comp)
+    else:
+        held = held.withColumn("comp", F.col("id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
     held = held.join(mixed, "key")
-    x = held.where("comp <> lo").select("key", F.col("node").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
-    y = held.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
-    rest = x.join(y, (x.key == y.key) & (x.ca != y.cb) & (y.m <= x.fa) & (x.n <= y.fb) & F.expr(fits))
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verify(join, rest, sets)
-    comp = components(spark, links.union(more), "all-links")
-    finished(spark, whole_index, index, sets, live)
-    low = classes.select("node", "low", "row").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    order = F.struct(F.col("low").isNull().alias("x"), F.col("low").alias("low"), F.col("row").alias("row"))
-    best = low.groupBy("root").agg(F.min(order).alias("best"))
-    by_class = low.join(best, "root").select("node", F.col("best.low").alias("component_id"), F.col("best.row").alias("best"))
+    x = held.where("comp <> lo").select("key", F.col("id").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
+    y = held.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
+    rest = x.join(y, (x.key == y.key) & (x.ca != y.cb) & (y.m <= x.fa) & (x.n <= y.fb) & F.expr(f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"))
+    rest = materialise(spark, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    if rows_of(spark, rest):
+        links.append(materialise(spark, _verify(spark, join, rest, sets), "new-links", ROWS))
+        comp = components(spark, _all(links), "components")
+    finished(spark, rest, sets, live, *links)
+    low = classes.select("id", "node", "low", "row", "who")
+    low = _named(low, comp) if comp is not None else low.withColumn("comp", F.col("id"))
+    best = low.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("x"), "low", "who", "row")).alias("best"))
+    by_class = low.join(best, "comp").select("node", F.col("best.low").alias("component_id"), F.col("best.row").alias("best"), F.col("best.who").alias("best_who"))
     out = meta.join(by_class, "node", "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", "row", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (alone | (F.col("row") == F.col("best"))).alias("first"))
+    first = alone | ((F.col("row") == F.col("best")) & (F.col("who") == F.col("best_who")))
+    return out.select("doc_id", "row", "who", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
 
 
 def first_documents(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     """One row of docs for each group of linked ones, all columns as they were."""
-    stay = link(spark, docs, join).where("first").select(F.col("row").alias("__row")).distinct()
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    kept = keyed.join(stay, "__row").dropDuplicates(["__row"])
-    return kept.select(*docs.columns)
+    return rows_in(docs, link(spark, docs, join).where("first"))
