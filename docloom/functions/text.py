@@ -18,7 +18,12 @@ def u_words(c: Column) -> Column:
 
 def count_matching(c: Column, cls: str) -> Column:
     """How many characters of c are in a character class."""
-    return F.length(c) - F.length(F.regexp_replace(c, cls, ""))
+    return F.length(c) - F.length(F.regexp_replace(c, cls + "+", ""))
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once: inside an expression, Spark computes what is written twice twice."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def contains_any(c: Column, words) -> Column:

@@ -13,9 +13,16 @@ from ..functions.text import u_trim
 from ..sources.providers import PageDecoder
 
 
+# The least share of ruled pixels of a kind of page.
+RULED = ((0.005, "table"), (0.002, "mixed"))
+
+
 def page_type(ratio: Column) -> Column:
     """ING1: by the share of pixels on long ruled lines."""
-    return F.when(ratio > 0.005, "table").when(ratio > 0.002, "mixed").otherwise("text")
+    out = F.lit("text")
+    for least, kind in reversed(RULED):
+        out = F.when(ratio > least, kind).otherwise(out)
+    return out
 
 
 def psm_for(kind: Column, s: Settings = Settings()) -> Column:
@@ -29,8 +36,8 @@ def fold(pages: DataFrame, key: str, number: str = "page_num", text: str = "text
     return pages.groupBy(key).agg(rows.alias("p")).select(key, F.array_join(F.transform(F.filter("p", lambda x: x.t != ""), lambda x: x.t), "\n\n").alias("text"), F.size("p").cast("long").alias("page_count"))
 
 
-def decode(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = Settings()) -> DataFrame:
-    """SRC4: path, page_num (from 1), image, error; a file that can't be decoded is one row with its error (ING10)."""
+def decode(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = Settings(), page: int | None = None) -> DataFrame:
+    """SRC4: path, page_num (from 1), image, error; a file that can't be decoded is one row with its error (ING10). With `page`, only that page of each file (TOP7)."""
 
     def run(batches):
         decoder = make()
@@ -38,7 +45,7 @@ def decode(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = Sett
             out = []
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    out += [(path, i, p, None) for i, p in enumerate(decoder.pages(content, s.dpi), 1)]
+                    out += [(path, i, p, None) for i, p in enumerate(decoder.pages(content, s.dpi), 1) if page in (None, i)]
                 except Exception as e:  # one file's failure leaves the others alone
                     out.append((path, None, None, f"{type(e).__name__}: {e}"))
             if out:
@@ -57,7 +64,7 @@ def recognised(pages: DataFrame, make: Callable[[], PageDecoder], s: Settings =
             out = []
             for path, n, image in zip(*(b.column(i).to_pylist() for i in range(3))):
                 ratio = decoder.ruled_share(image)
-                kind = "table" if ratio > 0.005 else "mixed" if ratio > 0.002 else "text"
+                kind = next((k for least, k in RULED if ratio > least), "text")
                 psm = {"table": s.psm_table, "mixed": s.psm_mixed, "text": s.psm_text}[kind]
                 try:
                     text, error = decoder.text(image, s.ocr_lang, psm).strip(), None

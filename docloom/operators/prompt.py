@@ -8,10 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import u_trim, u_words
 
 NOT_FOUND = "No information about this was found in the documents."
-INTRO = (
-    "\nYou answer questions about a collection of documents.\n\nTasks:\n1. Read the context below.\n2. Answer the question from it alone.\n3. Name dates, numbers and places exactly."
-    "\n4. Keep tables and lists readable.\n5. Say so if the context doesn't hold the answer.\n6. Answer in the language of the question.\n\nDon't invent facts and don't mention these rules.\n"
+TASKS = (
+    "Answer the question from the context below alone, factually and precisely.",
+    "Bring together what different documents say about it.",
+    "Write out specific details: dates, numbers, names and places.",
+    "Use lists where there is much to list.",
+    "Come to the point and don't repeat anything.",
+    "If the question is so broad that the context holds several procedures or choices for it, don't describe them all: give a short introduction, list the choices, and ask which one is meant.",
 )
+INTRO = "\nYou answer questions about a collection of documents.\n\nTasks:\n" + "".join(f"{i}. {t}\n" for i, t in enumerate(TASKS, 1)) + f"\nIf the context doesn't hold the answer, reply exactly: {NOT_FOUND}\nDon't invent facts, use no other knowledge, and answer in the language of the question.\n"
 
 
 def needs_condensing(query: Column, has_history: Column) -> Column:

@@ -60,7 +60,12 @@ class VectorStore:
         self._write(deleted(self.read(), document_id))
 
     def stats(self) -> DataFrame:
-        return self.read().agg(F.count("*").alias("total_chunks")).select("total_chunks", F.lit(self.collection).alias("collection_name"), F.lit(self.path).alias("persist_directory"))
+        return counted(self.read()).select("total_chunks", F.lit(self.collection).alias("collection_name"), F.lit(self.path).alias("persist_directory"))
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """AGG4."""
+    return rows.agg(F.count("*").alias("total_chunks"))
 
 
 def upserted(old: DataFrame, new: DataFrame, replace: str | None = None) -> DataFrame:

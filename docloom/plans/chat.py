@@ -21,8 +21,10 @@ def list_sessions(messages: DataFrame, sessions: DataFrame, username: str = "gue
     return first.join(mine, "session_id").select("session_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), shortened(F.col("content"))).alias("title"), "ts").orderBy(F.desc("ts"), "session_id")
 
 
-def transcript(messages: DataFrame, session_id) -> DataFrame:
-    """GET history/{id}: role, content and decoded sources, oldest first; sources that aren't valid JSON are null."""
+def transcript(messages: DataFrame, session_id, sessions: DataFrame | None = None, username: str | None = None) -> DataFrame:
+    """GET history/{id}: role, content and decoded sources, oldest first; sources that aren't valid JSON are null. With sessions and a username, only for its owner."""
+    if sessions is not None:
+        checked(sessions, session_id, username)
     own = messages.where(F.col("session_id") == session_id).orderBy("timestamp", "id")
     return own.select("id", "role", "content", F.from_json("sources", SOURCES).alias("sources"), "timestamp")
 
@@ -33,10 +35,26 @@ def history_window(messages: DataFrame, n: int = 6, order: tuple[str, ...] = ("t
     return messages.withColumn("back", F.row_number().over(w)).where(F.col("back").between(2, n + 1)).drop("back")
 
 
+def refused(username: str) -> Column:
+    """FLT4 as a condition on a session: another's, or no one's."""
+    return ~F.col("username").eqNullSafe(F.lit(username))
+
+
+def existing(ids: DataFrame, sessions: DataFrame) -> DataFrame:
+    """JN7: the session ids that sessions hold."""
+    return ids.join(sessions.select("session_id"), "session_id", "left_semi")
+
+
+def checked(sessions: DataFrame, session_id, username: str | None) -> None:
+    """FLT4: raises PermissionError unless the user may see and change the session; no user means no check."""
+    if username is not None and not allowed(sessions, session_id, username):
+        raise PermissionError(f"session {session_id} isn't {username}'s")
+
+
 def allowed(sessions: DataFrame, session_id, username: str) -> bool:
     """FLT4: a missing session passes; one without an owner, or another's, doesn't."""
     own = sessions.where(F.col("session_id") == session_id)
-    return own.where(~F.col("username").eqNullSafe(F.lit(username))).isEmpty()
+    return own.where(refused(username)).isEmpty()
 
 
 def appended(messages: DataFrame, rows: DataFrame) -> DataFrame:
@@ -51,8 +69,10 @@ def inserted(sessions: DataFrame, rows: DataFrame) -> DataFrame:
     return sessions.unionByName(rows.dropDuplicates(["session_id"]).join(sessions.select("session_id"), "session_id", "left_anti").select(sessions.columns))
 
 
-def renamed(sessions: DataFrame, changes: DataFrame) -> DataFrame:
-    """SNK11: changes (session_id, title, updated_at, username): a known session gets title and time and keeps its owner, an unknown one is made."""
+def renamed(sessions: DataFrame, changes: DataFrame, username: str | None = None) -> DataFrame:
+    """SNK11: changes (session_id, title, updated_at, username): a known session gets title and time and keeps its owner, an unknown one is made. With a username, only sessions of that owner may be changed."""
+    if username is not None and not existing(sessions.where(refused(username)), changes).isEmpty():
+        raise PermissionError(f"a session isn't {username}'s")
     new = changes.select("session_id", F.col("title").alias("t"), F.col("updated_at").alias("u"), F.col("username").alias("n"))
     both = sessions.join(new, "session_id", "full")
     known = F.col("t").isNotNull() | F.col("u").isNotNull()
@@ -60,8 +80,9 @@ def renamed(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select("session_id", F.when(known, F.col("t")).otherwise(F.col("title")).alias("title"), F.when(known, F.col("u")).otherwise(F.col("updated_at")).alias("updated_at"), F.when(old, F.col("username")).otherwise(F.col("n")).alias("username"))
 
 
-def deleted(messages: DataFrame, sessions: DataFrame, session_id) -> tuple[DataFrame, DataFrame]:
-    """SNK14: both tables without one session."""
+def deleted(messages: DataFrame, sessions: DataFrame, session_id, username: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SNK14: both tables without one session; with a username, only for its owner."""
+    checked(sessions, session_id, username)
     other = ~F.col("session_id").eqNullSafe(F.lit(session_id))
     return messages.where(other), sessions.where(other)
 
@@ -80,10 +101,15 @@ def first_user_message(messages: DataFrame) -> DataFrame:
     return messages.where("role = 'user'").groupBy("session_id").agg(F.min_by("content", F.struct("timestamp", "id")).alias("content"), F.min("timestamp").alias("ts"))
 
 
+def backfilled(sessions: DataFrame) -> DataFrame:
+    """SNK12: sessions without an owner get the first user."""
+    return sessions.withColumn("username", F.coalesce("username", F.lit("user")))
+
+
 def migrated(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """The start-up migration: sessions for orphans (SNK10), owners for sessions without (SNK12), titles for unnamed ones (SNK13)."""
     made = orphans(messages, sessions).select("session_id", shortened(F.col("content")).alias("title"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("username"))
-    all_ = sessions.unionByName(made).withColumn("username", F.coalesce("username", F.lit("user")))
+    all_ = backfilled(sessions.unionByName(made))
     first = first_user_message(messages).select("session_id", shortened(F.col("content")).alias("named"))
     return all_.join(first, "session_id", "left").withColumn("title", F.when((F.col("title") == OLD_TITLE) & F.col("named").isNotNull(), F.col("named")).otherwise(F.col("title"))).drop("named")
 

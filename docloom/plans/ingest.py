@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,10 +28,14 @@ def to_chunks(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return valid_chunks(chunk_documents(texts.where("error IS NULL"), size=settings.chunk_size, overlap=settings.chunk_overlap, separators=settings.separators))
 
 
+def chunk_sizes(chunks: DataFrame) -> DataFrame:
+    """AGG9 per file: chunks and their average size, half to even."""
+    return chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.bround(F.avg("char_count"), 0).alias("avg_chunk_size"))
+
+
 def summary(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """SNK6 per document: file, pages, characters, chunks, average chunk size (AGG9, half to even), error."""
-    per = chunks.groupBy("source_file").agg(F.count("*").alias("chunk_count"), F.bround(F.avg("char_count"), 0).alias("avg_chunk_size"))
-    joined = texts.join(per, "source_file", "left")
+    joined = texts.join(chunk_sizes(chunks), "source_file", "left")
     return joined.select("source_file", "document_id", "page_count", F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("avg_chunk_size", F.lit(0.0)).alias("avg_chunk_size"), "pages", "error")
 
 
@@ -50,8 +55,11 @@ def write_chunks(chunks: DataFrame, folder: str) -> None:
 
 
 def write_summary(documents: DataFrame, folder: str) -> None:
-    """SNK6: the totals and the documents."""
-    rollup(documents).write.mode("overwrite").json(f"{folder}/totals")
+    """SNK6: the totals, with the load's time if it is known, and the documents."""
+    totals = rollup(documents)
+    if "elapsed_seconds" in documents.columns:
+        totals = totals.crossJoin(documents.agg(F.max("elapsed_seconds").alias("elapsed_seconds")))  # one row each
+    totals.write.mode("overwrite").json(f"{folder}/totals")
     documents.write.mode("overwrite").json(f"{folder}/documents")
 
 
@@ -75,11 +83,12 @@ def load_store(store: VectorStore, chunks: DataFrame, make_embedder: Callable, w
 
 
 def rebuild(store: VectorStore, files: DataFrame, make_decoder: Callable, make_embedder: Callable, work: str, settings: Settings = Settings()) -> DataFrame:
-    """The bulk load: clear, extract, chunk, embed, upsert; returns the documents' summary."""
+    """The bulk load: clear, extract, chunk, embed, upsert; returns the documents' summary. AGG16: `elapsed_seconds` is the whole load's time, `chunk_count` what each file added."""
+    began = time.monotonic()
     store.clear()
     texts = to_texts(files, make_decoder, settings)
     texts.write.mode("overwrite").parquet(f"{work}/texts")
     texts = files.sparkSession.read.parquet(f"{work}/texts")
     chunks = to_chunks(texts, settings)
     load_store(store, chunks, make_embedder, f"{work}/vectors")
-    return summary(texts, chunks)
+    return summary(texts, chunks).withColumn("elapsed_seconds", F.lit(round(time.monotonic() - began, 3)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -11,6 +11,7 @@ from ..operators.rerank import TIME_WORDS, rescored, time_intent
 from ..operators.similarity import knn, retrieve
 from ..sources.providers import hash_embedding
 from ..sources.tables import table
+from ..streaming.ingest import log_of
 from . import catalog, chat, evaluate, ingest
 
 QUERIES: dict = {}
@@ -77,10 +78,39 @@ def clean_dehyphenate(spark, d):
     return _out(spark, d, cleaning.dehyphenate, _ROUGH)
 
 
-@query("""WITH l AS (SELECT doc_id, i, x, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+def _lines_sql(src: str) -> str:
+    """(doc_id, i, x): the lines of a CTE (doc_id, t)."""
+    return f"SELECT doc_id, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM {src}"
+
+
+def _garbage_sql(src: str) -> str:
+    """(doc_id, t): the texts of a CTE (doc_id, t) without garbage lines."""
+    return f"""WITH l AS (SELECT doc_id, i, x, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS s FROM ({_lines_sql(src)})),
 k AS (SELECT *, length(s) AS n, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '')) AS w, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda w: w <> '' AND length(w) <= 2)) AS w2 FROM l)
 SELECT doc_id, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (WHERE s = '' OR NOT (regexp_matches(s, '(?i)No results found|Resize table columns|DEV AREALogout|Back$|Dashboard|Blog Post|Tagihan|Ganti User|Hak akses|Close$') OR n < 3
- OR length(regexp_replace(s, '[^\\p{L}\\p{N}\\s.,;:()/\\-]', '', 'g')) / n < 0.5 OR length(regexp_replace(s, '[^%&@#$^*_=<>~]', '', 'g')) / n > 0.3 OR (n > 30 AND length(regexp_replace(s, '[^\\p{L}]', '', 'g')) / n < 0.15) OR (w > 4 AND w2 / w > 0.65))), '') AS out FROM k GROUP BY doc_id""")
+ OR length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}\\s.,;:()/\\-]', '', 'g')) / n < 0.5 OR length(regexp_replace(s, '[^%&@#$^*_=<>~]', '', 'g')) / n > 0.3 OR (n > 30 AND length(regexp_replace(s, '[^\\p{{L}}]', '', 'g')) / n < 0.15) OR (w > 4 AND w2 / w > 0.65))), '') AS t FROM k GROUP BY doc_id"""
+
+
+def _artifacts_sql(t: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(regexp_replace({t}, '(?m)^\\s*-\\s*\\d+\\s*-\\s*$', '', 'g'), '(?m)^\\s*SALINAN\\s*$', '', 'g'), '(?im)^\\s*ttd\\.?\\s*$', '', 'g'), '(?is)Salinan sesuai dengan aslinya.*?(\\n\\n|\\z)', '\\1', 'g')"
+
+
+def _leaders_sql(src: str) -> str:
+    """(doc_id, t): the texts of a CTE (doc_id, t) with clean leaders."""
+    return f"""WITH l AS (SELECT doc_id, i, regexp_replace(x, '\\.{{3,}}\\s*(\\d{{1,3}})$', ' \\1') AS x FROM ({_lines_sql(src)})), p AS (SELECT *, regexp_extract(x, '(?s)^(.*?)\\.{{2,}}', 1) AS prefix FROM l), s AS (SELECT *, substr(x, length(prefix) + 1) AS suffix FROM p),
+o AS (SELECT *, regexp_replace(suffix, '[ .\\t]', '', 'g') AS odd, regexp_extract(suffix, '(\\d{{1,3}})\\s*$', 1) AS page, len(list_filter(list_distinct(string_split(suffix, '')), lambda c: c <> '' AND contains(suffix, repeat(c, 4)))) > 0 AS runs FROM s)
+SELECT doc_id, string_agg(CASE WHEN contains(x, '..') AND length(odd) > 0 AND ((length(odd) - length(translate(odd, '{cleaning.LEADER_NOISE}', ''))) / length(odd) > 0.45 OR runs) THEN prefix || CASE WHEN page <> '' THEN ' ' || page ELSE '' END ELSE x END, chr(10) ORDER BY i) AS t FROM o GROUP BY doc_id"""
+
+
+_COLLAPSE = "regexp_replace(regexp_replace({0}, '\\n{{3,}}', chr(10) || chr(10), 'g'), ' {{2,}}', ' ', 'g')"
+_TRIM = "regexp_replace(list_aggregate(list_transform(string_split({0}, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), 'string_agg', chr(10)), '^\\s+|\\s+$', '', 'g')"
+_CLEAN_ALL = (
+    "WITH n AS (SELECT doc_id, CASE WHEN trim(t) = '' THEN '' ELSE regexp_replace(regexp_replace(replace(replace(t, chr(160), ' '), chr(0), ''), '\\r\\n?', chr(10), 'g'), '([\\p{L}\\p{N}_])-\\n([\\p{L}\\p{N}_])', '\\1\\2', 'g') END AS t FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), "
+    f"g AS ({_garbage_sql('n')}), a AS (SELECT doc_id, {_artifacts_sql('t')} AS t FROM g), d AS ({_leaders_sql('a')}) SELECT doc_id, {_TRIM.format(_COLLAPSE.format('t'))} AS out FROM d"
+)
+
+
+@query(f"WITH d AS (SELECT doc_id, text AS t FROM documents) SELECT doc_id, t AS out FROM ({_garbage_sql('d')})")
 def clean_garbage_lines(spark, d):
     return _out(spark, d, cleaning.drop_garbage_lines)
 
@@ -104,12 +134,12 @@ def clean_whitespace(spark, d):
     return _out(spark, d, cleaning.trim_lines, "replace(text, '.', concat(' ', char(10), ' '))")
 
 
-@query()
+@query(f"WITH d AS (SELECT doc_id, replace(text, ', ', ' ..oooo.. 7' || chr(10)) || ' ..... 5' AS t FROM documents) SELECT doc_id, t AS out FROM ({_leaders_sql('d')})")
 def clean_leaders(spark, d):
     return _out(spark, d, cleaning.clean_leaders, "concat(replace(text, ', ', ' ..oooo.. 7\n'), ' ..... 5')")
 
 
-@query()
+@query(_CLEAN_ALL)
 def clean_all(spark, d):
     return _out(spark, d, cleaning.clean)
 
@@ -158,11 +188,11 @@ def valid_chunks(spark, d):
     return chunking.valid_chunks(c).select("conv_id", "turn")
 
 
-@query("""WITH w AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM benchmark), c AS (SELECT item_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM w GROUP BY ALL),
-s AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS norm FROM c) SELECT item_id, b AS bucket, round(n / norm, 6) AS value FROM s""")
+@query("""WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents), c AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 64 AS b, count(*) AS n FROM w GROUP BY ALL),
+s AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS norm FROM c) SELECT doc_id, b AS bucket, round(n / norm, 6) AS value FROM s""")
 def hash_embedding_values(spark, d):
-    e = table(spark, d, "benchmark").select("item_id", F.posexplode(hash_embedding(F.col("text"), 64)).alias("b", "value"))
-    return e.where("value > 0").select("item_id", F.col("b").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
+    e = _docs(spark, d).select("doc_id", F.posexplode(hash_embedding(F.col("text"), 64)).alias("b", "value"))
+    return e.where("value > 0").select("doc_id", F.col("b").cast("long").alias("bucket"), F.round("value", 6).alias("value"))
 
 
 # -- search -------------------------------------------------------------------
@@ -245,9 +275,10 @@ def _rows(spark, d, cond, tag):
 _ROWS = "SELECT 'c' || vec_id AS chunk_id, '{tag}' || (vec_id % 7) AS source_file, CAST(label AS VARCHAR) AS document_id, CAST(vec_id AS INT) AS chunk_index, '{tag}' AS content FROM embeddings WHERE {cond}"
 
 
-@query(f"WITH o AS ({_ROWS.format(tag='old', cond='vec_id % 3 <> 0')}), n AS ({_ROWS.format(tag='new', cond='vec_id % 2 = 0')}) SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n")
+@query(f"WITH o AS ({_ROWS.format(tag='old', cond='true')}), n AS (SELECT CASE WHEN label = 0 THEN 'new-' ELSE '' END || chunk_id AS chunk_id, source_file, document_id, chunk_index, content FROM (SELECT *, CAST(document_id AS BIGINT) AS label FROM ({_ROWS.format(tag='new', cond='true')}))) SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n")
 def vector_upsert(spark, d):
-    out = store.upserted(_rows(spark, d, "vec_id % 3 <> 0", "old"), _rows(spark, d, "vec_id % 2 = 0", "new"))
+    new = _rows(spark, d, "true", "new").withColumn("chunk_id", F.when(F.col("document_id") == "0", F.concat(F.lit("new-"), "chunk_id")).otherwise(F.col("chunk_id")))
+    out = store.upserted(_rows(spark, d, "true", "old"), new)
     return out.select("chunk_id", "source_file", "document_id", "chunk_index", "content")
 
 
@@ -258,7 +289,7 @@ def vector_delete_by_document(spark, d):
 
 @query("SELECT count(*) AS total_chunks FROM embeddings")
 def store_stats(spark, d):
-    return table(spark, d, "embeddings").agg(F.count("*").alias("total_chunks"))
+    return store.counted(_rows(spark, d, "true", "old"))
 
 
 @query(f"SELECT document_id, arg_min(source_file, chunk_index) AS source_file FROM ({_ROWS.format(tag='old', cond='true')}) GROUP BY document_id")
@@ -276,6 +307,11 @@ def catalog_left_join(spark, d):
     return catalog.catalog(files, table(spark, d, "labels").select(name("doc_id").alias("source_file"), F.col("doc_id").alias("document_id")))
 
 
+@query("SELECT doc_id, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 365), '%d %b %Y') AS date FROM documents")
+def catalog_date(spark, d):
+    return _docs(spark, d).select("doc_id", catalog.shown_date(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))")).alias("date"))
+
+
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(lang || source), 'src1')")
 def catalog_search(spark, d):
     return catalog.search(_docs(spark, d).select("doc_id", "source", F.col("source").alias("file"), F.concat("lang", "source").alias("title")), "SRC1").select("doc_id", "source")
@@ -289,8 +325,8 @@ def log_level(spark, d):
 
 @query("SELECT event_id, event_type AS message FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
 def event_log_by_key(spark, d):
-    e = table(spark, d, "events")
-    return e.join(F.broadcast(e.agg(F.min("user_id").alias("user_id"))), "user_id").select("event_id", F.col("event_type").alias("message"))
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("filename"), F.lit(0).cast("bigint").alias("seq"), "user_id", F.timestamp_seconds("event_id").alias("ts"), F.col("event_type").alias("message"))
+    return log_of(e, str(e.agg(F.min("user_id")).first()[0])).select(F.unix_timestamp("ts").alias("event_id"), "message")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '''', '&#39;'), '\"', '&quot;') AS out FROM pages")
@@ -340,7 +376,7 @@ def orphan_sessions_not_in(spark, d):
 
 @query(M + "SELECT DISTINCT session_id FROM m WHERE EXISTS (SELECT 1 FROM s WHERE s.session_id = m.session_id)")
 def session_exists_semi(spark, d):
-    return messages(spark, d).join(sessions(spark, d), "session_id", "left_semi").select("session_id").distinct()
+    return chat.existing(messages(spark, d).select("session_id").distinct(), sessions(spark, d))
 
 
 @query(M + "SELECT id, role, content, ts FROM m WHERE session_id = '7'")
@@ -380,14 +416,20 @@ def session_migration(spark, d):
     return chat.migrated(messages(spark, d), sessions(spark, d)).select("session_id", "title", _secs("updated_at"), "username")
 
 
-@query(M + "SELECT session_id, id FROM m WHERE session_id <> '7'")
+@query(M + "SELECT session_id, id, 'message' AS kind FROM m WHERE session_id <> '7' UNION ALL SELECT session_id, NULL, 'session' FROM s WHERE session_id <> '7'")
 def session_delete(spark, d):
-    return chat.deleted(messages(spark, d), sessions(spark, d), "7")[0].select("session_id", "id")
+    left, kept = chat.deleted(messages(spark, d), sessions(spark, d), "7")
+    return left.select("session_id", "id", F.lit("message").alias("kind")).unionByName(kept.select("session_id", F.lit(None).cast("long").alias("id"), F.lit("session").alias("kind")))
+
+
+@query(M + "SELECT session_id, title, updated_at, coalesce(username, 'user') AS username FROM s")
+def session_backfill(spark, d):
+    return chat.backfilled(sessions(spark, d)).withColumn("updated_at", F.unix_timestamp("updated_at"))
 
 
 @query(M + "SELECT count(*) FILTER (WHERE username IS DISTINCT FROM 'user1') AS refused, count(*) AS n FROM s")
 def ownership_guard(spark, d):
-    return sessions(spark, d).agg(F.count_if(~F.col("username").eqNullSafe(F.lit("user1"))).alias("refused"), F.count("*").alias("n"))
+    return sessions(spark, d).agg(F.count_if(chat.refused("user1")).alias("refused"), F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey, CASE WHEN u = '' OR p = '' THEN 'username and password are required' WHEN length(u) < 3 THEN 'username too short' WHEN length(p) < 6 THEN 'password too short' END AS error FROM (SELECT c_custkey, trim(substr(c_name, 1, CAST(c_custkey % 6 AS INT))) AS u, substr(c_mktsegment, 1, CAST(c_custkey % 8 AS INT)) AS p FROM customer)")
@@ -435,7 +477,7 @@ def ingest_summary(spark, d):
 
 @query("SELECT source, CAST(round_even(avg(n_chars), 0) AS DOUBLE) AS avg_size FROM documents GROUP BY source")
 def avg_chunk_size(spark, d):
-    return _docs(spark, d).groupBy("source").agg(F.bround(F.avg("n_chars"), 0).alias("avg_size"))
+    return ingest.chunk_sizes(_docs(spark, d).select(F.col("source").alias("source_file"), F.col("n_chars").alias("char_count"))).select(F.col("source_file").alias("source"), F.col("avg_chunk_size").alias("avg_size"))
 
 
 def _candidates(spark, d):
@@ -465,6 +507,29 @@ def eval_best_config(spark, d):
     return evaluate.best(eval_grid(spark, d))
 
 
+# for each source: its documents in order of doc_id, and the keywords of its language
+_CASES = "SELECT source AS query_id, doc_id, text AS content, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, CASE min(lang) OVER (PARTITION BY source) WHEN 'de' THEN ['heit', 'UNG'] ELSE ['tion', 'MENT'] END AS keywords FROM documents"
+_FIRST = f"SELECT query_id, min(rank) FILTER (WHERE len(list_filter(keywords, lambda k: contains(lower(content), lower(k)))) > 0) AS first_rank FROM ({_CASES}) GROUP BY query_id"
+
+
+def _cases(spark, d):
+    docs = _docs(spark, d)
+    words = F.when(F.col("l") == "de", F.array(F.lit("heit"), F.lit("UNG"))).otherwise(F.array(F.lit("tion"), F.lit("MENT")))
+    cases = docs.groupBy(F.col("source").alias("query_id")).agg(F.min("lang").alias("l")).select("query_id", words.alias("keywords"))
+    ranked = docs.select(F.col("source").alias("query_id"), F.col("text").alias("content"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    return ranked, cases
+
+
+@query(f"SELECT query_id, coalesce(first_rank, 0) AS first_rank FROM ({_FIRST})")
+def eval_first_hit_rank(spark, d):
+    return evaluate.first_hits(*_cases(spark, d)).withColumn("first_rank", F.col("first_rank").cast("long"))
+
+
+@query(f"SELECT round(100.0 * count(first_rank) / count(*), 6) AS recall, round(coalesce(sum(1.0 / first_rank), 0) / count(*), 6) AS mrr FROM ({_FIRST})")
+def eval_recall_mrr(spark, d):
+    return evaluate.recall_mrr(evaluate.first_hits(*_cases(spark, d)))
+
+
 @query("SELECT doc_id, contains(lower(text), 'thhe') OR contains(lower(text), 'ouion') AS hit FROM documents")
 def keyword_hit(spark, d):
     return _docs(spark, d).select("doc_id", evaluate.has_keyword(F.col("text"), F.array(F.lit("THHE"), F.lit("ouion"))).alias("hit"))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import u_words
+from ..functions.text import let, u_words
 
 CAP = 100
 
@@ -52,11 +52,12 @@ class HashEmbedder:
 
 
 def hash_embedding(text: Column, dimension: int = 64) -> Column:
-    """EMB4 as an expression: array<double>, a zero vector for a text without words."""
-    bucket = F.transform(u_words(F.lower(text)), lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dimension).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(bucket, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    """EMB4 as an expression: array<double>, a zero vector for a text without words. Words are hashed once, and counts and norm computed once."""
+    words = u_words(F.lower(F.coalesce(text, F.lit(""))))
+    buckets = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % dimension).cast("int"))
+    counts = lambda b: F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
+    unit = lambda c: let(F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(c, lambda x: F.when(norm > 0, x / norm).otherwise(0.0)))
+    return let(buckets, lambda b: let(counts(b), unit))
 
 
 class ExtractiveGenerator:

@@ -16,6 +16,11 @@ def documents_in(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Da
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
 
 
+def document_names(files: DataFrame) -> DataFrame:
+    """TOP6: (path, length) of files in order of their path; contents aren't read."""
+    return files.select("path", "length").orderBy("path")
+
+
 def one_document(spark: SparkSession, path: str) -> DataFrame:
     """SRC3: one file, which must exist and end in .pdf in any case."""
     if not path.lower().endswith(".pdf"):

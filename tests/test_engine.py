@@ -2,17 +2,18 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docloom.config import Settings, load_config
 from docloom.functions import text as T
-from docloom.operators import chunking, cleaning, pages, prompt, store
+from docloom.operators import chunking, cleaning, images, pages, prompt, store
 from docloom.operators.rerank import boost, rescored
 from docloom.operators.similarity import cosine, knn, retrieve
 from docloom.plans import catalog, chat, evaluate, ingest
 from docloom.schemas import MESSAGES, SESSIONS, USERS, VECTOR
-from docloom.sources import providers, tables
+from docloom.sources import decoders, providers, tables
 from docloom.streaming import ingest as stream
 
 
@@ -250,11 +251,175 @@ def test_stream(spark, tmp_path):
         stream.ingest(spark, src, st, TextPages, providers.HashEmbedder, str(tmp_path / "work")).awaitTermination()
         assert st.read().count() == 1
     log = stream.read_log(spark, str(tmp_path / "work"))
-    assert [T_.message for T_ in stream.log_of(log, "a.pdf").collect()] == ["SUCCESS: 4 pages"]
-    assert stream.log_of(log, "b.pdf").first().message.startswith("ERROR: ") and stream.log_of(log, "zz").first().message == stream.WAITING
+    lines = [r.message for r in stream.log_of(log, "a.pdf").collect()]
+    assert lines[0] == "Memulai pemrosesan dokumen: a.pdf" and lines[1] == "Halaman 1: table (PSM 6), 9 karakter" and len(lines) == 8
+    assert lines[5] == "Ekstraksi selesai: 20 karakter." and lines[-1] == "SUCCESS: a.pdf siap dicari."
+    assert stream.log_of(log, "b.pdf").collect()[-1].message.startswith("CRITICAL ERROR: ValueError") and stream.log_of(log, "zz").first().message == stream.WAITING
     assert stream.safe_name("../../etc/x y.pdf") == "x y.pdf"
 
 
+class Choosy(providers.HashEmbedder):
+    """Fails for a text with the word poison."""
+
+    def embed(self, texts, task=""):
+        if any("poison" in t for t in texts):
+            raise OSError("refused")
+        return super().embed(texts)
+
+
+def test_stream_isolates_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(providers.time, "sleep", lambda _: None)
+    src = str(tmp_path / "in")
+    for name, text in (("../up/good.pdf", b"Good text"), ("sick.pdf", b"poison"), ("none.pdf", b" ")):
+        stream.land(spark, src, name, text)
+    stream.land(spark, src, "good.pdf", b"Better text")  # replaces the older one
+    assert [r.path.rsplit("/", 1)[1] for r in tables.document_names(tables.documents_in(spark, src)).collect()] == ["good.pdf", "none.pdf", "sick.pdf"]
+    st = store.VectorStore(spark, str(tmp_path / "store"))
+    stream.ingest(spark, src, st, TextPages, Choosy, str(tmp_path / "work")).awaitTermination()
+    assert [r.content for r in st.read().collect()] == ["Better text"]
+    log = stream.read_log(spark, str(tmp_path / "work"))
+    last = {f: stream.log_of(log, f).collect()[-1].message for f in ("good.pdf", "sick.pdf", "none.pdf")}
+    assert last["good.pdf"].startswith("SUCCESS") and last["sick.pdf"].startswith("CRITICAL ERROR: ") and last["none.pdf"].startswith("ERROR: ")
+    assert "warning" in {r.level for r in log.where("filename = 'none.pdf'").collect()}
+
+
+def test_live_messages(spark, tmp_path):
+    folder, schema = str(tmp_path / "m"), "id bigint, content string"
+    spark.createDataFrame([(1, "a")], schema).write.parquet(folder)
+    q = stream.live_messages(spark, folder, schema).writeStream.format("memory").queryName("live").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("live").collect()] == [(1, "a")]
+
+
+def test_images():
+    white = np.full((60, 90), 255, np.uint8)
+    assert images.crop_border(white, 0.02).shape == (58, 88) and images.crop_border(white, 0).shape == (60, 90)
+    assert images.gray(np.array([[[255, 0, 0], [0, 255, 0], [0, 0, 255], [9, 9, 9]]], np.uint8)).tolist() == [[76, 150, 29, 9]]
+    assert (images.smooth(white) == 255).all() and (images.threshold(white) == 255).all()
+    dot = white.copy()
+    dot[30, 40] = 0
+    assert images.threshold(dot)[30, 40] == 0 and (images.threshold(dot) == 0).sum() == 1
+    gap = np.zeros((6, 6), np.uint8)
+    gap[:, 0:2] = gap[:, 3:] = 255
+    assert (images.closed(gap) == 255).all()
+    wide = np.zeros((6, 6), np.uint8)
+    wide[:, 0:2] = wide[:, 5:] = 255
+    assert (images.closed(wide) == wide).all()
+    # edges of a step and runs of 40
+    step = np.zeros((50, 80), np.uint8)
+    step[25:] = 255
+    assert images._long_runs(images.edges(step) > 0, 40) == 80 and images.ruled_share(step) == 80 / 4000
+    assert images.ruled_share(step[:, :39]) == 0 and images.ruled_share(white) == 0
+    assert images._long_runs(np.array([[1, 1, 0, 1, 1, 1]], bool), 3) == 3
+
+
+@pytest.mark.parametrize("degrees", [-12.0, -0.2, 0.0, 3.0, 20.0])
+def test_deskew(degrees):
+    page = np.full((300, 400), 255, np.uint8)
+    for r in range(60, 240, 20):
+        page[r : r + 6, 80:320] = 0
+    askew = np.where(images.turned(page, -degrees) > 128, 255, 0).astype(np.uint8)
+    assert images.skew(askew) == pytest.approx(degrees, abs=0.3)
+    level = images.deskewed(askew)
+    assert abs(images.skew(np.where(level > 128, 255, 0))) < 0.5
+    if abs(degrees) < 0.5:
+        assert level is askew
+    assert images.skew(np.full((50, 50), 255, np.uint8)) == 0.0 and images.prepared(page).shape == (288, 384)
+
+
+def test_decoders_and_clients(spark, monkeypatch):
+    """Against stand-ins of the libraries."""
+    import sys
+    import types
+
+    page = np.full((120, 200, 3), 255, np.uint8)
+    page[30:34, 20:180] = 0
+    seen = {}
+
+    class Document(list):
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            seen["closed"] = True
+
+    class Page:
+        def get_pixmap(self, dpi):
+            seen["dpi"] = dpi
+            return types.SimpleNamespace(samples=page.tobytes(), height=120, width=200)
+
+    pil = types.ModuleType("PIL.Image")
+    pil.fromarray = lambda a: a
+    fakes = {"fitz": types.SimpleNamespace(open=lambda stream, filetype: Document([Page(), Page()])), "PIL": types.ModuleType("PIL"), "PIL.Image": pil, "pytesseract": types.SimpleNamespace(image_to_string=lambda img, lang, config: f"{img.shape} {lang} {config}")}
+    for k, v in fakes.items():
+        monkeypatch.setitem(sys.modules, k, v)
+    d = decoders.OcrDecoder()
+    got = d.pages(b"%PDF", 150)
+    assert len(got) == 2 and seen == {"dpi": 150, "closed": True} and (decoders.unpack_image(got[0]) == page).all()
+    assert d.ruled_share(got[0]) > 0.005 and d.text(got[0], "ind", 6) == "(116, 192) ind --psm 6 --oem 3"
+    gray = page[..., 0]
+    assert (decoders.unpack_image(decoders.pack_image(gray)) == gray).all()
+
+    class Models:
+        def embed_content(self, model, contents, config):
+            return types.SimpleNamespace(embeddings=[types.SimpleNamespace(values=(float(len(c)), 1.0)) for c in contents])
+
+        def generate_content(self, model, contents, config):
+            return types.SimpleNamespace(text=f"{model}: {contents} {config}")
+
+    t = types.SimpleNamespace(Content=lambda parts: parts[0], Part=types.SimpleNamespace(from_text=lambda text: text), EmbedContentConfig=lambda task_type: task_type, GenerateContentConfig=lambda temperature, max_output_tokens: (temperature, max_output_tokens))
+    genai = types.ModuleType("google.genai")
+    genai.Client, genai.types = (lambda api_key: types.SimpleNamespace(models=Models(), key=api_key)), t
+    monkeypatch.setitem(sys.modules, "google.genai", genai)
+    monkeypatch.setenv("GEMINI_API_KEY", "k")
+    assert providers.embed_all(decoders.HostedEmbedder(), ["abc", "d"]) == [[3.0, 1.0], [1.0, 1.0]]
+    assert decoders.HostedGenerator("m").generate("p", 0.5, 9) == "m: p (0.5, 9)"
+    monkeypatch.setenv("GEMINI_API_KEY", "")
+    with pytest.raises(ValueError):
+        decoders.HostedGenerator()
+    found = decoders.ocr_resources(spark, ("ind",), 2).collect()
+    assert {r.what for r in found} == {"program tesseract", "library fitz", "library pytesseract", "library PIL", "language ind"}
+
+
+class Judge:
+    """Answers with the question's first word; judges by the answer's length."""
+
+    def generate(self, prompt, temperature=0.2, max_tokens=4096):
+        if "Balas dengan JSON" in prompt:
+            n = len(prompt.split("JAWABAN:\n", 1)[1].split("\n", 1)[0]) % 6
+            return f'{{"relevansi": {{"skor": {n}, "alasan": "x"}}, "factuality": {{"skor": 4}}, "completeness": {{"skor": {round(temperature * 10) + 2}}}}}'
+        word = prompt.split("PERTANYAAN:\n", 1)[1].split()[0]
+        if word == "busy":
+            raise OSError("429")
+        return word
+
+
+def test_judge_run(spark):
+    asked = spark.createDataFrame([(1, "four words", "c"), (2, "busy now", "c"), (3, "rate limit", None)], "query_id int, query string, context string").fillna("")
+    got = evaluate.judged(asked, Judge, pause=0.0, sleep=lambda _: None).cache()
+    assert got.count() == 6 and got.where("json IS NULL").count() == 2
+    avg = {r.temperature: r.asDict() for r in evaluate.judge_averages(got).collect()}
+    assert avg[0.1] == {"temperature": 0.1, "relevansi": 4.0, "factuality": 4.0, "completeness": 2.0, "n_valid": 2} and set(avg) == {0.1, 0.8}
+    pages = spark.createDataFrame([("a", 3, b"text 1"), ("a", 4, b"")], "path string, page_num int, image binary")
+    m = {(r.page_num, r.psm): (r.char_count, r.word_count) for r in evaluate.layout_metrics(pages, TextPages).collect()}
+    assert m == {(3, 3): (6, 2), (3, 6): (6, 2), (4, 3): (0, 0), (4, 6): (0, 0)}
+
+
+def test_owner_checks(spark):
+    s = spark.createDataFrame([("a", "t", None, "ann"), ("b", "t", None, None)], "session_id string, title string, updated_at timestamp, username string")
+    m = spark.createDataFrame([(1, "a", "user", "x", None, None)], "id bigint, session_id string, role string, content string, sources string, timestamp timestamp")
+    new = s.where("session_id = 'a'").withColumn("title", F.lit("new"))
+    assert chat.deleted(m, s, "a", "ann")[0].count() == 0 and chat.transcript(m, "a", s, "ann").count() == 1 and chat.renamed(s, new, "ann").where("title = 'new'").count() == 1
+    for call in (lambda: chat.deleted(m, s, "a", "bob"), lambda: chat.transcript(m, "b", s, "ann"), lambda: chat.renamed(s, new, "bob")):
+        with pytest.raises(PermissionError):
+            call()
+
+
+def test_single_page(spark, tmp_path):
+    files = tables.documents_in(spark, folder(tmp_path))
+    assert [(r.page_num, r.image) for r in pages.decode(files.where("path LIKE '%a.pdf'"), TextPages, page=2).collect()] == [(2, b"Mixed two")]
+
+
 def test_chat_tables(spark):
     at = lambda n: F.timestamp_seconds(F.lit(n))
     raw = [(1, "s", "user", "first question of this session here", None, 5), (2, "s", "assistant", "answer", '[{"title":"t","file":"t.pdf"}]', 5), (3, "s", "user", "second", "not json", 6), (4, None, "user", "lost", None, 7), (5, "o", "user", "orphan", None, 8)]
