@@ -4,13 +4,13 @@ Texts are equal when identical after all characters of ``[\\x20\\x09-\\x0D]`` ar
 collapse equal texts inside each Arrow batch (so a text that a third of all rows share leaves a task
 once a batch, not once a row). Owner tasks each hold one range of the 64-bit key: they read their rows in key order,
 compare the bytes of texts under one key, chain unequal ones, and insert into a directory of
-buckets that doubles when a bucket overflows. Each owner writes its index as one file in the shared folder, whole
+buckets that doubles when a bucket overflows. Owners are as many as rows and bytes ask for, each one task. An owner writes its index as one file in the shared folder, whole
 or not at all. Every row then looks itself up in its owner's file; owners with many rows
 are probed by several tasks.
 
-Defined cases: a null text counts as empty, and all empty texts are one group; repeated doc_ids are
-separate rows; among equal texts the most code points, then the smallest doc_id (null last) stays, and
-of several rows equal in both, all carry that keep_id and only one is kept; an empty table gives
+Defined cases: a null text counts as empty, and all empty texts are one group; very long texts are
+compared whole, one at a time; repeated doc_ids are separate rows; among equal texts the most code points, then the smallest doc_id (null last) stays, and
+of several rows equal in both, all carry that keep_id and exactly one is kept, even if nothing tells them apart; an empty table gives
 an empty result; columns besides the id and the text are ignored, whatever their names.
 """
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Batches, get_file, groups, materialise, put_file, rows_of, scratch, texts
+from .common import NO_ID, SPACE, Batches, drop_table, get_file, groups, identified, materialise, put_file, rows_in, scratch, texts
 
 BUCKET = 32
 MAGIC = b"XHI1"
@@ -222,35 +222,47 @@ def _spread(keys):
         return keys * np.uint64(ODD)
 
 
-def _ask(owners: int, shares: np.ndarray):
-    """Each row's digest and the task that answers it: an owner's rows go to as many tasks as its share of rows asks for."""
+def _ask(owners: int, hot: dict[int, int]):
+    """Each row's digest and the task that answers it: rows of a hot owner go to as many tasks as `hot` says.
+
+    `lead` marks the first of equal rows (id and text) in a batch. All leads that are equal go to one task, which keeps one of them.
+    """
 
     def run(batches: Batches) -> Batches:
         turn = 0
+        shares = np.ones(owners, np.int64)
+        for o, n in hot.items():
+            shares[o] = n
         for b in batches:
             if not b.num_rows:
                 continue
             _, _, sha, keys = _normal(b)
             owner = _owner(keys, owners)
-            part = (np.arange(turn, turn + len(keys)) % shares[owner]).astype(np.int32)
+            row = b.column(b.schema.get_field_index("row")).to_numpy()
+            lead = np.zeros(len(keys), bool)
+            lead[np.unique(np.stack([row, b.column(b.schema.get_field_index("who")).to_numpy()]), axis=1, return_index=True)[1]] = True
+            part = np.where(lead, (row.view(np.uint64) >> np.uint64(8)).astype(np.int64), np.arange(turn, turn + len(keys))) % shares[owner]
             turn += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), b.column(b.schema.get_field_index("row")), pa.array(owner), pa.array(part), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(sha)]).cast(pa.binary())],
-                names=["doc_id", "row", "owner", "part", "sha"],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array(row), pa.array(lead), pa.array(owner), pa.array(((owner + part * 7919) % owners).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(sha)]).cast(pa.binary())],
+                names=["doc_id", "row", "lead", "owner", "task", "sha"],
             )
 
-    return run, "doc_id long, row long, owner int, part int, sha binary"
+    return run, "doc_id long, row long, lead boolean, owner int, task int, sha binary"
 
 
 def _answer(root: str):
     def run(batches: Batches) -> Batches:
         have: dict[int, IndexFile] = {}
+        done: set[tuple[int, int]] = set()  # entries whose row is given, of those that more than one lead asks for
         for b in batches:
             if not b.num_rows:
                 continue
-            sha = np.frombuffer(b"".join(b.column(4).to_pylist()), "<u8").reshape(-1, 4)
-            owner = b.column(2).to_numpy()
-            row = b.column(1).to_numpy()
+            doc, row, lead, owner, sha = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "row", "lead", "owner", "sha"))
+            hexes = [x.hex() for x in sha.to_pylist()]
+            sha = np.frombuffer(b"".join(sha.to_pylist()), "<u8").reshape(-1, 4)
+            owner, row, lead = owner.to_numpy(), row.to_numpy(), lead.to_numpy(zero_copy_only=False)
+            ids = doc.fill_null(NULL_ID).to_numpy(zero_copy_only=False)
             keep, count, kept = (np.empty(len(owner), np.int64) for _ in range(3))
             for o in np.unique(owner):
                 if o not in have:
@@ -260,41 +272,42 @@ def _answer(root: str):
                 at, ix = np.flatnonzero(owner == o), have[o]
                 e = ix.find(_spread(np.ascontiguousarray(sha[at, 0])), sha[at])
                 keep[at], count[at], kept[at] = ix.keep[e], ix.count[e], ix.row[e]
+            stays = lead & (kept == row) & (keep == ids)
+            for i in np.flatnonzero(stays & (count > 1)).tolist():
+                x = (int(row[i]), int(ids[i]))
+                stays[i] = x not in done
+                done.add(x)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(keep, mask=keep == NULL_ID), pa.array(count), pa.array(kept == row), pa.array([x.hex() for x in b.column(4).to_pylist()])],
+                [doc, pa.array(row), pa.array(keep, mask=keep == NULL_ID), pa.array(count), pa.array(stays), pa.array(hexes)],
                 names=["doc_id", "row", "keep_id", "group_size", "kept", "text_sha256"],
             )
 
     return run, "doc_id long, row long, keep_id long, group_size long, kept boolean, text_sha256 string"
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, per_owner: int = 50_000) -> DataFrame:
+def exact_dedup(spark: SparkSession, docs: DataFrame, per_owner: int = 50_000, owner_bytes: int = 1 << 26) -> DataFrame:
     """One row per row of docs: doc_id, row, keep_id, group_size, kept, text_sha256.
 
-    `row` tells apart rows that share a doc_id: a hash of the id and the original text. Rows that agree in both are
-    told apart by nothing; `kept` then holds for each of them (`kept_documents` keeps one).
+    `row` is a hash of the id and the original text. The driver learns of owners with over four times the mean number of rows only.
     """
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    total = rows_of(spark, docs)
-    owners = groups(total, per_owner)
+    src = identified(docs)
+    total, size = src.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    owners = max(groups(total, per_owner), groups(size, owner_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
     root = scratch(spark, "exact")
     run, schema = _collapse(owners)
-    width = max(owners, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    mapped = src.mapInArrow(run, schema).repartition(width, "owner").sortWithinPartitions("owner", "key")
+    mapped = src.mapInArrow(run, schema).repartitionById(owners, "owner").sortWithinPartitions("owner", "key")
     run, schema = _build(root)
-    built = materialise(spark, mapped.mapInArrow(run, schema), "exact-owners").collect()  # a row for each owner: rows/per_owner of them
-    share = np.ones(owners, np.int64)
-    for r in built:
-        share[r.owner] = groups(r.rows, max(1.0, total / width / 2))
-    run, schema = _ask(owners, share)
-    asked = src.mapInArrow(run, schema).repartition(width, "owner", "part")
+    built = materialise(spark, mapped.mapInArrow(run, schema), "exact-owners")
+    mean = max(1.0, total / owners)
+    hot = {r.owner: groups(r.rows, mean) for r in built.where(F.col("rows") > 4 * mean).collect()}
+    drop_table(spark, built)
+    run, schema = _ask(owners, hot)
+    asked = src.mapInArrow(run, schema).repartitionById(owners, "task")
     run, schema = _answer(root)
     return asked.mapInArrow(run, schema)
 
 
 def kept_documents(spark: SparkSession, docs: DataFrame, per_owner: int = 50_000) -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
-    marks = exact_dedup(spark, docs, per_owner).where("kept").select("row").dropDuplicates(["row"])
-    keyed = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text"))
-    once = keyed.join(marks.withColumnRenamed("row", "__row"), "__row")
-    return once.dropDuplicates(["__row"]).select(*[once[c] for c in docs.columns])
+    marks = exact_dedup(spark, docs, per_owner).where("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("who"), "row")
+    return rows_in(docs, marks)
