@@ -2,7 +2,8 @@
 
 Byte-level BPE files (the library's pattern, no normalizer) are merged by tiktoken over the file's own
 vocabulary: the same ids, several times faster. Files that drop white space and end words with a suffix are encoded by the
-tokenizers library itself, one space-delimited piece at a time with a bounded memo: no word of such a vocabulary
+tokenizers library itself, one space-delimited piece at a time with a memo bounded in bytes (texts that aren't composed, or hold a letter whose lower case
+depends on its place, whole): no word of such a vocabulary
 crosses white space, so a text's ids are its pieces' ids in order. Tests compare both with the library's encoding
 of whole texts. A text that holds a string of the file's added tokens is split at it, as the library does by default: such texts go through the library
 whole (`encoder`, for the operators). `load` alone takes these strings as ordinary text, unless asked for `added`.
@@ -12,16 +13,24 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
 
 import numpy as np
 import tiktoken
 from tokenizers import Tokenizer
 
+from .common import Memo
+
 #: Fixed value: the word pattern of byte-level BPE files that have use_regex set.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Texts with this many white-space characters in a row go through the library.
+BLANK = 50_000
+_BLANKS = re.compile(r"\s{%d}" % BLANK)
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in byte-level vocabularies: itself if visible, else the next free one from U+0100."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -50,61 +59,69 @@ class Added:
 
 
 class ByteLevelEncoder:
-    def __init__(self, spec: dict):
+    def __init__(self, path: str, spec: dict):
         back = {c: b for b, c in byte_letters().items()}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if all(c in back for c in token) and i < len(spec["model"]["merges"]) + 256}
-        self.lib = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.fast = tiktoken.Encoding("file", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        self.path, self.lib = path, None
+
+    def _one(self, t: str) -> np.ndarray:
+        # the fast pattern engine gives up on white space of about a million characters in a row
+        if len(t) > BLANK and _BLANKS.search(t):
+            if self.lib is None:
+                self.lib = Tokenizer.from_file(self.path)
+                self.lib.encode_special_tokens = True
+            return np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u2")
+        return np.array(self.fast.encode_ordinary(t), "<u2")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(self.lib.encode_ordinary(t), "<u2") for t in texts]
+        return [self._one(t) for t in texts]
 
 
 class WordEncoder:
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.lib = Tokenizer.from_file(path)
         self.lib.encode_special_tokens = True
-        self.room, self.memo, self.base = room, {}, {}
+        self.memo, self.base = Memo(), Memo()
         self.letters = {b: c for b, c in byte_letters().items()}
 
     def _word(self, w: str) -> bytes:
         """A lower-case word of letters is one word of the vocabulary's pattern; anything else goes through the whole library."""
-        if w.isascii() and w.isalpha() and w.islower():
+        if w.isascii() and w.isalpha():
             return np.array([x.id for x in self.lib.model.tokenize(w)], "<u2").tobytes()
         if w.isalpha() and self.lib.normalizer.normalize_str(w) == w:
             return np.array([x.id for x in self.lib.model.tokenize("".join(map(self.letters.__getitem__, w.encode())))], "<u2").tobytes()
-        return np.array(self.lib.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+        return self._whole(w).tobytes()
+
+    def _whole(self, t: str) -> np.ndarray:
+        return np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u2")
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, w: str) -> None:
         """A comma or full stop after a letter or digit is a word of its own."""
-        base, memo = self.base, self.memo
-        for w in pieces:
-            x, y = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalnum() else (w, "")
-            if x not in base:
-                base[x] = self._word(x)
-            if y:
-                if y not in base:
-                    base[y] = self._word(y)
-                memo[w] = base[x] + base[y]
-            else:
-                memo[w] = base[x]
+        parts = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalnum() else (w,)
+        for x in parts:
+            if x not in self.base:
+                self.base.put(x, self._word(x))
+        self.memo.put(w, b"".join(map(self.base.__getitem__, parts)))
+        self.base.drop_long((w, w[:-1]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as unsigned 16-bit numbers."""
-        memo = self.memo
-        for m in (memo, self.base):
-            if len(m) > self.room:
-                m.clear()
-        out = []
+        memo, out = self.memo, []
         for t in texts:
-            # lower case letter by letter, as the library does after composing: safe without the two context-dependent letters
-            if t.isascii() or (unicodedata.is_normalized("NFC", t) and "İ" not in t and "Σ" not in t):
-                t = t.lower()
-            ws = t.replace("\n", " ").split(" ")
+            # lower case letter by letter, as the library does after composing; anything else is the library's
+            if not (t.isascii() or (unicodedata.is_normalized("NFC", t) and "İ" not in t and "Σ" not in t)):
+                out.append(self._whole(t))
+                continue
+            memo.room()
+            self.base.room()
+            ws = t.lower().replace("\n", " ").split(" ")
             new = set(ws).difference(memo)
-            if new:
-                self._learn(new)
+            for w in new:
+                self._learn(w)
             out.append(np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u2"))
+            memo.drop_long(new)
         return out
 
 
@@ -119,7 +136,7 @@ def load(path: str, added: bool = False) -> ByteLevelEncoder | WordEncoder | Add
         return Added(path, spec, plain) if spec["added_tokens"] else plain
     pre = spec["pre_tokenizer"]
     if pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and spec["normalizer"] is None:
-        return ByteLevelEncoder(spec)
+        return ByteLevelEncoder(path, spec)
     split = [p for p in pre.get("pretokenizers", []) if p["type"] == "Split"]
     if len(split) == 1 and split[0]["invert"] and split[0]["behavior"] == "Removed" and spec["model"]["end_of_word_suffix"]:
         return WordEncoder(path)

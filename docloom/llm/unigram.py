@@ -10,7 +10,8 @@ piece starts is unknown: it costs the least score less 10, and becomes its bytes
 has the marker after another character (checked on loading; else texts are encoded whole), the parts between markers are
 encoded one by one, with a bounded memo. Decoding joins pieces, turns byte pieces back to bytes, markers to spaces, and takes off the first.
 
-Defined cases: null and empty texts have no pieces (a text is never given the leading marker alone); U+2581 in a text decodes to a space, the one loss there is;
+Defined cases: very long texts are encoded whole, part by part, and a text without white space in memory of some bytes a character;
+null and empty texts have no pieces (a text is never given the leading marker alone); U+2581 in a text decodes to a space, the one loss there is;
 repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches
+from .common import Batches, Memo
 
 MARK = "▁"
 #: Fixed values of the file format: piece types, model types.
@@ -175,8 +176,8 @@ class DoubleArray:
 
 
 class Unigram:
-    def __init__(self, model: Pieces, trie: DoubleArray | None = None, room: int = 400_000):
-        self.model, self.room, self.memo, self.base = model, room, {}, {}
+    def __init__(self, model: Pieces, trie: DoubleArray | None = None):
+        self.model, self.memo, self.base = model, Memo(), Memo()
         ps = model.pieces
         self.trie = trie or DoubleArray({t.encode(): i for i, (t, _, k) in enumerate(ps) if k in (NORMAL, USER) and t})
         top = max((s for _, s, k in ps if k == NORMAL), default=0.0)
@@ -248,34 +249,28 @@ class Unigram:
 
     def _part(self, w: str) -> bytes:
         """A last comma or full stop apart, where that is exact: the rest is more often known."""
-        if w[-1:] in (",", ".") and len(w) > 2 and w[-2:] not in self.glued:
-            x, y = w[:-1], w[-1]
-            base = self.base
-            if len(base) > self.room:
-                base.clear()
-            for k in (x, y):
-                if k not in base:
-                    base[k] = np.array(self.viterbi(k), "<u4").tobytes()
-            return base[x] + base[y]
-        if w in self.base:
-            return self.base[w]
-        self.base[w] = out = np.array(self.viterbi(w), "<u4").tobytes()
-        return out
+        base = self.base
+        parts = (w[:-1], w[-1]) if w[-1:] in (",", ".") and len(w) > 2 and w[-2:] not in self.glued else (w,)
+        for k in parts:
+            if k not in base:
+                base.put(k, np.array(self.viterbi(k), "<u4").tobytes())
+        return b"".join(map(base.__getitem__, parts))
 
     def encode(self, t: str) -> np.ndarray:
         """The ids of a whole text."""
         if not t:
             return np.empty(0, "<u4")
-        memo = self.memo
+        memo, base = self.memo, self.base
+        memo.room()
         parts = self._parts(t)
         new = set(parts).difference(memo)
-        if new:
-            if len(memo) + len(new) > self.room:
-                memo.clear()
-                new = set(parts)
-            for w in new:
-                memo[w] = self._part(w)
-        return np.frombuffer(b"".join(map(memo.__getitem__, parts)), "<u4")
+        for w in new:
+            base.room()
+            memo.put(w, self._part(w))
+            base.drop_long((w, w[:-1]))
+        out = np.frombuffer(b"".join(map(memo.__getitem__, parts)), "<u4")
+        memo.drop_long(new)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         if not hasattr(self, "_raw"):
