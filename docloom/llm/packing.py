@@ -1,12 +1,12 @@
 """First-fit decreasing packing with a tournament tree of bin capacities, in randomised groups of pieces.
 
 A document's ids are cut at multiples of the sequence length; full pieces are sequences of their own, and
-each remainder goes to a group by a hash of (doc_id, start, text), so groups are alike in size and content whatever
-the order of the input. Inside a group the pieces are placed longest first, each into the first open bin that has
+each piece goes to a group by a hash of (doc_id, start, text) and, for equal rows, of how many came before it in its batch, so groups are alike in size and content whatever
+the order of the input and however many rows are equal. Inside a group the pieces are placed longest first, each into the first open bin that has
 room: the tree's leaves hold the bins' free room and its inner nodes the largest below, so a piece costs
-one descent. The number of groups follows the number of rows, and only piece descriptions are shuffled.
+one descent. The number of groups follows the numbers of rows and bytes, and only piece descriptions are shuffled.
 
-Defined cases: a null text counts as empty, and an empty document is its end id alone; rows that share a doc_id are packed as
+Defined cases: a null text counts as empty, and an empty document is its end id alone; a very long text is encoded whole in one task (a few times its size in memory), its pieces spread over all groups; rows that share a doc_id are packed as
 separate documents (in the digest query their pieces have the same doc_id); ties go by a hash of the piece; an empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
@@ -14,13 +14,14 @@ result; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, groups, rows_of
+from .common import Batches, groups
 from .subwords import encoder
 
 LENGTH = 2048
@@ -86,14 +87,15 @@ def _pieces(tokenizer: str, end_id: int, length: int, n_groups: int, keep_ids: b
                 continue
             ids = b.column(0).to_pylist()
             rows = b.column(2).to_pylist()
-            out = []
+            out, before = [], Counter()
             for d, r, t in zip(ids, rows, enc.encode([t or "" for t in b.column(1).to_pylist()]), strict=True):
                 t = np.concatenate([t, end])
                 wide = t.astype("<u4")
                 for s in range(0, len(t), length):
                     part = wide[s : s + length]
-                    g = zlib.crc32(f"{r}:{s}".encode()) * n_groups >> 32
+                    g = zlib.crc32(f"{r}:{s}:{before[r]}".encode()) * n_groups >> 32
                     out.append((d, r, s, len(part), zlib.crc32(part), len(t), g, *[t[s : s + length].tobytes()] * keep_ids))
+                before[r] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, k[1]) for c, k in zip(zip(*out), kinds, strict=True)], names=[k[0] for k in kinds])
 
     return run, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, group long" + ", ids binary" * keep_ids
@@ -102,9 +104,10 @@ def _pieces(tokenizer: str, end_id: int, length: int, n_groups: int, keep_ids: b
 def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, per_group: int = 8192, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, row, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids, 16 bits each, if asked for).
 
-    A group holds about per_group documents' remainders and its share of full pieces; its memory is a few numbers per piece.
+    A group holds per_group pieces at most on average, a few numbers each.
     """
-    n = groups(rows_of(spark, docs), per_group)
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = groups(total + size / (2 * length), per_group)  # a token has two bytes or more, but for rare texts
     run, schema = _pieces(tokenizer, end_id, length, n, keep_ids)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("row"))
     pieces = src.mapInArrow(run, schema)
