@@ -3,32 +3,38 @@
 Format, below one folder: `shard-N.bin` holds ids back to back (unsigned 16-bit little-endian), nothing else; `index-N.mph` holds
 one hash bucket of keys: the levels of a minimal perfect hash (each a bit array in which the keys alone on
 their bit have it set; a key's slot is the rank of its bit) and, by slot, fingerprint, shard, first id,
-number of ids and the number of ids before the shard. A look-up hashes the key, tests one bit a level (1.6 levels on average), and reads one slot;
+number of ids and the number of ids before the shard; `keys` is a Parquet table of all keys, for reading everything back; `manifest.json` is written
+last and says how many buckets there are, so `open_store` finds a store from its folder alone. A look-up hashes the key, tests one bit a level (1.6 levels on
+average; the levels of a bucket, some bits a key, are read once and held for the last 64 buckets), and reads one slot of the index file and one range of the shard;
 a stored 32-bit fingerprint turns away keys that were never stored.
 
 Rows are range-partitioned and sorted by (doc_id, hash of text), encoded, and each partition writes one shard under a private name, moved
-into place when whole. A key is (doc_id, k): the k-th row of that doc_id, so a doc_id that many rows share
-spreads over the buckets, and a look-up of a doc_id asks for k = 0, 1, ... until there is none.
+into place when whole. Shards are as many as rows and bytes ask for. A key is (doc_id, k): the k-th row of that doc_id, so a doc_id that many rows share
+spreads over the buckets, and a look-up of a doc_id asks for k = 0, 1, ... until there is none. Ids before a shard are summed in windows of
+BLOCK shards; only one row for each of these blocks reaches the driver.
 
-Defined cases: null texts count as empty (the end id alone); a null doc_id is a key of its own and comes first; repeated doc_ids are
-separate records in order of their text's hash; an empty table gives no shard and an empty result; other columns are ignored.
+Defined cases: null texts count as empty (the end id alone); a null doc_id is a key of its own and comes first; repeated doc_ids and repeated rows are
+separate records in order of their text's hash; a very long text is encoded whole in one task and makes its shard longer; an empty table gives no shard and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Batches, get_file, groups, materialise, mix, put_file, rows_of, scratch
+from .common import NO_ID, Batches, drop_table, get_file, groups, materialise, mix, open_out, put_file, scratch, write_table
 from .subwords import encoder
 
 MAGIC = b"MPH1"
-NULL_KEY = np.int64(-0x7FFFFFFFFFFFFFF3)
+NULL_KEY = np.int64(NO_ID)
+BLOCK = 1024
 SLOT = np.dtype([("print", "<u4"), ("shard", "<u4"), ("first", "<u8"), ("n", "<u4"), ("pad", "<u4"), ("before", "<u8")])
 
 
@@ -95,13 +101,15 @@ def pack_index(doc_id: np.ndarray, k: np.ndarray, records: np.ndarray) -> list[b
     p = PerfectHash.build(h)
     slots = np.zeros(len(h), SLOT)
     slots[p.slots(h)] = records
-    slots["print"][p.slots(h)] = (mix(~h) >> np.uint64(32)).astype(np.uint32)
+    slots["print"][p.slots(h)] = IndexFile.print_of(h)
     head = np.array([seed, len(p.levels), len(h), *(len(x) for x in p.levels)], "<u8")
     return [MAGIC, head.tobytes(), *(x.tobytes() for x in p.levels), slots.tobytes()]
 
 
 class IndexFile:
-    def __init__(self, raw):
+    """An index file; with `slots` left out, only what comes before them, `head` bytes long."""
+
+    def __init__(self, raw, slots: bool = True):
         raw = memoryview(raw)
         if bytes(raw[:4]) != MAGIC:
             raise ValueError("not an index file")
@@ -111,41 +119,55 @@ class IndexFile:
         for s in sizes:
             levels.append(np.frombuffer(raw, np.uint8, s, at))
             at += s
-        self.hash, self.slots = PerfectHash(levels), np.frombuffer(raw, SLOT, n, at)
+        self.head, self.hash, self.slots = at, PerfectHash(levels), np.frombuffer(raw, SLOT, n, at) if slots else None
+
+    @classmethod
+    def levels_of(cls, file) -> IndexFile:
+        """Of an open file, without its slots."""
+        n_levels = int(np.frombuffer(file.read_at(8, 12), "<u8")[0])
+        sizes = np.frombuffer(file.read_at(8 * n_levels, 28), "<u8")
+        return cls(file.read_at(28 + 8 * n_levels + int(sizes.sum()), 0), slots=False)
+
+    @staticmethod
+    def print_of(h: np.ndarray) -> np.ndarray:
+        return (mix(~h) >> np.uint64(32)).astype(np.uint32)
 
     def find(self, doc_id: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are stored (by fingerprint), and the slots of those."""
         h = key_hash(doc_id, k, self.seed)
         s = self.hash.slots(h)
         ok = s >= 0
-        ok[ok] = self.slots["print"][s[ok]] == (mix(~h[ok]) >> np.uint64(32)).astype(np.uint32)
+        ok[ok] = self.slots["print"][s[ok]] == self.print_of(h[ok])
         return ok, self.slots[s[ok]]
 
 
 class TokenStore:
     """The files of one write. `find` and `get` answer for single documents from any process that sees the folder."""
 
-    def __init__(self, root: str, buckets: int, keys: DataFrame | None = None):
-        self.root, self.buckets, self.keys, self._open = root, buckets, keys, {}
-
-    def bucket_of(self, doc_id: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return bucket_of(doc_id, k, self.buckets)
+    def __init__(self, root: str, buckets: int):
+        self.root, self.buckets, self._open = root, buckets, {}
 
     def find(self, doc_id: int | None, k: int = 0):
+        """The slot of the k-th row of doc_id, or None."""
         d, n = np.array([NULL_KEY if doc_id is None else doc_id], np.int64), np.array([k], np.int64)
         b = int(bucket_of(d, n, self.buckets)[0])
-        if b not in self._open:
-            try:
-                self._open[b] = IndexFile(get_file(f"{self.root}/index-{b:06d}.mph"))
-            except FileNotFoundError:
-                return None
-        ok, slot = self._open[b].find(d, n)
-        return slot[0] if ok[0] else None
+        system, path = open_out(f"{self.root}/index-{b:06d}.mph")
+        try:
+            with system.open_input_file(path) as f:
+                if b not in self._open:
+                    if len(self._open) >= 64:
+                        self._open.pop(next(iter(self._open)))
+                    self._open[b] = IndexFile.levels_of(f)
+                index = self._open[b]
+                h = key_hash(d, n, index.seed)
+                at = int(index.hash.slots(h)[0])
+                slot = np.frombuffer(f.read_at(SLOT.itemsize, index.head + at * SLOT.itemsize), SLOT)[0] if at >= 0 else None
+        except FileNotFoundError:
+            return None
+        return slot if slot is not None and slot["print"] == index.print_of(h)[0] else None
 
     def get(self, doc_id: int | None, k: int = 0) -> np.ndarray | None:
         """The ids of the k-th row of doc_id, or None: one slot and one range of one shard are read."""
-        from .common import open_out
-
         s = self.find(doc_id, k)
         if s is None:
             return None
@@ -154,32 +176,47 @@ class TokenStore:
             return np.frombuffer(f.read_at(2 * int(s["n"]), 2 * int(s["first"])), "<u2")
 
 
+def open_store(root: str) -> TokenStore:
+    """The store that was written to a folder."""
+    return TokenStore(root, json.loads(bytes(get_file(f"{root}/manifest.json")))["buckets"])
+
+
 def bucket_of(doc_id: np.ndarray, k: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         return (key_hash(doc_id, k, 99) % np.uint64(buckets)).astype(np.int32)
 
 
 def _write_shards(root: str, tokenizer: str, end_id: int):
+    """Rows of kind 0, one a record; a row of kind 1 for each shard (its first doc_id, n equal ones at its beginning, `first` ids in all), and one of kind 2 for its last doc_id, if another."""
     end = np.array([end_id], "<u2").tobytes()
-    schema = pa.schema([("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())])
+    kinds = [("kind", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("doc_id", pa.int64()), ("first", pa.int64()), ("n", pa.int64())]
+    schema = pa.schema(kinds)
 
     def run(batches: Batches) -> Batches:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         out, at, rows = [], 0, 0
+        runs: list[list] = []  # the first and the last run of equal doc_ids
         for b in batches:
             if not b.num_rows:
                 continue
             ids = [x.tobytes() + end for x in enc.encode([t or "" for t in b.column(1).to_pylist()])]
+            for d, same in itertools.groupby(b.column(0).to_pylist()):
+                if runs and runs[-1][0] == d:
+                    runs[-1][1] += sum(1 for _ in same)
+                else:
+                    runs[1:] = [[d, sum(1 for _ in same)]]
             n = np.array([len(x) // 2 for x in ids], np.int64)
             first = at + np.cumsum(n) - n
             at += int(n.sum())
             out += ids
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(rows, rows + len(n))), b.column(0), pa.array(first), pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(rows, rows + len(n))), b.column(0), pa.array(first), pa.array(n)], schema=schema)
             rows += len(n)
         if rows:
             put_file(f"{root}/shard-{shard:06d}.bin", *out)
+            m = len(runs)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(([1, 2][:m], [shard] * m, [rows] * m, [r[0] for r in runs], [at] * m, [r[1] for r in runs]), kinds)], schema=schema)
 
-    return run, "shard int, at long, doc_id long, first long, n long"
+    return run, "kind int, shard int, at long, doc_id long, first long, n long"
 
 
 def _index(root: str):
@@ -195,56 +232,61 @@ def _index(root: str):
     return build
 
 
-def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, per_bucket: int = 262_144) -> TokenStore:
-    """Encode, write and index all rows of docs."""
-    total = rows_of(spark, docs)
-    root = scratch(spark, "tokens")
-    buckets = groups(total, per_bucket)
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(groups(total, per_shard), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    run, schema = _write_shards(root, tokenizer, end_id)
-    written = src.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).mapInArrow(run, schema)
-    meta = materialise(spark, written, "token-keys")
-    # a row a shard: its ids, and the run of equal doc_ids at either end
-    ends = meta.groupBy("shard").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min_by("doc_id", "at").alias("lo"), F.max_by("doc_id", "at").alias("hi")).orderBy("shard").collect()
-    tail = {r.shard: r.c for r in meta.alias("m").join(F.broadcast(spark.createDataFrame([(r.shard, r.hi) for r in ends], "shard int, hi long")), "shard").where("doc_id <=> hi").groupBy("shard").agg(F.count("*").alias("c")).collect()} if ends else {}
-    before, base, sofar, run_len, last = {}, {}, 0, 0, object()
-    for r in ends:
-        before[r.shard] = sofar
-        sofar += r.n
-        base[r.shard] = run_len if r.lo == last else 0
-        run_len = tail[r.shard] + (base[r.shard] if r.lo == r.hi else 0)
-        last = r.hi
-    bounds = spark.createDataFrame([(s, before[s], base[s]) for s in before], "shard int, before long, base long")
-    # the k-th row of its doc_id: counted in the shard, plus what earlier shards hold of the first one
-
-    def number(batches: Batches) -> Batches:
-        where: dict[int, tuple] = {}
+def _bounds(spark: SparkSession, edges: DataFrame) -> DataFrame:
+    """(shard, before, base): ids before each shard, and how many rows of its first doc_id earlier shards hold."""
+    earlier = lambda key: Window.partitionBy(key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = edges.where("kind = 1").select("shard", F.col("first").alias("ids"), F.expr(f"shard div {BLOCK}").alias("block"))
+    blocks = totals.groupBy("block").agg(F.sum("ids").alias("ids")).orderBy("block").collect()  # one row for 1,024 shards
+    sums = list(itertools.accumulate((r.ids for r in blocks), initial=0))
+    sofar = spark.createDataFrame([(r.block, s) for r, s in zip(blocks, sums)], "block long, sofar long")
+    before = totals.withColumn("inside", F.coalesce(F.sum("ids").over(earlier("block")), F.lit(0))).join(sofar, "block").select("shard", (F.col("inside") + F.col("sofar")).alias("before"))
+    base = edges.withColumn("base", F.coalesce(F.sum("n").over(earlier("doc_id")), F.lit(0))).where("kind = 1").select("shard", "base")
+    return before.join(base, "shard")
+
+
+def _number(buckets: int):
+    """The key of each record, from records in order of shard and place."""
+
+    def run(batches: Batches) -> Batches:
+        last = None  # shard, key, k and place of the last row
         for b in batches:
             if not b.num_rows:
                 continue
-            shard, doc, lo, base_ = (b.column(b.schema.get_field_index(c)) for c in ("shard", "doc_id", "at", "base"))
-            key = doc.fill_null(int(NULL_KEY)).to_numpy()
-            s, at, ba = shard.to_numpy(), lo.to_numpy(), base_.to_numpy()
-            k = np.empty(len(key), np.int64)
+            shard, doc, at, first, n, before, base = (b.column(b.schema.get_field_index(c)) for c in ("shard", "doc_id", "at", "first", "n", "before", "base"))
+            key = doc.fill_null(int(NULL_KEY)).to_numpy(zero_copy_only=False)
+            s, place = shard.to_numpy(), at.to_numpy()
             new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (s[1:] != s[:-1])]))
-            run_at = np.repeat(new, np.diff(np.append(new, len(key))))
-            k[:] = np.arange(len(key)) - run_at
-            first = at[run_at] == 0
-            k += np.where(first, ba, 0)
-            have = where.get(int(s[0]))
-            if have and have[0] == key[0] and have[2] + 1 == at[0]:
-                k[run_at == 0] += have[1] + 1 - (ba[0] if at[0] == 0 else 0)
-            where[int(s[-1])] = (key[-1], k[-1], at[-1])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(key), pa.array(k), shard, *(b.column(b.schema.get_field_index(c)) for c in ("first", "n", "before")), pa.array(bucket_of(key, k, buckets))], names=["doc_id", "key", "k", "shard", "first", "n", "before", "bucket"])
-
-    keyed = meta.join(F.broadcast(bounds), "shard") if len(ends) < 100_000 else meta.join(bounds, "shard")
-    keyed = keyed.repartition(max(1, len(ends)), "shard").sortWithinPartitions("shard", "at")
-    keyed = materialise(spark, keyed.mapInArrow(number, "doc_id long, key long, k long, shard int, first long, n long, before long, bucket int"), "token-index")
-    keyed.groupBy("bucket").applyInArrow(_index(root), "bucket int, n long").agg(F.sum("n")).collect()
-    return TokenStore(root, buckets, keyed.select("doc_id", "key", "k", "bucket"))
-
-
-def read_all(store: TokenStore, shards_per_task: int = 1) -> DataFrame:
+            begin = np.where(place[new] == 0, base.to_numpy()[new], 0)
+            if last and last[:2] == (s[0], key[0]):
+                begin[0] = last[2] + 1
+            many = np.diff(np.append(new, len(key)))
+            k = np.arange(len(key)) + np.repeat(begin - new, many)
+            last = (s[-1], key[-1], k[-1])
+            yield pa.RecordBatch.from_arrays([doc, pa.array(key), pa.array(k), shard, first, n, before, pa.array(bucket_of(key, k, buckets))], names=["doc_id", "key", "k", "shard", "first", "n", "before", "bucket"])
+
+    return run, "doc_id long, key long, k long, shard int, first long, n long, before long, bucket int"
+
+
+def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, shard_bytes: int = 1 << 26, per_bucket: int = 262_144) -> TokenStore:
+    """Encode, write and index all rows of docs, in a fresh folder (`root` of the store)."""
+    total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    root = scratch(spark, "tokens")
+    buckets = groups(total, per_bucket)
+    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(groups(total, per_shard), groups(size, shard_bytes)), *order)
+    run, schema = _write_shards(root, tokenizer, end_id)
+    meta = materialise(spark, src.sortWithinPartitions(*order).mapInArrow(run, schema), "token-records")
+    bounds = _bounds(spark, materialise(spark, meta.where("kind > 0"), "token-edges"))
+    run, schema = _number(buckets)
+    keyed = meta.where("kind = 0").join(bounds, "shard").repartition("shard").sortWithinPartitions("shard", "at")
+    keyed = write_table(spark, keyed.mapInArrow(run, schema), f"{root}/keys")
+    materialise(spark, keyed.groupBy("bucket").applyInArrow(_index(root), "bucket int, n long"), "token-buckets")
+    drop_table(spark, meta)
+    put_file(f"{root}/manifest.json", json.dumps({"buckets": buckets, "rows": total, "end_id": end_id, "tokenizer": tokenizer}).encode())
+    return TokenStore(root, buckets)
+
+
+def read_all(store: TokenStore) -> DataFrame:
     """Every stored row by keyed access: doc_id, k, start (ids of all rows before), n_tokens, ids_crc32 of 32-bit ids.
 
     Keys look themselves up in their bucket's index, then go to their shard, which is read once.
@@ -264,5 +306,6 @@ def read_all(store: TokenStore, shards_per_task: int = 1) -> DataFrame:
         crc = [zlib.crc32(np.frombuffer(raw, "<u2", int(m), 2 * int(f)).astype("<u4")) for f, m in zip(first, n)]
         return pa.table({"doc_id": table["doc_id"], "k": table["k"], "start": pa.array(first + table["before"].to_numpy()), "n_tokens": table["n"], "ids_crc32": pa.array(crc, pa.int64())})
 
-    found = store.keys.groupBy("bucket").applyInArrow(look, "doc_id long, k long, shard int, first long, n long, before long")
+    keys = SparkSession.active().read.schema("doc_id long, key long, k long, bucket int").parquet(f"{root}/keys")
+    found = keys.groupBy("bucket").applyInArrow(look, "doc_id long, k long, shard int, first long, n long, before long")
     return found.groupBy("shard").applyInArrow(read, "doc_id long, k long, start long, n_tokens long, ids_crc32 long")
