@@ -11,11 +11,11 @@ a further edge stays where it is. Both conserve mass, so a score's scale depends
 two figures from 0 to 1 that don't: a host's bad figure is its distrust seed, or if larger the damped mean of the bad figures of the hosts its links lead to
 (a mean by number of links); its good figure is its trust seed, or if larger the damped mean of the good figures of the hosts that link to it. A host is
 blocked if its bad figure exceeds its good one by more than `threshold`, or its distrust seed its trust seed: links to a host don't clear it of
-what rules say of its own pages. The rounds are joins on hosts with sums combined on the map side, cut by tables in the shared folder. Those of trust and
-distrust end early when nothing moves; the figures have as many as it takes until nothing moves.
+what rules say of its own pages. The rounds are joins on hosts with sums combined on the map side, cut by tables in the shared folder; all run until
+no host's value moves by `least`, which damping makes certain.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path, take part in no edge, and are allowed unless a rule without host
-and path is given; null html has no links; repeated rows are judged alike and count as pages; an empty table gives an empty result; other
+and path is given; null html has no links, very long html is searched whole; repeated rows are judged alike and count as pages; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import drop_table, finished, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -84,8 +84,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("w"))
 
 
-def propagate(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 12, least: float = 1e-6) -> DataFrame:
-    """(host, trust, distrust) from hosts (host, trust_seed, distrust_seed) and edges (src, dst, w)."""
+def propagate(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: float = 0.85, least: float = 1e-5, a_table: int = 3) -> DataFrame:
+    """(host, trust, distrust) from hosts (host, trust_seed, distrust_seed) and edges (src, dst, w); `a_table` rounds are one plan. A round shrinks what moves by `damping` at least."""
+    if not 0 <= damping < 1:
+        raise ValueError("damping isn't in [0, 1)")
     total = edges.groupBy("src").agg(F.sum("w").alias("t"))
     out = materialise(spark, edges.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "edges-out")
     total = edges.groupBy("dst").agg(F.sum("w").alias("t"))
@@ -94,19 +96,27 @@ def propagate(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping:
     has_out, has_in = out.select(F.col("src").alias("host"), F.lit(True).alias("has_out")).distinct(), back.select(F.col("dst").alias("host"), F.lit(True).alias("has_in")).distinct()
     base = hosts.join(ends, "host", "full").join(has_out, "host", "left").join(has_in, "host", "left").select("host", F.coalesce("trust_seed", F.lit(0.0)).alias("s"), F.coalesce("distrust_seed", F.lit(0.0)).alias("b"), F.coalesce("has_out", F.lit(False)).alias("o"), F.coalesce("has_in", F.lit(False)).alias("i"))
     state = materialise(spark, base.select("*", F.col("s").alias("trust"), F.col("b").alias("distrust")), "ranks")
-    for _ in range(rounds):
+
+    def step(state: DataFrame) -> DataFrame:
         t_in = out.join(state.where("trust > 0").select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * trust")).alias("t_in"))
         d_in = back.join(state.where("distrust > 0").select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * distrust")).alias("d_in"))
-        step = state.join(t_in, "host", "left").join(d_in, "host", "left")
         stay_t, stay_d = F.when(F.col("o"), 0.0).otherwise(F.col("trust")), F.when(F.col("i"), 0.0).otherwise(F.col("distrust"))
         # sums in any order: rounded, so that results don't depend on it
         trust = F.round((1 - damping) * F.col("s") + damping * (F.coalesce("t_in", F.lit(0.0)) + stay_t), 10)
         distrust = F.round((1 - damping) * F.col("b") + damping * (F.coalesce("d_in", F.lit(0.0)) + stay_d), 10)
-        new = materialise(spark, step.select("host", "s", "b", "o", "i", trust.alias("trust"), distrust.alias("distrust"), (F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))).alias("moved")), "ranks")
+        moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
+        return state.join(t_in, "host", "left").join(d_in, "host", "left").select("host", "s", "b", "o", "i", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved"))
+
+    moved = 0.0 if edges.isEmpty() else 1.0  # without edges, every value is its seed
+    while moved >= least:
+        new = state
+        for _ in range(a_table):
+            new = step(new)
+        new = materialise(spark, new, "ranks")
         moved = new.agg(F.max("moved")).first()[0] or 0.0
+        drop_table(spark, state)
         state = new.drop("moved")
-        if moved < least:
-            break
+    finished(spark, out, back)
     return state.select("host", "trust", "distrust")
 
 
@@ -121,7 +131,7 @@ def figures(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: fl
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     base = hosts.join(ends, "host", "full").select("host", F.coalesce("trust_seed", F.lit(0.0)).alias("s"), F.coalesce("distrust_seed", F.lit(0.0)).alias("b"))
     state = materialise(spark, base.select("*", F.col("s").alias("good"), F.col("b").alias("bad")), "figures")
-    moved = 1.0
+    moved = 0.0 if edges.isEmpty() else 1.0
     while moved >= least:
         g_in = behind.join(state.where("good > 0").select(F.col("host").alias("src"), "good"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * good")).alias("g_in"))
         b_in = ahead.join(state.where("bad > 0").select(F.col("host").alias("dst"), "bad"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * bad")).alias("b_in"))
@@ -130,11 +140,13 @@ def figures(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: fl
         step = state.join(g_in, "host", "left").join(b_in, "host", "left")
         new = materialise(spark, step.select("host", "s", "b", good.alias("good"), bad.alias("bad"), F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("moved")), "figures")
         moved = new.agg(F.max("moved")).first()[0] or 0.0
+        drop_table(spark, state)
         state = new.drop("moved")
+    finished(spark, ahead, behind)
     return state
 
 
-def judge(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float = 0.6, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judge(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float = 0.6, damping: float = 0.85) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, trust, distrust."""
     host, path = host_and_path()
     located = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).fillna("", ["host", "path"])
@@ -142,7 +154,7 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float =
     seeds = ruled.where("host <> ''").groupBy("host").agg((F.count_if(F.col("rule_allow")) / F.count("*")).alias("trust_seed"), (F.count_if(~F.col("rule_allow")) / F.count("*")).alias("distrust_seed"))
     edges = materialise(spark, host_edges(pages), "host-edges")
     bad = F.greatest(F.col("b") - F.col("s"), F.col("bad") - F.col("good")) > threshold
-    by_host = propagate(spark, seeds, edges, damping, rounds).join(figures(spark, seeds, edges, damping).select("host", bad.alias("__bad")), "host")
+    by_host = propagate(spark, seeds, edges, damping).join(figures(spark, seeds, edges, damping).select("host", bad.alias("__bad")), "host")
     word = lambda ok: F.when(ok, "allow").otherwise("block")
     joined = ruled.join(by_host, "host", "left")
     verdict = F.when(F.col("rule").isNotNull(), word(F.col("rule_allow"))).otherwise(word(~F.coalesce("__bad", F.lit(False))))
