@@ -9,8 +9,8 @@ As the model is linear after the mean, embedding and output layer fold into one
 one gather and one sum a text, over the whole text in pieces of bounded size.
 
 Every lang value is learned. The fit uses a bounded sample: for each language about `per_lang` labelled rows (200), or its even share of `max_rows` (4,000) if
-that is more, chosen by a hash of doc_id; so sample and model grow with the number of languages, not of rows.
-Defined cases: null texts and texts without a letter are `und` with score 0; null langs are not learned from; with no labelled row
+that is more, chosen by a 63-bit hash of doc_id and text, which leaves no language without rows however many there are; so sample and model grow with the number of languages, not of rows.
+Defined cases: very long texts are read whole, in pieces of PIECE characters; null texts and texts without a letter are `und` with score 0; null langs are not learned from; with no labelled row
 everything is `und`; repeated rows get equal results; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -86,6 +86,7 @@ def bag(t: str) -> tuple[np.ndarray, np.ndarray]:
 class LanguageModel:
     def __init__(self, langs: list[str], table: np.ndarray, bias: np.ndarray, temperature: float = 1.0, floor: float = 0.0):
         self.langs, self.table, self.bias, self.temperature, self.floor = langs, table, bias, temperature, floor
+        self.layers: tuple = ()  # embedding and output layer, as trained
 
     @classmethod
     def fit(cls, bags: list, y: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, reject: float = 0.01, seed: int = 3) -> LanguageModel:
@@ -114,6 +115,7 @@ class LanguageModel:
                 b -= lr * 0.1 * p
                 e[at] -= lr * 40 * share[:, None] * dh
         model = cls(langs, e @ w, b)
+        model.layers = e, w
         held = np.array([i for i in (held if len(held) else train) if len(bags[i][0])], int)
         if len(held):
             z = np.stack([model.logits(*bags[i]) for i in held])
@@ -158,7 +160,7 @@ def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None,
     n = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     each = max(per_lang, max_rows // max(1, len(n)))
     most = max(max_rows, each * len(n))
-    upto = spark.createDataFrame([(lang, int(min(1.0, each / k) * (1 << 24))) for lang, k in n.items()], "lang string, upto long")
+    upto = spark.createDataFrame([(lang, min((1 << 63) - 1, int(each / k * (1 << 63)))) for lang, k in n.items()], "lang string, upto long")
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -166,7 +168,7 @@ def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None,
                 got = [bag(t) for t in b.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0].astype("<u2").tobytes() for g in got]), pa.array([g[1].astype("<u4").tobytes() for g in got])], names=["lang", "at", "c"])
 
-    kept = own.join(F.broadcast(upto), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 24)) < F.col("upto"))
+    kept = own.join(F.broadcast(upto), "lang").where(F.expr("shiftrightunsigned(xxhash64(doc_id, text), 1) <= upto"))  # a row a language
     rows = kept.select("text", "lang").limit(most + most // 4).mapInArrow(run, "lang string, at binary, c binary").collect()
     rows = sorted(rows, key=lambda r: (r.lang, r.at, r.c))
     langs = sorted({r.lang for r in rows})
@@ -177,6 +179,8 @@ def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None,
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and rejected of every row, in one pass without a shuffle."""
 
+    model.layers = ()  # prediction needs the folded table only
+
     def run(batches: Batches) -> Batches:
         for b in batches:
             if b.num_rows:
