@@ -109,7 +109,8 @@ def _featured(docs: DataFrame, label: bool) -> DataFrame:
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, where=None) -> Ranker:
-    """Learn from labels (doc_id, quality) that satisfy `where`; max_labels bounds the rows read for it and sent to the driver."""
+    """Learn from labels (doc_id, quality) that satisfy `where`; the rows read for it and sent to the driver are max_labels and a quarter at most,
+    chosen by a hash of doc_id, whatever the table's size."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
     own = own.where(where) if where is not None else own
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -119,11 +120,10 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int
     keep = F.lit(False)
     for k, v in n.items():
         share = min(1.0, (rest[k] + max(0, room)) / v)
-        keep = keep | ((F.col("label") == k) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    # about max_labels rows, whatever the table's size
+        keep = keep | ((F.col("label") == k) & (F.expr("shiftrightunsigned(xxhash64(doc_id), 1)") <= min((1 << 63) - 1, int(share * (1 << 63)))))
     chosen = own.where(keep).limit(max_labels + max_labels // 4)
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
-    got = _featured(joined, True).limit(4 * max_labels).toPandas()
+    got = _featured(joined, True).limit(max_labels + max_labels // 4).toPandas()
     return Ranker.fit(np.array(got.f.tolist(), float).reshape(len(got), len(FEATURES)), got.label.to_numpy(float))
 
 
@@ -147,13 +147,9 @@ def quantile_threshold(scored: DataFrame, share: float, error: float = 1e-3) ->
 
 def filter_documents(spark: SparkSession, docs: DataFrame, model: Ranker, threshold: float) -> DataFrame:
     """The rows of docs that score at least `threshold`, all columns as they were."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("double")
-    def judged(t):
-        import pandas as pd
-
-        return pd.Series(model.score(np.array([features((x or "").encode()) for x in t]).reshape(len(t), len(FEATURES))))
+    @F.arrow_udf("double")
+    def judged(t: pa.Array) -> pa.Array:
+        return pa.array(model.score(np.array([features(x or b"") for x in t.cast(pa.binary()).to_pylist()]).reshape(len(t), len(FEATURES))))
 
     return docs.where(judged(F.col("text")) >= threshold)
 
