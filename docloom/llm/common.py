@@ -33,9 +33,40 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_scopes: list[list[str]] = []
+_marked: set[str] = set()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark)}/docloom/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, which is deleted when the driver ends (or by `temporary`)."""
+    top = f"{shared_root(spark)}/docloom-{spark.sparkContext.applicationId}"
+    if top not in _marked:
+        system, path = _hadoop(spark, top)
+        system.deleteOnExit(path)
+        _marked.add(top)
+    path = f"{top}/{name}-{uuid.uuid4().hex}"
+    for scope in _scopes:
+        scope.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The file system and the path, as the JVM knows them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession):
+    """Deletes at the end all that was made inside below `scratch` paths; write what should stay to a path from before."""
+    _scopes.append(made := [])
+    try:
+        yield
+    finally:
+        _scopes.remove(made)
+        for x in made:
+            system, path = _hadoop(spark, x)
+            system.delete(path, True)
 
 
 #: Spark removes the shuffle files of an execution when it ends, if this is set.
@@ -68,10 +99,9 @@ def write_table(spark: SparkSession, df: DataFrame, path: str, batch: int | None
 
 def drop_table(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a materialised table that nothing reads any more."""
-    jvm = spark._jvm
     for f in df.inputFiles()[:1]:
-        p = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        system, path = _hadoop(spark, os.path.dirname(f))
+        system.delete(path, True)
 
 
 def finished(spark: SparkSession, *tables: DataFrame) -> None:
@@ -158,31 +188,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def id_filter(spark: SparkSession, df: DataFrame, ids: DataFrame, key: str, most: int = 1 << 26) -> DataFrame:
-    """Drop rows of df whose key surely isn't in ids, before a join shuffles them.
+    """Drop rows of df whose key surely isn't in ids, before a join shuffles them; all inside the JVM.
 
-    About 16 bits per id, `most` bits (8 MB) at most, gathered by bitwise aggregation: at most most/63 longs reach the
-    driver whatever the input; a full filter only prunes less, the join after it stays exact.
+    About 16 bits per id, `most` bits (8 MB) at most, in bitmaps of 32,768 bits, which are broadcast: their size is bounded
+    whatever the input. A full filter only prunes less, the join after it stays exact. df mustn't have columns __slot, __map and __bucket.
     """
     bits = min(most, 1 << max(12, (16 * rows_of(spark, ids)).bit_length()))
-    from pyspark.sql.functions import pandas_udf
-
-    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits))
-    words = (
-        ids.select(slot.alias("s")).groupBy((F.col("s") / 63).cast("long").alias("w"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, CAST(s % 63 AS INT))")).alias("b")).toPandas()
-    )
-    table = np.zeros(bits // 63 + 1, np.int64)
-    table[words.w.to_numpy(np.int64)] = words.b.to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast(table)
-
-    @pandas_udf("boolean")
-    def maybe(s):
-        import pandas as pd
-
-        s = s.to_numpy()
-        return pd.Series((shared.value[s // 63] >> (s % 63)) & 1 == 1)
-
-    return df.where(maybe(slot))
+    slot = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
+    maps = ids.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__map"))
+    held = df.withColumn("__slot", slot).withColumn("__bucket", F.bitmap_bucket_number("__slot")).join(F.broadcast(maps), "__bucket")
+    byte = F.expr("cast(conv(hex(substring(__map, cast(bitmap_bit_position(__slot) div 8 as int) + 1, 1)), 16, 10) as int)")
+    hit = F.getbit(byte, (F.bitmap_bit_position("__slot") % 8).cast("int")) == 1
+    return held.where(hit).select(*df.columns)
 
 
 def rows_of(spark: SparkSession, df: DataFrame) -> int:

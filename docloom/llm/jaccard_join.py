@@ -329,7 +329,7 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = groups(size / 6 * join.share / 256, 1_500_000)
     run, schema = _sets(join, parts)
-    made = materialise(spark, src.mapInArrow(lean(run), schema), "sets")
+    made = materialise(spark, src.mapInArrow(lean(run), schema), "sets", 2 * ROWS)
     meta = materialise(spark, made.where("part IS NULL").select("doc_id", "row", "who", "node", "n"), "rows")
     # the 8 bytes that tell classes apart in the counts, read as one number
     swap = "".join(f"substr(hex(node), {i}, 2), " for i in range(15, 0, -2)).rstrip(", ")
