@@ -4,18 +4,19 @@ A suffix is retained at each anchor: the position whose 6-word hash is least amo
 window of 50 words has one anchor among its first 32 positions, chosen by the window's content alone, so
 equal windows in two documents have suffixes retained at the same place, which agree in at least 19 words.
 
-1. Retained suffixes are sorted by their leading 19 words (as a 64-bit hash; range-partitioned on it and on where they stand, so a
-   passage that a third of all documents share spreads over many tasks) and compared with their neighbours,
-   also across the borders of partitions. Suffixes unlike both neighbours are left out.
-2. Matches are extended left and right. All windows of an anchor together are its stretch; stretches are compared whole first
-   (a second hash). Where all suffixes with the same leading words have the same stretch, every window of it repeats.
-   Where they differ, the windows of one representative of each kind of stretch are compared one by one.
-3. Windows that occur twice or more, joined where they overlap, are the repeated passages: the same set of words that comparing
+1. Retained suffixes are sorted by their words (the first four as 16 bits each, ties by a 64-bit hash of the first 19, then by where they stand; range-partitioned
+   on all of it, so a passage that a third of all documents share spreads over many tasks) and compared with their neighbours,
+   also across the borders of partitions. Suffixes that agree with neither in 19 words are left out.
+2. All windows of an anchor together are its stretch. Where all suffixes with the same leading words have the same stretch (a second hash), every window of it repeats.
+3. Where they differ, one suffix of each kind of stretch is sorted again, by all its words up to the stretch's end (48 bits a word). The words that it shares
+   with its neighbours are counted; it shares no more with any other suffix. So matches are extended right: a window that ends
+   beyond what is shared stands alone. The others are extended left: windows that agree in their words before the anchor as well (a 64-bit hash) are found by grouping.
+4. Windows that occur twice or more, joined where they overlap, are the repeated passages: the same set of words that comparing
    all 50-word windows of all documents gives. The first occurrence, in order of doc_id, row and place, is marked as such.
 
-Words are ``[^\\x20\\x09-\\x0D]+`` and compared as they are; white space between them doesn't matter. Equality is that of 64-bit hashes.
-Defined cases: null texts and texts under 50 words have no repeated passage; passages repeated inside one document count;
-a null doc_id comes last in order; rows that share a doc_id are separate rows; rows equal in doc_id and text are one row;
+Words are ``[^\\x20\\x09-\\x0D]+`` and compared as they are; white space between them doesn't matter. Equality is that of the hashes named.
+Defined cases: null texts and texts under 50 words have no repeated passage; passages repeated inside one document count; very long texts are read whole, their anchors found
+in pieces; a null doc_id comes last in order; rows that share a doc_id are separate rows; rows equal in doc_id and text are one row;
 an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
@@ -28,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Batches, finished, groups, id_filter, materialise, mix, texts
-from .jaccard_join import word_hashes
+from .common import NO_ID, Batches, finished, groups, id_filter, identified, lean, materialise, mix, packed_rows, rows_of, texts
+from .jaccard_join import ROWS, word_hashes
 
 _B = 0x9E3779B97F4A7C15
+AT = "struct<x:boolean,doc_id:bigint,row:bigint,p:bigint>"
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -74,10 +76,10 @@ class Shape:
         self.words, self.window, self.gram, self.lead = words, window, gram, words - window + 1
 
     def anchors(self, w: np.ndarray):
-        """Anchor, first and last window start, hash of the leading words, hash of the whole stretch."""
+        """Anchor, first and last window start, the first four words, hash of the leading words, hash of the whole stretch."""
         n = len(w)
         if n < self.words:
-            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 3
         t = Text(w)
         at = np.arange(n - self.gram + 1)
         h = t.hash(at, at + self.gram)
@@ -92,11 +94,13 @@ class Shape:
         whole = t.hash(first, last + self.words)
         with np.errstate(over="ignore"):
             whole = mix(whole ^ ((p - first) * 64 + last - first).astype(np.uint64) * np.uint64(_B))
-        return p, first, last, t.hash(p, p + self.lead), whole
+        top = mix(w) >> np.uint64(48)
+        head = sum(top[p + i] << np.uint64(48 - 16 * i) for i in range(4)) ^ np.uint64(1 << 63)  # in order as a signed number
+        return p, first, last, head, t.hash(p, p + self.lead), whole
 
 
 def _anchors(shape: Shape):
-    names = ["lead", "whole", "doc_id", "row", "p", "back", "n"]
+    names = ["head", "lead", "whole", "doc_id", "row", "p", "back", "n"]
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -104,11 +108,11 @@ def _anchors(shape: Shape):
                 continue
             got = [shape.anchors(word_hashes(t)) for t in texts(b)]
             many = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-            p, first, last, lead, whole = (np.concatenate(c) for c in zip(*got))
+            p, first, last, head, lead, whole = (np.concatenate(c) for c in zip(*got))
             doc, row = (b.column(b.schema.get_field_index(c)).take(pa.array(many)) for c in ("doc_id", "row"))
-            yield pa.RecordBatch.from_arrays([pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), doc, row, pa.array(p), pa.array((p - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), doc, row, pa.array(p), pa.array((p - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], names=names)
 
-    return run, "lead long, whole long, doc_id long, row long, p long, back int, n int"
+    return run, "head long, lead long, whole long, doc_id long, row long, p long, back int, n int"
 
 
 def _neighbours(batches: Batches) -> Batches:
@@ -119,8 +123,8 @@ def _neighbours(batches: Batches) -> Batches:
         if not b.num_rows:
             continue
         b = pa.Table.from_batches(([held[0]] if held else []) + [b]).combine_chunks().to_batches()[0]
-        lead = b.column(0).to_numpy()
-        same = lead[1:] == lead[:-1]
+        lead = b.column(1).to_numpy()
+        same = lead[1:] == lead[:-1]  # 19 words
         twin = np.concatenate([[held[1] if held else False], same]) | np.concatenate([same, [False]])
         edge = np.zeros(len(lead), bool)
         edge[0] = not begun
@@ -136,57 +140,122 @@ def _neighbours(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([twin]), pa.array([True])], names=[*b.schema.names, "twin", "edge"])
 
 
+def _stretches(shape: Shape):
+    """Of each stretch asked for (`want`), its words before the anchor, last first, and from the anchor on: six bytes a word, in order."""
+    passed = ["lead", "whole", "c", "at", "back", "n"]
+
+    def run(batches: Batches) -> Batches:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            want = b.column(0)
+            offs, ws = want.offsets.to_numpy(), want.values
+            p, back, n = (ws.field(c).to_numpy() for c in ("p", "back", "n"))
+            entry, left, right = [], [], []
+            for i, t in enumerate(texts(b)):
+                w = np.ascontiguousarray(mix(word_hashes(t)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                for j in range(offs[i], offs[i + 1]):
+                    s = p[j] - back[j]
+                    left.append(w[s : p[j]][::-1].tobytes())
+                    right.append(w[p[j] : s + n[j] - 1 + shape.words].tobytes())
+                    entry.append(j)
+            at = pa.array(entry)
+            yield pa.RecordBatch.from_arrays([*(ws.field(c).take(at) for c in passed), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*passed, "before", "after"])
+
+    return run, f"lead long, whole long, c long, at {AT}, back int, n int, before binary, after binary"
+
+
+def _words_of(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of words as numbers, padded to `width`, and how many there are."""
+    raw = col.to_pylist()
+    many = np.array([len(x) // 6 for x in raw])
+    flat = np.zeros((many.sum(), 8), np.uint8)
+    flat[:, 2:] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), width), np.uint64)
+    out[np.arange(width) < many[:, None]] = flat.view(">u8").ravel()
+    return out, many
+
+
+def _windows(shape: Shape):
+    """From sorted suffixes, the windows that may repeat: hash, place in the stretch, and what is known of the stretch."""
+
+    def emit(b: pa.RecordBatch, after: np.ndarray, many: np.ndarray, shared: np.ndarray):
+        before, back = _words_of(b.column("before"), shape.window)
+        n = b.column("n").to_numpy()
+        shared = np.where(b.column("c").to_numpy() > 1, shape.words, shared)  # a stretch that is there twice is shared whole
+        # a window that begins k words before the anchor needs shape.words - k shared ones
+        least = np.maximum(back - n + 1, shape.words - shared)
+        hashes, entry, place = [], [], []
+        for j in np.flatnonzero(least <= back):
+            t = Text(np.concatenate([before[j, : back[j]][::-1], after[j, : many[j]]]))
+            s = np.arange(back[j] - least[j] + 1)
+            hashes.append(t.hash(s, s + shape.words))
+            entry.append(np.full(len(s), j))
+            place.append(s.astype(np.int32))
+        if hashes:
+            at = pa.array(np.concatenate(entry))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(place)), *(b.column(c).take(at) for c in ("c", "whole", "lead", "at"))], names=["w", "i", "c", "whole", "lead", "at"])
+
+    def run(batches: Batches) -> Batches:
+        held = None  # the last row, and what it shares with the one before it; at the ends of a partition, all it has
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if held:
+                b = pa.Table.from_batches([held[0], b]).combine_chunks().to_batches()[0]
+            after, many = _words_of(b.column("after"), shape.words)
+            lead = b.column("lead").to_numpy()
+            up_to = np.minimum(many[1:], many[:-1])
+            equal = (after[1:] == after[:-1]) & (np.arange(shape.words) < up_to[:, None])
+            common = np.where(lead[1:] == lead[:-1], np.logical_and.accumulate(equal, axis=1).sum(1), 0)
+            above = np.concatenate([[held[1] if held else shape.words], common])
+            shared = np.maximum(above, np.append(common, 0))
+            k = len(lead) - 1
+            yield from emit(b.slice(0, k), after[:k], many[:k], shared[:k])
+            held = b.slice(k), int(above[k])
+        if held:
+            after, many = _words_of(held[0].column("after"), shape.words)
+            yield from emit(held[0], after, many, np.array([shape.words]))
+
+    return run, f"w long, i int, c long, whole long, lead long, at {AT}"
+
+
 def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     """One row per repeated passage of each row of docs: doc_id, row, start and end (word numbers; end excluded), first, source_doc_id.
 
     `first` passages are first occurrences; the others repeat something that stands earlier, at its beginning in source_doc_id.
     """
     shape = shape or Shape()
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    src = identified(docs)
     run, schema = _anchors(shape)
-    made = materialise(spark, src.mapInArrow(run, schema), "anchors")
+    made = materialise(spark, src.mapInArrow(lean(run), schema), "anchors")
     total = made.count()
     parts = groups(total, 400_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    order = ("lead", "row", "p")
-    near = materialise(spark, made.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_neighbours, schema + ", twin boolean, edge boolean"), "twins")
+    order = ("head", "lead", "row", "p")
+    near = materialise(spark, made.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_neighbours), schema + ", twin boolean, edge boolean"), "twins")
     finished(spark, made)
     # leading words on both sides of a border between partitions: two rows a partition at most
     edges = near.where("edge").groupBy("lead").agg(F.countDistinct("row", "p").alias("c")).where("c > 1").select("lead")
-    twins = near.where("twin").unionByName(near.where("edge AND NOT twin").join(edges, "lead").select(near.columns)).drop("twin", "edge")
+    twins = near.where("twin").unionByName(near.where("edge AND NOT twin").join(edges, "lead").select(near.columns)).drop("head", "twin", "edge")
     twins = twins.distinct()  # repeated rows
     twins = materialise(spark, twins, "candidates")
     finished(spark, near)
 
     place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "p")
     kinds = twins.groupBy("lead", "whole", "back", "n").agg(F.count("*").alias("c"), F.min(place).alias("at"))
-    kinds = materialise(spark, kinds, "stretches")
+    kinds = materialise(spark, kinds, "kinds")
     mixed = kinds.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1").select("lead")
     ask = kinds.join(mixed, "lead").select("lead", "whole", "c", "at", "back", "n", F.col("at.row").alias("row"), F.col("at.p").alias("p"))
     ask = materialise(spark, ask, "mixed")
-    wanted = ask.groupBy("row").agg(F.collect_list(F.struct("p", "back", "n", "c", "whole", "lead", "at")).alias("want"))
-    with_text = id_filter(spark, src.select("row", "text"), ask, "row").join(wanted, "row").dropDuplicates(["row"]).select("want", "text")
-
-    def windows(batches: Batches) -> Batches:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            want = b.column(0)
-            offs, ws = want.offsets.to_numpy(), want.values
-            p, back, n = (ws.field(i).to_numpy() for i in range(3))
-            hashes, entry, place = [], [], []
-            for i, t in enumerate(texts(b)):
-                text = Text(word_hashes(t))
-                for j in range(offs[i], offs[i + 1]):
-                    s = np.arange(p[j] - back[j], p[j] - back[j] + n[j])
-                    hashes.append(text.hash(s, s + shape.words))
-                    entry.append(np.full(len(s), j))
-                    place.append(np.arange(len(s), dtype=np.int32))
-            if hashes:
-                at = pa.array(np.concatenate(entry))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(place)), *(ws.field(i).take(at) for i in (3, 4, 5)), ws.field(6).take(at)], names=["w", "i", "c", "whole", "lead", "at"])
-
-    at_type = "struct<x:boolean,doc_id:bigint,row:bigint,p:bigint>"
-    single = materialise(spark, with_text.mapInArrow(windows, f"w long, i int, c long, whole long, lead long, at {at_type}"), "windows")
+    wanted = ask.groupBy("row", F.coalesce("at.doc_id", F.lit(NO_ID)).alias("who")).agg(F.collect_list(F.struct("p", "back", "n", "c", "whole", "lead", "at")).alias("want"))
+    with_text = id_filter(spark, src.select("row", "who", "text"), ask, "row").join(wanted, ["row", "who"]).dropDuplicates(["row", "who"]).select("want", "text")
+    run, schema = _stretches(shape)
+    suffixes = materialise(spark, with_text.mapInArrow(lean(run), schema), "suffixes", ROWS)
+    run, schema = _windows(shape)
+    parts = groups(rows_of(spark, ask), 100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    single = suffixes.repartitionByRange(parts, "lead", "after", "whole").sortWithinPartitions("lead", "after", "whole").mapInArrow(lean(run), schema)
+    single = materialise(spark, single, "windows", ROWS)
+    finished(spark, ask, suffixes)
     # `at` is the anchor's place; two equal windows stand at the same distance from their anchors
     found = single.groupBy("lead", "w").agg(F.sum("c").alias("c"), F.min("at").alias("src")).where("c > 1")
     bit = F.expr("shiftleft(1L, i)")
@@ -198,7 +267,7 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
     verdict = plain.unionByName(masks)
     head = (F.col("head.row") == F.col("row")) & (F.col("head.p") == F.col("p"))
     marked = twins.join(verdict, ["lead", "whole"]).select("doc_id", "row", (F.col("p") - F.col("back")).alias("s"), "dup", F.when(head, F.col("own")).otherwise(F.lit(0).cast("long")).alias("own"), "src")
-    per = marked.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("s", "dup", "own", "src"))).alias("m"))
+    per = marked.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "dup", "own", "src"))).alias("m"))
 
     def spans(batches: Batches) -> Batches:
         for b in batches:
@@ -241,18 +310,18 @@ def cut(t: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) -> DataFrame:
     """docs with every repeated passage cut from all texts but the first occurrence; n_chars, if there, is counted anew. No row is dropped."""
-    spans = repeats(spark, docs, shape).where("NOT first").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")).withColumnRenamed("row", "__row")
-    joined = docs.withColumn("__row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(spans, "__row", "left")
-
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def without(text, spans):
-        import pandas as pd
+    spans = repeats(spark, docs, shape).where("NOT first").select("row", F.coalesce("doc_id", F.lit(NO_ID)).alias("who"), "start", "end")
+    spans = spans.groupBy("row", "who").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    joined = packed_rows(docs).join(spans, ["row", "who"], "left")
 
-        return pd.Series([t if t is None or s is None else cut(t.encode(), [(x["start"], x["end"]) for x in s]).decode() for t, s in zip(text, spans)])
+    @F.arrow_udf("string")
+    def without(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([cut(t.encode(), [(x["start"], x["end"]) for x in s]).decode() for t, s in zip(text.to_pylist(), spans.to_pylist())], pa.string())
 
     # only rows with a repeat go through Python
-    hit = joined.where("__spans IS NOT NULL").withColumn("text", without("text", "__spans"))
-    hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hit
-    return joined.where("__spans IS NULL").select(*docs.columns).unionByName(hit.select(*docs.columns))
+    plain = joined.where("spans IS NULL").select("d.*")
+    hit = joined.where("spans IS NOT NULL").select("d", without("d.text", "spans").alias("text"))
+    new = F.col("d").withField("text", F.col("text"))
+    if "n_chars" in docs.columns:
+        new = new.withField("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return plain.unionByName(hit.select(new.alias("d")).select("d.*"))
