@@ -267,10 +267,10 @@ def _number(buckets: int):
     return run, "doc_id long, key long, k long, shard int, first long, n long, before long, bucket int"
 
 
-def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, shard_bytes: int = 1 << 26, per_bucket: int = 262_144) -> TokenStore:
-    """Encode, write and index all rows of docs, in a fresh folder (`root` of the store)."""
+def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, shard_bytes: int = 1 << 26, per_bucket: int = 262_144, root: str | None = None) -> TokenStore:
+    """Encode, write and index all rows of docs below `root`, an empty or new folder that driver and executors share; by default one that lasts as long as the driver."""
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    root = scratch(spark, "tokens")
+    root = root or scratch(spark, "tokens")
     buckets = groups(total, per_bucket)
     order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(max(groups(total, per_shard), groups(size, shard_bytes)), *order)
