@@ -21,12 +21,17 @@ def list_sessions(messages: DataFrame, sessions: DataFrame, username: str = "gue
     return first.join(mine, "session_id").select("session_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), shortened(F.col("content"))).alias("title"), "ts").orderBy(F.desc("ts"), "session_id")
 
 
+def decoded_sources(c: Column) -> Column:
+    """PRJ17: the sources of an answer, an array of title and file; null if the text isn't valid JSON."""
+    return F.from_json(c, SOURCES)
+
+
 def transcript(messages: DataFrame, session_id, sessions: DataFrame | None = None, username: str | None = None) -> DataFrame:
     """GET history/{id}: role, content and decoded sources, oldest first; sources that aren't valid JSON are null. With sessions and a username, only for its owner."""
     if sessions is not None:
         checked(sessions, session_id, username)
     own = messages.where(F.col("session_id") == session_id).orderBy("timestamp", "id")
-    return own.select("id", "role", "content", F.from_json("sources", SOURCES).alias("sources"), "timestamp")
+    return own.select("id", "role", "content", decoded_sources(F.col("sources")).alias("sources"), "timestamp")
 
 
 def history_window(messages: DataFrame, n: int = 6, order: tuple[str, ...] = ("timestamp", "id")) -> DataFrame:

@@ -334,9 +334,12 @@ def html_escape(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("out"))
 
 
-@query("SELECT event_id, json_valid(props) AS valid, CAST(json_extract_string(props, '$.page') AS VARCHAR) AS page FROM events")
+@query("SELECT event_id, event_id % 3 > 0 AS valid, CASE event_id % 3 WHEN 1 THEN event_type END AS title, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS n FROM events")
 def json_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$").isNotNull().alias("valid"), F.get_json_object("props", "$.page").alias("page"))
+    # by turns no JSON, one source, an empty list
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no json "), "event_type")).when(F.col("event_id") % 3 == 1, F.to_json(F.array(F.struct(F.col("event_type").alias("title"), F.lit("f.pdf").alias("file"))))).otherwise("[]")
+    got = table(spark, d, "events").select("event_id", chat.decoded_sources(raw).alias("s"))
+    return got.select("event_id", F.col("s").isNotNull().alias("valid"), F.get("s", F.lit(0)).title.alias("title"), F.when(F.col("s").isNotNull(), F.size("s")).alias("n"))
 
 
 @query(f"SELECT conv_id, turn, {SHORT.format('text')} AS title FROM conversations")
@@ -457,7 +460,32 @@ def prompt_context(spark, d):
     return prompt.context_blocks(_hits(spark, d), "query_id")
 
 
-@query("SELECT item_id, '" + prompt.INTRO.replace("'", "''") + "\nCONTEXT:\n' || text || '\n\nPERTANYAAN:\n' || substr(text, 1, 20) || '\n\nJAWABAN:\n' AS prompt FROM benchmark")
+# the whole prompt, written out
+_PROMPT = """
+You answer questions about a collection of documents.
+
+Tasks:
+1. Answer the question from the context below alone, factually and precisely.
+2. Bring together what different documents say about it.
+3. Write out specific details: dates, numbers, names and places.
+4. Use lists where there is much to list.
+5. Come to the point and don''t repeat anything.
+6. If the question is so broad that the context holds several procedures or choices for it, don''t describe them all: give a short introduction, list the choices, and ask which one is meant.
+
+If the context doesn''t hold the answer, reply exactly: No information about this was found in the documents.
+Don''t invent facts, use no other knowledge, and answer in the language of the question.
+
+CONTEXT:
+' || text || '
+
+PERTANYAAN:
+' || substr(text, 1, 20) || '
+
+JAWABAN:
+"""
+
+
+@query(f"SELECT item_id, '{_PROMPT}' AS prompt FROM benchmark")
 def prompt_build(spark, d):
     return table(spark, d, "benchmark").select("item_id", prompt.prompt(F.substring("text", 1, 20), F.col("text")).alias("prompt"))
 
