@@ -1,11 +1,17 @@
 """The pipeline's stages, and the registered SQL of this subpackage."""
 
+import zlib
+
+import numpy as np
 import oracle
 import pytest
 from pyspark.sql import functions as F
+from test_operators import slow_features
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from docloom.llm.queries import ORACLE_SQL, queries
+from docloom.llm import quality_rank
+from docloom.llm.queries import ORACLE_SQL, queries, vocabulary
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -32,6 +38,41 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+def test_quality_stage_is_its_definition(spark, sf):
+    """Against features computed slowly and the score's formula: whole rows, all that score enough."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    m = quality_rank.fit(spark, docs, labels)
+
+    def score(t):
+        x = slow_features((t or "").encode())
+        return 1 / (1 + np.exp(-m.slope * sum(min(8, max(-8, (a - b) / c)) * d for a, b, c, d in zip(x, m.mean, m.scale, m.w)) - m.offset))
+
+    want = sorted(map(str, (r for r in docs.collect() if score(r.text) >= corpus_pipeline.QUALITY)))
+    assert sorted(map(str, corpus_pipeline.quality_classifier(spark, docs, sf).collect())) == want and len(want) < docs.count()
+
+
+def test_packing_stage_is_the_librarys(spark, docs, rows):
+    """Each document's pieces in order against the library's ids; sequences gapless and not overfull."""
+    lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    got, seq = {}, {}
+    for r in corpus_pipeline.packed(spark, docs.dropDuplicates(["doc_id"]), None).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+        seq.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    texts = {r.doc_id: r.text for r in docs.dropDuplicates(["doc_id"]).collect()}
+    for i, t in texts.items():
+        ids, at = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4"), 0
+        for start, length, crc, total in sorted(got[i]):
+            assert (start, total) == (at, len(ids)) and crc == zlib.crc32(ids[start : start + length])
+            at += length
+        assert at == len(ids)
+    for own in seq.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
 def test_stages_take_hard_tables(spark, docs, empty, sf):
     own = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for name, stage in corpus_pipeline.STAGES:
