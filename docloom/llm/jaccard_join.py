@@ -16,7 +16,8 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
    ones fall into the same of B groups of tokens, so combinations of two frequent tokens are indexed within groups. B is a power of two in step with the prefix, so
    long sets have few combinations as well; sets near a border between two values of B are indexed under both.
 5. Entries that hold more than one component are merged like the sketches, in rounds of one comparison a class. In those
-   that still do, classes outside the entry's first component are compared with all others of other components, filtered by length and by the positions of the shared tokens.
+   that still do, and of entries with the same classes in only one, classes outside the entry's first component are compared with all others of other components, filtered
+   by length and by the positions of the shared tokens.
 6. Candidates are verified on the whole sets.
 
 Defined cases: texts with fewer words than a shingle are one shingle, the whole sequence; null texts and texts without words have an empty set,
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, drop_table, finished, groups, id_filter, identified, lean, materialise, mix, rows_in, rows_of, texts
-from .components import components
+from .components import components, partly
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -309,7 +310,7 @@ def _merge(spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame
         drop_table(spark, pairs)
         if found:
             links.append(new)
-            old, comp = comp, components(spark, _all(links), "components")
+            old, comp = comp, partly(spark, _all(links), "components")
             if old is not None:
                 drop_table(spark, old)
         if found * few < tried:
@@ -382,20 +383,29 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
 
     held, comp = _merge(spark, join, index, comp, links, sets, "c > 0", False)
     finished(spark, index)
+    if links:
+        comp = components(spark, _all(links), "components")
     if comp is not None:
         held = _named(held, comp)
     else:
         held = held.withColumn("comp", F.col("id"))
-    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "lo")
-    held = held.join(mixed, "key")
-    x = held.where("comp <> lo").select("key", F.col("id").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
-    y = held.select("key", F.col("id").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
-    rest = x.join(y, (x.key == y.key) & (x.ca != y.cb) & (y.m <= x.fa) & (x.n <= y.fb) & F.expr(f"{join.num} * greatest(n, m) <= {join.den} * least(n, m)"))
+    # keys held by the same classes ask for the same pairs: they become one list, named by its classes (a name shared by chance only adds candidates)
+    h = F.xxhash64("id")
+    name = F.xxhash64(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit(1), "id")), F.min("id"), F.max("id"))
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), name.alias("list")).where("lo <> hi").select("key", "lo", "list")
+    lists = held.join(mixed, "key").groupBy("list", "lo", "id").agg(F.max("far").alias("far"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    lists = materialise(spark, lists, "lists")
+    x = lists.where("comp <> lo").select("list", "lo", F.col("id").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
+    y = lists.select("list", "lo", F.col("id").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
+    rest = x.join(y, ["list", "lo"]).where(f"ca <> cb AND m <= fa AND n <= fb AND {join.num} * greatest(n, m) <= {join.den} * least(n, m)")
     rest = materialise(spark, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if rows_of(spark, rest):
-        links.append(materialise(spark, _verify(spark, join, rest, sets), "new-links", ROWS))
-        comp = components(spark, _all(links), "components")
-    finished(spark, rest, sets, live, *links)
+        # links inside a component add nothing: a node and its root stand for those found so far
+        more = [materialise(spark, _verify(spark, join, rest, sets), "new-links", ROWS)]
+        more += [comp.select(F.col("node").alias("a"), F.col("root").alias("b"))] if comp is not None else []
+        comp = components(spark, _all(more), "components")
+        links.append(more[0])
+    finished(spark, lists, rest, sets, live, *links)
     low = classes.select("id", "node", "low", "row", "who")
     low = _named(low, comp) if comp is not None else low.withColumn("comp", F.col("id"))
     best = low.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("x"), "low", "who", "row")).alias("best"))
