@@ -7,7 +7,7 @@ a document's rank score is w . f(d). A logistic fit of one slope and one offset
 The fit uses a bounded sample: at most `max_labels` labelled rows (20,000), chosen by a hash of doc_id, the
 classes alike. Features (FEATURES) are shares and rates of the whole text, so texts of any length compare.
 
-Defined cases: null and empty texts have the features of an empty text and get a score; labels other than 0 and 1, null labels and
+Defined cases: very long texts are read whole; null and empty texts have the features of an empty text and get a score; labels other than 0 and 1, null labels and
 labels of unknown documents are ignored; several labels of one document count each; with no pair to learn
 from every score is 0.5; columns besides doc_id and text aren't read; an empty table gives an empty result.
 """

@@ -6,7 +6,7 @@ ledger, and an ablation (what each rule alone removes, what would come back with
 aggregation over the distinct masks, never a second look at the text.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. n_repeat_words counts word positions that lie in a 3-word window found twice or more in the text,
-the first one included. Defined cases: a null text has no words and fails the base rules; texts without
+the first one included. Defined cases: very long texts are measured whole, in memory of some ten times their size; a null text has no words and fails the base rules; texts without
 words have ratios of 0; rows are judged one by one, so repeated rows and ids get equal results; an empty table gives an
 empty result; other columns are ignored.
 """

@@ -168,7 +168,7 @@ def _stretches(shape: Shape):
 def _words_of(col: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows of words as numbers, padded to `width`, and how many there are."""
     raw = col.to_pylist()
-    many = np.array([len(x) // 6 for x in raw])
+    many = np.array([len(x) // 6 for x in raw], np.int64)
     flat = np.zeros((many.sum(), 8), np.uint8)
     flat[:, 2:] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
     out = np.zeros((len(raw), width), np.uint64)
@@ -211,7 +211,8 @@ def _windows(shape: Shape):
             above = np.concatenate([[held[1] if held else shape.words], common])
             shared = np.maximum(above, np.append(common, 0))
             k = len(lead) - 1
-            yield from emit(b.slice(0, k), after[:k], many[:k], shared[:k])
+            if k:
+                yield from emit(b.slice(0, k), after[:k], many[:k], shared[:k])
             held = b.slice(k), int(above[k])
         if held:
             after, many = _words_of(held[0].column("after"), shape.words)

@@ -639,3 +639,33 @@ def test_exact(spark, docs, rows, empty, per_owner):
     kept = exact_dedup.kept_documents(spark, docs, per_owner)
     assert kept.count() == len(group) and kept.columns == docs.columns
     assert exact_dedup.exact_dedup(spark, empty).count() == 0 and exact_dedup.kept_documents(spark, empty).count() == 0
+
+
+# -- very long texts --------------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """One unbroken word, one run of white space, and 60,000 words that hold a passage twice, through every operator."""
+    rng = np.random.default_rng(3)
+    some = np.array([f"w{i}" for i in range(5000)])
+    many, passage = list(rng.choice(some, 60_000)), [f"p{i}" for i in range(60)]
+    many[1000:1000] = passage
+    many[40_000:40_000] = passage
+    rows = [(0, "x" * 300_000), (1, " " * 600_000 + "\n" * 600_000 + "end"), (2, " ".join(many)), (3, "\t".join(many)), (4, "short text of some words")]
+    text = dict(rows)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(2)
+    assert {r.doc_id: (r.n_words, r.word_chars) for r in quality_rules.op1(df).collect()} == {i: (len(t.split()), sum(map(len, t.split()))) for i, t in rows}
+    assert language.op3(spark, df).count() == 5 and all(r.round_trip for r in unigram.encode_documents(spark, df, vocabulary("piece_bpe_32k.model")).collect())
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert quality_rank.op5(spark, df, labels).where("score BETWEEN 0 AND 1").count() == 5
+    lib = Tokenizer.from_file(vocabulary("byte_bpe_50k.json"))
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(spark, df, vocabulary("byte_bpe_50k.json")).collect()} == {i: len(lib.encode(t, add_special_tokens=False).ids) + 1 for i, t in rows}
+    lib = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    want = {i: zlib.crc32(np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4")) for i, t in rows}
+    assert {r.doc_id: r.ids_crc32 for r in token_store.read_all(token_store.write(spark, df, vocabulary("word_bpe_49k.json"))).collect()} == want
+    one = suffix_dedup.repeats(spark, df.where("doc_id <> 3")).collect()
+    assert sorted((r.doc_id, r.start, r.end, r["first"]) for r in one) == [(2, 1000, 1060, True), (2, 40_000, 40_060, False)]
+    linked = {r.doc_id: r.component_id for r in jaccard_join.link(spark, df, jaccard_join.Join()).collect()}
+    assert linked == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4}
+    kept = {r.doc_id: r.kept for r in exact_dedup.exact_dedup(spark, df).collect()}
+    assert kept == {0: True, 1: True, 2: True, 3: False, 4: True} and len(text[2]) == len(text[3])
