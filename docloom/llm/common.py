@@ -124,7 +124,10 @@ def identified(docs: DataFrame) -> DataFrame:
 def packed_rows(docs: DataFrame) -> DataFrame:
     """All columns of docs as one struct `d` beside `row` and `who` (see `identified`): no name of a user's column can clash."""
     who = F.col("doc_id").cast("long")
-    return docs.select(F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("d"), F.xxhash64(who, "text").alias("row"), F.coalesce(who, F.lit(NO_ID)).alias("who"))
+    return docs.select(
+        F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns)).alias("d"), F.xxhash64(who, "text").alias("row"),
+        F.coalesce(who, F.lit(NO_ID)).alias("who"),
+    )
 
 
 def rows_in(docs: DataFrame, stay: DataFrame) -> DataFrame:

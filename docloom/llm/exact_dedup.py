@@ -146,7 +146,10 @@ def _code_points(t: bytes) -> int:
 
 
 def _collapse(owners: int):
-    schema = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("body", pa.binary()), ("n", pa.int64()), ("cp", pa.int64()), ("id", pa.int64()), ("row", pa.int64())])
+    schema = pa.schema([
+        ("owner", pa.int32()), ("key", pa.int64()), ("body", pa.binary()), ("n", pa.int64()), ("cp", pa.int64()), ("id", pa.int64()),
+        ("row", pa.int64()),
+    ])
 
     def run(batches: Batches) -> Batches:
         for b in batches:
@@ -167,7 +170,10 @@ def _collapse(owners: int):
             k = keys[first]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(_owner(k, owners)), pa.array(k.view(np.int64)), pa.array(list(best), pa.binary())]
-                + [pa.array(x, pa.int64()) for x in ([e[1] for e in best.values()], [-e[2][0] for e in best.values()], [e[2][1] for e in best.values()], [e[2][2] for e in best.values()])],
+                + [pa.array(x, pa.int64()) for x in (
+                    [e[1] for e in best.values()], [-e[2][0] for e in best.values()], [e[2][1] for e in best.values()],
+                    [e[2][2] for e in best.values()],
+                )],
                 schema=schema,
             )
 
@@ -209,7 +215,10 @@ def _build(root: str):
                     chain.append([body, n, (-cp, i, row)])
         close_key()
         close_owner()
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int32())], names=["owner", "rows", "depth"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int32())],
+            names=["owner", "rows", "depth"],
+        )
 
     return run, "owner int, rows long, depth int"
 
@@ -244,7 +253,11 @@ def _ask(owners: int, hot: dict[int, int]):
             part = np.where(lead, (row.view(np.uint64) >> np.uint64(8)).astype(np.int64), np.arange(turn, turn + len(keys))) % shares[owner]
             turn += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array(row), pa.array(lead), pa.array(owner), pa.array(((owner + part * 7919) % owners).astype(np.int32)), pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(sha)]).cast(pa.binary())],
+                [
+                    b.column(b.schema.get_field_index("doc_id")), pa.array(row), pa.array(lead), pa.array(owner),
+                    pa.array(((owner + part * 7919) % owners).astype(np.int32)),
+                    pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(keys), [None, pa.py_buffer(sha)]).cast(pa.binary()),
+                ],
                 names=["doc_id", "row", "lead", "owner", "task", "sha"],
             )
 

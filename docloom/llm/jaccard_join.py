@@ -129,7 +129,10 @@ def _asks(own: list[np.ndarray], tags: np.ndarray, parts: int) -> pa.RecordBatch
 
 def _sets(join: Join, parts: int):
     """Rows of two kinds: the class and set size of each document, and what a batch asks of each part of the token space."""
-    kinds = [("part", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("who", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("ask", pa.binary())]
+    kinds = [
+        ("part", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("who", pa.int64()), ("node", pa.binary()), ("n", pa.int32()),
+        ("ask", pa.binary()),
+    ]
     schema = pa.schema(kinds)
 
     def rows(many: int, /, **columns) -> pa.RecordBatch:
@@ -201,7 +204,10 @@ def _own_tokens(table: pa.Table, ways: int) -> pa.Table:
     who, n, way = who[order], n[order].astype("<u4"), way[order]
     cut = np.searchsorted(way, np.arange(ways + 1))
     full = [i for i in range(ways) if cut[i] < cut[i + 1]]
-    return pa.table({"way": pa.array(full, pa.int32()), "tags": pa.array([who[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()), "own": pa.array([n[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())})
+    return pa.table({
+        "way": pa.array(full, pa.int32()), "tags": pa.array([who[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
+        "own": pa.array([n[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary()),
+    })
 
 
 def _sum_own(table: pa.Table) -> pa.Table:
@@ -249,7 +255,10 @@ def _index(join: Join):
             got = [_entries(join, int(n), df[i:j], tok[i:j]) for n, i, j in zip(sizes, offs, offs[1:])]
             m = [len(k) for k, _ in got]
             keys, far = (np.concatenate(c) for c in zip(*got))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(ids, m)), pa.array(np.repeat(sizes, m)), pa.array(far.astype(np.int32))], names=["key", "id", "n", "far"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), pa.array(np.repeat(ids, m)), pa.array(np.repeat(sizes, m)), pa.array(far.astype(np.int32))],
+                names=["key", "id", "n", "far"],
+            )
 
     return run, "key long, id long, n int, far int"
 
@@ -283,7 +292,10 @@ def _named(entries: DataFrame, comp: DataFrame) -> DataFrame:
     return entries.join(comp.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
 
 
-def _merge(spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame | None, links: list[DataFrame], sets: DataFrame, enough: str, central: bool, few: int = 20):
+def _merge(
+    spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame | None, links: list[DataFrame], sets: DataFrame, enough: str,
+    central: bool, few: int = 20,
+):
     """Compare each class with one of another component, round by round; returns what entries still hold several components, and the components.
 
     entries: key, id, n, far (and weight if the first round goes by it). A comparison needs as many shared entries c as `enough` says. Rounds end when less than one comparison in `few` links.
@@ -292,7 +304,9 @@ def _merge(spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame
     for turn in itertools.count():
         named = held.withColumn("comp", F.col("id")) if comp is None else _named(held, comp)
         weight = F.col("weight") if central and not turn else F.xxhash64("id", F.lit(turn))
-        lead = named.groupBy("key").agg(F.min(F.struct(weight.alias("w"), "id", "n", "far", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+        lead = named.groupBy("key").agg(
+            F.min(F.struct(weight.alias("w"), "id", "n", "far", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+        ).where("lo <> hi")
         lead = lead.select("key", F.col("l.id").alias("b"), F.col("l.n").alias("m"), F.col("l.far").alias("far_b"), F.col("l.comp").alias("comp_b"))
         met = materialise(spark, named.join(lead, "key").select("key", "id", "n", "far", "comp", "b", "m", "far_b", "comp_b"), "met")
         if turn:
@@ -335,8 +349,14 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     # the 8 bytes that tell classes apart in the counts, read as one number
     swap = "".join(f"substr(hex(node), {i}, 2), " for i in range(15, 0, -2)).rstrip(", ")
     classes = (
-        meta.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), "who", "row")).alias("rep"))
-        .select(F.monotonically_increasing_id().alias("id"), "node", "n", "size", "low", "rep.who", "rep.row", F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"))
+        meta.where("n > 0").groupBy("node").agg(
+            F.first("n").alias("n"), F.count("*").alias("size"), F.min("doc_id").alias("low"),
+            F.min(F.struct(F.col("doc_id").isNull().alias("x"), "who", "row")).alias("rep"),
+        )
+        .select(
+            F.monotonically_increasing_id().alias("id"), "node", "n", "size", "low", "rep.who", "rep.row",
+            F.expr(f"cast(conv(concat({swap}), 16, -10) as long)").alias("tag"),
+        )
     )
     classes = materialise(spark, classes, "classes")  # ids are fixed by being written
     ways = groups(rows_of(spark, docs), 250_000)
@@ -344,7 +364,9 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     prefix_sql = f"cast(n - ceil({join.num} * n / {join.den}D) + 1 as int)"
     alike = F.count("*").over(Window.partitionBy("tag"))  # classes with one tag can't tell whose tokens were counted
     live = classes.join(own, "tag", "left").withColumn("own", F.when(alike == 1, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)).cast("long"))
-    live = live.where(f"n * {join.den - join.num} >= {join.num} AND own < {prefix_sql}").select("id", "who", "row", "own", F.least("size", F.lit((1 << 20) - 1)).alias("size"))
+    live = live.where(f"n * {join.den - join.num} >= {join.num} AND own < {prefix_sql}").select(
+        "id", "who", "row", "own", F.least("size", F.lit((1 << 20) - 1)).alias("size"),
+    )
     live = materialise(spark, live, "live")
     finished(spark, made)
 
@@ -352,7 +374,10 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 got = [shingle_set(t, join.width) for t in texts(b)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2)], names=["id", "n", "toks", "weight"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2)],
+                    names=["id", "n", "toks", "weight"],
+                )
 
     texts_of = id_filter(spark, src.select("row", "who", "text"), live, "row").join(live, ["row", "who"]).dropDuplicates(["row", "who"])
     # a leader has fewest tokens of its own, then most copies: what near copies were made from, rather than one of them
@@ -361,13 +386,18 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     # the same count over all tokens of the classes left
     total = first.agg(F.sum("n").cast("long")).first()[0] or 0
     run, schema = _all_asks(groups(total, 1_500_000))
-    own = _count_own(first.select("id", "toks").mapInArrow(lean(run), schema), groups(rows_of(spark, first), 250_000)).select((F.col("tag") - 1).alias("id"), "own")
+    own = _count_own(
+        first.select("id", "toks").mapInArrow(lean(run), schema), groups(rows_of(spark, first), 250_000),
+    ).select((F.col("tag") - 1).alias("id"), "own")
     left = materialise(spark, first.select("id", "n").join(own, "id", "left").where(f"coalesce(own, 0) < {prefix_sql}").select("id"), "left", 2 * ROWS)
     sets = materialise(spark, id_filter(spark, first, left, "id").join(left, "id"), "left-sets")
     finished(spark, first, left)
 
     # any order of tokens serves for merging: the standard prefix by hash
-    quick = sets.select("id", "n", "weight", F.explode(F.expr(f"slice(toks, 1, least({join.sketch}, {prefix_sql}))")).alias("key"), F.expr(f"cast({join.den} * n div {join.num} as int)").alias("far"))
+    quick = sets.select(
+        "id", "n", "weight", F.explode(F.expr(f"slice(toks, 1, least({join.sketch}, {prefix_sql}))")).alias("key"),
+        F.expr(f"cast({join.den} * n div {join.num} as int)").alias("far"),
+    )
     links: list[DataFrame] = []
     held, comp = _merge(spark, join, quick, None, links, sets, f"4 * c >= least({join.sketch}, {prefix_sql})", True)
     finished(spark, held)
@@ -375,7 +405,9 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     named = sets.select("id", "toks")
     named = (_named(named, comp) if comp is not None else named.withColumn("comp", F.col("id"))).select("id", "comp", F.explode("toks").alias("tok"))
     flat = materialise(spark, named, "tokens")
-    df = flat.groupBy("tok").agg(F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("tok", F.col("df").cast("int").alias("df"))
+    df = flat.groupBy("tok").agg(
+        F.count("*").alias("df"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+    ).where("lo <> hi").select("tok", F.col("df").cast("int").alias("df"))
     ordered = flat.select("tok", "id").join(df, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"))
     run, schema = _index(join)
     index = materialise(spark, ordered.join(sets.select("id", "n"), "id").select("id", "n", "rest").mapInArrow(lean(run), schema), "index", ROWS)
@@ -409,11 +441,16 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     low = classes.select("id", "node", "low", "row", "who")
     low = _named(low, comp) if comp is not None else low.withColumn("comp", F.col("id"))
     best = low.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("x"), "low", "who", "row")).alias("best"))
-    by_class = low.join(best, "comp").select("node", F.col("best.low").alias("component_id"), F.col("best.row").alias("best"), F.col("best.who").alias("best_who"))
+    by_class = low.join(best, "comp").select(
+        "node", F.col("best.low").alias("component_id"), F.col("best.row").alias("best"), F.col("best.who").alias("best_who"),
+    )
     out = meta.join(by_class, "node", "left")
     alone = F.col("node").isNull()
     first = alone | ((F.col("row") == F.col("best")) & (F.col("who") == F.col("best_who")))
-    return out.select("doc_id", "row", "who", F.col("n").cast("long").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"))
+    return out.select(
+        "doc_id", "row", "who", F.col("n").cast("long").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), first.alias("first"),
+    )
 
 
 def first_documents(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:

@@ -89,7 +89,10 @@ class LanguageModel:
         self.layers: tuple = ()  # embedding and output layer, as trained
 
     @classmethod
-    def fit(cls, bags: list, y: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, reject: float = 0.01, seed: int = 3) -> LanguageModel:
+    def fit(
+        cls, bags: list, y: np.ndarray, langs: list[str], dim: int = 16, epochs: int = 4, rate: float = 0.5, reject: float = 0.01,
+        seed: int = 3,
+    ) -> LanguageModel:
         rng = np.random.default_rng(seed)
         n = len(langs)
         e = (rng.random((BUCKETS, dim)) - 0.5) / dim
@@ -166,7 +169,10 @@ def fit(spark: SparkSession, docs: DataFrame, max_rows: int = 4_000, where=None,
         for b in batches:
             if b.num_rows:
                 got = [bag(t) for t in b.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0].astype("<u2").tobytes() for g in got]), pa.array([g[1].astype("<u4").tobytes() for g in got])], names=["lang", "at", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(1), pa.array([g[0].astype("<u2").tobytes() for g in got]), pa.array([g[1].astype("<u4").tobytes() for g in got])],
+                    names=["lang", "at", "c"],
+                )
 
     kept = own.join(F.broadcast(upto), "lang").where(F.expr("shiftrightunsigned(xxhash64(doc_id, text), 1) <= upto"))  # a row a language
     rows = kept.select("text", "lang").limit(most + most // 4).mapInArrow(run, "lang string, at binary, c binary").collect()

@@ -66,7 +66,10 @@ def apply_rules(spark: SparkSession, located: DataFrame, rules, in_plan: int = 6
             fits = ((F.col("host") == r.host) | F.col("host").endswith("." + r.host)) & F.col("path").startswith(r.path)
             rule, allow = F.when(fits, F.lit(r.text)).otherwise(rule), F.when(fits, F.lit(r.allow)).otherwise(allow)
         return located.withColumn("rule", rule).withColumn("rule_allow", allow)
-    rows = spark.createDataFrame([(r.host, r.path, r.text, r.allow, i) for i, r in enumerate(ordered)], "rule_host string, rule_path string, rule string, rule_allow boolean, place int")
+    rows = spark.createDataFrame(
+        [(r.host, r.path, r.text, r.allow, i) for i, r in enumerate(ordered)],
+        "rule_host string, rule_path string, rule string, rule_allow boolean, place int",
+    )
     # judged per distinct (host, path): a row for every suffix of the host, joined to the rules of that suffix
     urls = located.select("host", "path").distinct()
     parts = F.split("host", r"\.")
@@ -94,18 +97,27 @@ def propagate(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping:
     back = materialise(spark, edges.join(total, "dst").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "edges-in")
     ends = edges.select(F.col("src").alias("host")).union(edges.select("dst")).distinct()
     has_out, has_in = out.select(F.col("src").alias("host"), F.lit(True).alias("has_out")).distinct(), back.select(F.col("dst").alias("host"), F.lit(True).alias("has_in")).distinct()
-    base = hosts.join(ends, "host", "full").join(has_out, "host", "left").join(has_in, "host", "left").select("host", F.coalesce("trust_seed", F.lit(0.0)).alias("s"), F.coalesce("distrust_seed", F.lit(0.0)).alias("b"), F.coalesce("has_out", F.lit(False)).alias("o"), F.coalesce("has_in", F.lit(False)).alias("i"))
+    base = hosts.join(ends, "host", "full").join(has_out, "host", "left").join(has_in, "host", "left").select(
+        "host", F.coalesce("trust_seed", F.lit(0.0)).alias("s"), F.coalesce("distrust_seed", F.lit(0.0)).alias("b"),
+        F.coalesce("has_out", F.lit(False)).alias("o"), F.coalesce("has_in", F.lit(False)).alias("i"),
+    )
     state = materialise(spark, base.select("*", F.col("s").alias("trust"), F.col("b").alias("distrust")), "ranks")
 
     def step(state: DataFrame) -> DataFrame:
-        t_in = out.join(state.where("trust > 0").select(F.col("host").alias("src"), "trust"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * trust")).alias("t_in"))
-        d_in = back.join(state.where("distrust > 0").select(F.col("host").alias("dst"), "distrust"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * distrust")).alias("d_in"))
+        t_in = out.join(
+            state.where("trust > 0").select(F.col("host").alias("src"), "trust"), "src",
+        ).groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * trust")).alias("t_in"))
+        d_in = back.join(
+            state.where("distrust > 0").select(F.col("host").alias("dst"), "distrust"), "dst",
+        ).groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * distrust")).alias("d_in"))
         stay_t, stay_d = F.when(F.col("o"), 0.0).otherwise(F.col("trust")), F.when(F.col("i"), 0.0).otherwise(F.col("distrust"))
         # sums in any order: rounded, so that results don't depend on it
         trust = F.round((1 - damping) * F.col("s") + damping * (F.coalesce("t_in", F.lit(0.0)) + stay_t), 10)
         distrust = F.round((1 - damping) * F.col("b") + damping * (F.coalesce("d_in", F.lit(0.0)) + stay_d), 10)
         moved = F.abs(trust - F.col("trust")) + F.abs(distrust - F.col("distrust"))
-        return state.join(t_in, "host", "left").join(d_in, "host", "left").select("host", "s", "b", "o", "i", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved"))
+        return state.join(t_in, "host", "left").join(d_in, "host", "left").select(
+            "host", "s", "b", "o", "i", trust.alias("trust"), distrust.alias("distrust"), moved.alias("moved"),
+        )
 
     moved = 0.0 if edges.isEmpty() else 1.0  # without edges, every value is its seed
     while moved >= least:
@@ -133,12 +145,23 @@ def figures(spark: SparkSession, hosts: DataFrame, edges: DataFrame, damping: fl
     state = materialise(spark, base.select("*", F.col("s").alias("good"), F.col("b").alias("bad")), "figures")
     moved = 0.0 if edges.isEmpty() else 1.0
     while moved >= least:
-        g_in = behind.join(state.where("good > 0").select(F.col("host").alias("src"), "good"), "src").groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * good")).alias("g_in"))
-        b_in = ahead.join(state.where("bad > 0").select(F.col("host").alias("dst"), "bad"), "dst").groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * bad")).alias("b_in"))
+        g_in = behind.join(
+            state.where("good > 0").select(F.col("host").alias("src"), "good"), "src",
+        ).groupBy(F.col("dst").alias("host")).agg(F.sum(F.expr("p * good")).alias("g_in"))
+        b_in = ahead.join(
+            state.where("bad > 0").select(F.col("host").alias("dst"), "bad"), "dst",
+        ).groupBy(F.col("src").alias("host")).agg(F.sum(F.expr("p * bad")).alias("b_in"))
         # greatest passes nulls over; rounded as in propagate
         good, bad = F.round(F.greatest("s", damping * F.col("g_in")), 10), F.round(F.greatest("b", damping * F.col("b_in")), 10)
         step = state.join(g_in, "host", "left").join(b_in, "host", "left")
-        new = materialise(spark, step.select("host", "s", "b", good.alias("good"), bad.alias("bad"), F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("moved")), "figures")
+        new = materialise(
+            spark,
+            step.select(
+                "host", "s", "b", good.alias("good"), bad.alias("bad"),
+                F.greatest(F.abs(good - F.col("good")), F.abs(bad - F.col("bad"))).alias("moved"),
+            ),
+            "figures",
+        )
         moved = new.agg(F.max("moved")).first()[0] or 0.0
         drop_table(spark, state)
         state = new.drop("moved")
@@ -151,11 +174,17 @@ def judge(spark: SparkSession, pages: DataFrame, rules=RULES, threshold: float =
     host, path = host_and_path()
     located = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path")).fillna("", ["host", "path"])
     ruled = apply_rules(spark, located, rules)
-    seeds = ruled.where("host <> ''").groupBy("host").agg((F.count_if(F.col("rule_allow")) / F.count("*")).alias("trust_seed"), (F.count_if(~F.col("rule_allow")) / F.count("*")).alias("distrust_seed"))
+    seeds = ruled.where("host <> ''").groupBy("host").agg(
+        (F.count_if(F.col("rule_allow")) / F.count("*")).alias("trust_seed"),
+        (F.count_if(~F.col("rule_allow")) / F.count("*")).alias("distrust_seed"),
+    )
     edges = materialise(spark, host_edges(pages), "host-edges")
     bad = F.greatest(F.col("b") - F.col("s"), F.col("bad") - F.col("good")) > threshold
     by_host = propagate(spark, seeds, edges, damping).join(figures(spark, seeds, edges, damping).select("host", bad.alias("__bad")), "host")
     word = lambda ok: F.when(ok, "allow").otherwise("block")
     joined = ruled.join(by_host, "host", "left")
     verdict = F.when(F.col("rule").isNotNull(), word(F.col("rule_allow"))).otherwise(word(~F.coalesce("__bad", F.lit(False))))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    return joined.select(
+        "page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"),
+        F.coalesce("distrust", F.lit(0.0)).alias("distrust"),
+    )

@@ -77,7 +77,10 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pieces(tokenizer: str, end_id: int, length: int, n_groups: int, keep_ids: bool):
-    kinds = [("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("group", pa.int64())] + [("ids", pa.binary())] * keep_ids
+    kinds = [
+        ("doc_id", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
+        ("doc_tokens", pa.int64()), ("group", pa.int64()),
+    ] + [("ids", pa.binary())] * keep_ids
     end = np.array([end_id], "<u2")
 
     def run(batches: Batches) -> Batches:
@@ -101,7 +104,10 @@ def _pieces(tokenizer: str, end_id: int, length: int, n_groups: int, keep_ids: b
     return run, "doc_id long, row long, start long, length long, ids_crc32 long, doc_tokens long, group long" + ", ids binary" * keep_ids
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, per_group: int = 8192, keep_ids: bool = False) -> DataFrame:
+def pack(
+    spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, per_group: int = 8192,
+    keep_ids: bool = False,
+) -> DataFrame:
     """One row per piece: doc_id, row, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids, 16 bits each, if asked for).
 
     A group holds per_group pieces at most on average, a few numbers each.

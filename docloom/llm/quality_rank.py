@@ -23,7 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import Batches, crc_mod
 
-FEATURES = ("log_words", "symbol", "upper", "bang", "pipe", "digit", "word_len", "distinct", "bigram_repeat", "run", "line_repeat", "symbol_words", "upper_words", "short", "punct", "empty")
+FEATURES = (
+    "log_words", "symbol", "upper", "bang", "pipe", "digit", "word_len", "distinct", "bigram_repeat", "run", "line_repeat", "symbol_words",
+    "upper_words", "short", "punct", "empty",
+)
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -111,7 +114,9 @@ def _featured(docs: DataFrame, label: bool) -> DataFrame:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_labels: int = 20_000, where=None) -> Ranker:
     """Learn from labels (doc_id, quality) that satisfy `where`; the rows read for it and sent to the driver are max_labels and a quarter at most,
     chosen by a hash of doc_id, whatever the table's size."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id IS NOT NULL AND label IN (0, 1)")
+    own = labels.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"),
+    ).where("doc_id IS NOT NULL AND label IN (0, 1)")
     own = own.where(where) if where is not None else own
     n = {r.label: r.n for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}
     each = max_labels // 2
@@ -156,4 +161,7 @@ def filter_documents(spark: SparkSession, docs: DataFrame, model: Ranker, thresh
 
 def op5(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(spark, docs, labels, where=crc_mod("doc_id", 5) != 0)
-    return score(docs, model).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank")
+    return score(docs, model).select(
+        "doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"), "rank",
+    )

@@ -37,7 +37,9 @@ def op5_quality_rank(spark, d):
 
 
 def op6_packing(spark, d):
-    return packing.pack(spark, table(spark, d, "documents"), vocabulary("byte_bpe_50k.json")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return packing.pack(spark, table(spark, d, "documents"), vocabulary("byte_bpe_50k.json")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset",
+    )
 
 
 def op7_token_store(spark, d):

@@ -110,7 +110,13 @@ def _anchors(shape: Shape):
             many = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
             p, first, last, head, lead, whole = (np.concatenate(c) for c in zip(*got))
             doc, row = (b.column(b.schema.get_field_index(c)).take(pa.array(many)) for c in ("doc_id", "row"))
-            yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), doc, row, pa.array(p), pa.array((p - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], names=names)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(head.view(np.int64)), pa.array(lead.view(np.int64)), pa.array(whole.view(np.int64)), doc, row, pa.array(p),
+                    pa.array((p - first).astype(np.int32)), pa.array((last - first + 1).astype(np.int32)),
+                ],
+                names=names,
+            )
 
     return run, "head long, lead long, whole long, doc_id long, row long, p long, back int, n int"
 
@@ -134,7 +140,9 @@ def _neighbours(batches: Batches) -> Batches:
         out[-1] = False
         if out.any():
             k = pa.array(np.flatnonzero(out))
-            yield pa.RecordBatch.from_arrays([*(c.take(k) for c in b.columns), pa.array(twin[out]), pa.array(edge[out])], names=[*b.schema.names, "twin", "edge"])
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(k) for c in b.columns), pa.array(twin[out]), pa.array(edge[out])], names=[*b.schema.names, "twin", "edge"],
+            )
     if held:
         b, twin = held
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array([twin]), pa.array([True])], names=[*b.schema.names, "twin", "edge"])
@@ -160,7 +168,10 @@ def _stretches(shape: Shape):
                     right.append(w[p[j] : s + n[j] - 1 + shape.words].tobytes())
                     entry.append(j)
             at = pa.array(entry)
-            yield pa.RecordBatch.from_arrays([*(ws.field(c).take(at) for c in passed), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=[*passed, "before", "after"])
+            yield pa.RecordBatch.from_arrays(
+                [*(ws.field(c).take(at) for c in passed), pa.array(left, pa.binary()), pa.array(right, pa.binary())],
+                names=[*passed, "before", "after"],
+            )
 
     return run, f"lead long, whole long, c long, at {AT}, back int, n int, before binary, after binary"
 
@@ -194,7 +205,13 @@ def _windows(shape: Shape):
             place.append(s.astype(np.int32))
         if hashes:
             at = pa.array(np.concatenate(entry))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(place)), *(b.column(c).take(at) for c in ("c", "whole", "lead", "at"))], names=["w", "i", "c", "whole", "lead", "at"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(place)),
+                    *(b.column(c).take(at) for c in ("c", "whole", "lead", "at")),
+                ],
+                names=["w", "i", "c", "whole", "lead", "at"],
+            )
 
     def run(batches: Batches) -> Batches:
         held = None  # the last row, and what it shares with the one before it; at the ends of a partition, all it has
@@ -233,7 +250,11 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
     total = made.count()
     parts = groups(total, 400_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
     order = ("head", "lead", "row", "p")
-    near = materialise(spark, made.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_neighbours), schema + ", twin boolean, edge boolean"), "twins")
+    near = materialise(
+        spark,
+        made.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(lean(_neighbours), schema + ", twin boolean, edge boolean"),
+        "twins",
+    )
     finished(spark, made)
     # leading words on both sides of a border between partitions: two rows a partition at most
     edges = near.where("edge").groupBy("lead").agg(F.countDistinct("row", "p").alias("c")).where("c > 1").select("lead")
@@ -264,10 +285,15 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
         F.bit_or(bit).alias("dup"), F.bit_or(F.when(F.col("at") == F.col("src"), bit).otherwise(F.lit(0).cast("long"))).alias("own"), F.min("src.doc_id").alias("src"), F.first("at").alias("head")
     )
     ones = F.expr("CASE WHEN n >= 63 THEN -1L ELSE shiftleft(1L, n) - 1L END")
-    plain = kinds.join(mixed, "lead", "left_anti").where("c > 1").select("lead", "whole", ones.alias("dup"), ones.alias("own"), F.col("at.doc_id").alias("src"), F.col("at").alias("head"))
+    plain = kinds.join(mixed, "lead", "left_anti").where("c > 1").select(
+        "lead", "whole", ones.alias("dup"), ones.alias("own"), F.col("at.doc_id").alias("src"), F.col("at").alias("head"),
+    )
     verdict = plain.unionByName(masks)
     head = (F.col("head.row") == F.col("row")) & (F.col("head.p") == F.col("p"))
-    marked = twins.join(verdict, ["lead", "whole"]).select("doc_id", "row", (F.col("p") - F.col("back")).alias("s"), "dup", F.when(head, F.col("own")).otherwise(F.lit(0).cast("long")).alias("own"), "src")
+    marked = twins.join(verdict, ["lead", "whole"]).select(
+        "doc_id", "row", (F.col("p") - F.col("back")).alias("s"), "dup",
+        F.when(head, F.col("own")).otherwise(F.lit(0).cast("long")).alias("own"), "src",
+    )
     per = marked.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "dup", "own", "src"))).alias("m"))
 
     def spans(batches: Batches) -> Batches:
@@ -293,7 +319,10 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
                         out.append((doc, row, now[0], now[1], first, now[2]))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))], names=["doc_id", "row", "start", "end", "first", "source_doc_id"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()))],
+                    names=["doc_id", "row", "start", "end", "first", "source_doc_id"],
+                )
 
     return per.select("row", "doc_id", "m").mapInArrow(spans, "doc_id long, row long, start long, end long, first boolean, source_doc_id long")
 

@@ -209,12 +209,21 @@ def _write_shards(root: str, tokenizer: str, end_id: int):
             first = at + np.cumsum(n) - n
             at += int(n.sum())
             out += ids
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), shard, np.int32)), pa.array(np.arange(rows, rows + len(n))), b.column(0), pa.array(first), pa.array(n)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.zeros(len(n), np.int32)), pa.array(np.full(len(n), shard, np.int32)),
+                    pa.array(np.arange(rows, rows + len(n))), b.column(0), pa.array(first), pa.array(n),
+                ],
+                schema=schema,
+            )
             rows += len(n)
         if rows:
             put_file(f"{root}/shard-{shard:06d}.bin", *out)
             m = len(runs)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(([1, 2][:m], [shard] * m, [rows] * m, [r[0] for r in runs], [at] * m, [r[1] for r in runs]), kinds)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, (_, t) in zip(([1, 2][:m], [shard] * m, [rows] * m, [r[0] for r in runs], [at] * m, [r[1] for r in runs]), kinds)],
+                schema=schema,
+            )
 
     return run, "kind int, shard int, at long, doc_id long, first long, n long"
 
@@ -262,12 +271,18 @@ def _number(buckets: int):
             many = np.diff(np.append(new, len(key)))
             k = np.arange(len(key)) + np.repeat(begin - new, many)
             last = (s[-1], key[-1], k[-1])
-            yield pa.RecordBatch.from_arrays([doc, pa.array(key), pa.array(k), shard, first, n, before, pa.array(bucket_of(key, k, buckets))], names=["doc_id", "key", "k", "shard", "first", "n", "before", "bucket"])
+            yield pa.RecordBatch.from_arrays(
+                [doc, pa.array(key), pa.array(k), shard, first, n, before, pa.array(bucket_of(key, k, buckets))],
+                names=["doc_id", "key", "k", "shard", "first", "n", "before", "bucket"],
+            )
 
     return run, "doc_id long, key long, k long, shard int, first long, n long, before long, bucket int"
 
 
-def write(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, shard_bytes: int = 1 << 26, per_bucket: int = 262_144, root: str | None = None) -> TokenStore:
+def write(
+    spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, per_shard: int = 16_384, shard_bytes: int = 1 << 26,
+    per_bucket: int = 262_144, root: str | None = None,
+) -> TokenStore:
     """Encode, write and index all rows of docs below `root`, an empty or new folder that driver and executors share; by default one that lasts as long as the driver."""
     total, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     root = root or scratch(spark, "tokens")
@@ -298,13 +313,20 @@ def read_all(store: TokenStore) -> DataFrame:
         ok, s = IndexFile(get_file(f"{root}/index-{bucket:06d}.mph")).find(table["key"].to_numpy(), table["k"].to_numpy())
         if not ok.all():
             raise KeyError("a stored key isn't found")
-        return pa.table({"doc_id": table["doc_id"], "k": table["k"], "shard": pa.array(s["shard"].astype(np.int32)), "first": pa.array(s["first"].astype(np.int64)), "n": pa.array(s["n"].astype(np.int64)), "before": pa.array(s["before"].astype(np.int64))})
+        return pa.table({
+            "doc_id": table["doc_id"], "k": table["k"], "shard": pa.array(s["shard"].astype(np.int32)),
+            "first": pa.array(s["first"].astype(np.int64)), "n": pa.array(s["n"].astype(np.int64)),
+            "before": pa.array(s["before"].astype(np.int64)),
+        })
 
     def read(table: pa.Table) -> pa.Table:
         raw = memoryview(get_file(f"{root}/shard-{table['shard'][0].as_py():06d}.bin"))
         first, n = table["first"].to_numpy(), table["n"].to_numpy()
         crc = [zlib.crc32(np.frombuffer(raw, "<u2", int(m), 2 * int(f)).astype("<u4")) for f, m in zip(first, n)]
-        return pa.table({"doc_id": table["doc_id"], "k": table["k"], "start": pa.array(first + table["before"].to_numpy()), "n_tokens": table["n"], "ids_crc32": pa.array(crc, pa.int64())})
+        return pa.table({
+            "doc_id": table["doc_id"], "k": table["k"], "start": pa.array(first + table["before"].to_numpy()), "n_tokens": table["n"],
+            "ids_crc32": pa.array(crc, pa.int64()),
+        })
 
     keys = SparkSession.active().read.schema("doc_id long, key long, k long, bucket int").parquet(f"{root}/keys")
     found = keys.groupBy("bucket").applyInArrow(look, "doc_id long, k long, shard int, first long, n long, before long")
