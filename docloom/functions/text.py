@@ -77,4 +77,6 @@ def log_level(c: Column) -> Column:
 
 def generation_error(c: Column) -> Column:
     """PRJ16: what the user is told when generation fails."""
-    return F.when(c.contains("429") | c.contains("RESOURCE_EXHAUSTED"), "The language model is busy (rate limit). Please try again later.").otherwise(F.concat(F.lit("Generation failed: "), c))
+    return F.when(
+        c.contains("429") | c.contains("RESOURCE_EXHAUSTED"), "The language model is busy (rate limit). Please try again later.",
+    ).otherwise(F.concat(F.lit("Generation failed: "), c))

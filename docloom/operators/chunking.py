@@ -58,7 +58,10 @@ def chunk_rows(t: str | None, size: int, overlap: int, separators: Sequence[str]
     return [(i, c.strip(), len(c.strip())) for i, c in enumerate(split_text(t, size, overlap, separators)) if c.strip()]
 
 
-def chunk_documents(docs: DataFrame, source: str = "source_file", document: str = "document_id", text: str = "text", size: int | None = None, overlap: int | None = None, separators: Sequence[str] | None = None, random_ids: bool = False) -> DataFrame:
+def chunk_documents(
+    docs: DataFrame, source: str = "source_file", document: str = "document_id", text: str = "text", size: int | None = None,
+    overlap: int | None = None, separators: Sequence[str] | None = None, random_ids: bool = False,
+) -> DataFrame:
     """Rows of the CHUNK schema. Ids are hashes of file, document, index and content, so repeated tasks give the same ones; or random if asked for."""
     s = DEFAULT.given(chunk_size=size, chunk_overlap=overlap, separators=separators)
     args = (s.chunk_size, s.chunk_overlap, tuple(s.separators))
@@ -73,9 +76,14 @@ def chunk_documents(docs: DataFrame, source: str = "source_file", document: str
                 rows += got
             if rows:
                 i, c, n = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.string()), pa.array(doc, pa.string()), pa.array(i, pa.int32()), pa.array(c, pa.string()), pa.array(n, pa.int32())], names=["source_file", "document_id", "chunk_index", "content", "char_count"])
-
-    cut = docs.select(F.col(source).cast("string"), F.col(document).cast("string"), F.col(text).cast("string")).mapInArrow(run, "source_file string, document_id string, chunk_index int, content string, char_count int")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(src, pa.string()), pa.array(doc, pa.string()), pa.array(i, pa.int32()), pa.array(c, pa.string()), pa.array(n, pa.int32())],
+                    names=["source_file", "document_id", "chunk_index", "content", "char_count"],
+                )
+
+    cut = docs.select(F.col(source).cast("string"), F.col(document).cast("string"), F.col(text).cast("string")).mapInArrow(
+        run, "source_file string, document_id string, chunk_index int, content string, char_count int",
+    )
     key = F.uuid() if random_ids else F.sha2(F.concat_ws("#", "source_file", "document_id", "chunk_index", "content"), 256)
     return cut.select(key.alias("chunk_id"), "source_file", "document_id", "chunk_index", "content", "char_count")
 

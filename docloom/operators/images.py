@@ -149,7 +149,10 @@ def closed(img: np.ndarray, size: int = 2) -> np.ndarray:
     return _run(_run(up[::-1, ::-1], size, 0, np.minimum), size, 1, np.minimum)[::-1, ::-1]
 
 
-def prepared(img: np.ndarray, share: float = 0.02, diameter: int = 9, tone: float = 75, space: float = 75, block: int = 15, c: float = 8, least_degrees: float = 0.5) -> np.ndarray:
+def prepared(
+    img: np.ndarray, share: float = 0.02, diameter: int = 9, tone: float = 75, space: float = 75, block: int = 15, c: float = 8,
+    least_degrees: float = 0.5,
+) -> np.ndarray:
     """ING3: all steps in order."""
     img = crop_border(img, share) if share > 0 else img
     return closed(deskewed(threshold(smooth(gray(img), diameter, tone, space), block, c), least_degrees))

@@ -33,7 +33,10 @@ def psm_for(kind: Column, s: Settings = Settings()) -> Column:
 def fold(pages: DataFrame, key: str, number: str = "page_num", text: str = "text") -> DataFrame:
     """ING7: (key, text, page_count): trimmed page texts in page order, a blank line between them; empty pages count but add nothing."""
     rows = F.sort_array(F.collect_list(F.struct(F.col(number).alias("n"), u_trim(F.coalesce(text, F.lit(""))).alias("t"))))
-    return pages.groupBy(key).agg(rows.alias("p")).select(key, F.array_join(F.transform(F.filter("p", lambda x: x.t != ""), lambda x: x.t), "\n\n").alias("text"), F.size("p").cast("long").alias("page_count"))
+    return pages.groupBy(key).agg(rows.alias("p")).select(
+        key, F.array_join(F.transform(F.filter("p", lambda x: x.t != ""), lambda x: x.t), "\n\n").alias("text"),
+        F.size("p").cast("long").alias("page_count"),
+    )
 
 
 def decode(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = Settings(), page: int | None = None) -> DataFrame:
@@ -50,7 +53,10 @@ def decode(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = Sett
                     out.append((path, None, None, f"{type(e).__name__}: {e}"))
             if out:
                 c = list(zip(*out))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, (pa.string(), pa.int32(), pa.binary(), pa.string()))], names=["path", "page_num", "image", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(c, (pa.string(), pa.int32(), pa.binary(), pa.string()))],
+                    names=["path", "page_num", "image", "error"],
+                )
 
     return files.select("path", "content").mapInArrow(run, "path string, page_num int, image binary, error string")
 
@@ -74,7 +80,10 @@ def recognised(pages: DataFrame, make: Callable[[], PageDecoder], s: Settings =
             if out:
                 c = list(zip(*out))
                 types = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(c, types)], names=["path", "page_num", "page_type", "psm_used", "text", "char_count", "error"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(c, types)],
+                    names=["path", "page_num", "page_type", "psm_used", "text", "char_count", "error"],
+                )
 
     ok = pages.where("error IS NULL").select("path", "page_num", "image").repartition("path", "page_num")
     return ok.mapInArrow(run, "path string, page_num int, page_type string, psm_used int, text string, char_count int, error string")
@@ -86,5 +95,8 @@ def extracted(files: DataFrame, make: Callable[[], PageDecoder], s: Settings = S
     done = recognised(pages, make, s)
     detail = done.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page_num", "page_type", "psm_used", "char_count"))).alias("pages"))
     good = fold(done, "path").join(detail, "path").select("path", "text", "page_count", "pages", F.lit(None).cast("string").alias("error"))
-    bad = pages.where("error IS NOT NULL").select("path", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("page_count"), F.lit(None).cast(good.schema["pages"].dataType).alias("pages"), "error")
+    bad = pages.where("error IS NOT NULL").select(
+        "path", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("page_count"),
+        F.lit(None).cast(good.schema["pages"].dataType).alias("pages"), "error",
+    )
     return good.unionByName(bad)

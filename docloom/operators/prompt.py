@@ -50,4 +50,7 @@ def prompt(query: Column, context: Column) -> Column:
 
 def condensing_prompt(query: Column, history: Column) -> Column:
     """PRJ15: asks for a question that can be understood without the history."""
-    return F.concat(F.lit("Rewrite the last question so that it can be understood alone. Answer with the question only.\n\nHistory:\n"), history, F.lit("\nQuestion: "), query)
+    return F.concat(
+        F.lit("Rewrite the last question so that it can be understood alone. Answer with the question only.\n\nHistory:\n"), history,
+        F.lit("\nQuestion: "), query,
+    )

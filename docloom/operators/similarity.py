@@ -24,7 +24,10 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
-def knn(spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding", query_key: str = "query_id", block: int = 1024) -> DataFrame:
+def knn(
+    spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding",
+    query_key: str = "query_id", block: int = 1024,
+) -> DataFrame:
     """(query_key, key, distance, score, rank): the k rows of the store nearest to each query, distance and score rounded to 6 digits, ties by key.
 
     Null and zero vectors are never found. The store may be smaller than k. `block` query vectors are sent to the tasks at a time.
@@ -51,7 +54,10 @@ def knn(spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key:
                     ok = np.flatnonzero(~np.isnan(row))
                     best = ok[np.lexsort((place[ok], row[ok]))[:k]]
                     if len(best):
-                        yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(best), to_q), keys.take(pa.array(best)), pa.array(row[best])], names=["q", "key", "distance"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([names[i]] * len(best), to_q), keys.take(pa.array(best)), pa.array(row[best])],
+                            names=["q", "key", "distance"],
+                        )
 
         from pyspark.sql.pandas.types import to_arrow_type
 
@@ -71,7 +77,10 @@ def knn(spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key:
     return ranked.select(F.col("q").alias(query_key), F.col("key").alias(key), "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
 
 
-def retrieve(spark: SparkSession, store: DataFrame, queries: DataFrame, top_k: int = 5, min_score: float = 0.6, key: str = "chunk_id", content: str = "content") -> DataFrame:
+def retrieve(
+    spark: SparkSession, store: DataFrame, queries: DataFrame, top_k: int = 5, min_score: float = 0.6, key: str = "chunk_id",
+    content: str = "content",
+) -> DataFrame:
     """The whole retrieval: over-fetch (TOP1), contents joined to the candidates only, rescoring (PRJ5), threshold (FLT1), top k (TOP2).
 
     queries: query_id, query, embedding. Returns query_id, key, content, distance, score, rank.

@@ -16,7 +16,10 @@ def shown_date(c: Column) -> Column:
 def catalog(files: DataFrame, stored: DataFrame) -> DataFrame:
     """title, file, date, status of each file (file, modified); stored: (document_id, source_file). Store documents without a file are left out."""
     have = stored.select(F.col("source_file").alias("file"), F.lit(True).alias("have")).distinct()
-    return files.join(have, "file", "left").select(file_title(F.col("file")).alias("title"), "file", F.coalesce(shown_date(F.col("modified")), F.lit("-")).alias("date"), F.when(F.col("have"), "Ready").otherwise("Proses").alias("status"))
+    return files.join(have, "file", "left").select(
+        file_title(F.col("file")).alias("title"), "file", F.coalesce(shown_date(F.col("modified")), F.lit("-")).alias("date"),
+        F.when(F.col("have"), "Ready").otherwise("Proses").alias("status"),
+    )
 
 
 def search(rows: DataFrame, keyword: str) -> DataFrame:

@@ -17,8 +17,12 @@ OLD_TITLE = "Sesi Riwayat"
 def list_sessions(messages: DataFrame, sessions: DataFrame, username: str = "guest") -> DataFrame:
     """GET history: sessions of a user with a user message, newest first by their first message: session_id, title, ts."""
     mine = sessions.where(F.col("username") == username).select("session_id", "title")
-    first = messages.where("role = 'user'").groupBy("session_id").agg(F.min("timestamp").alias("ts"), F.min_by("content", F.struct("timestamp", "id")).alias("content"))
-    return first.join(mine, "session_id").select("session_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), shortened(F.col("content"))).alias("title"), "ts").orderBy(F.desc("ts"), "session_id")
+    first = messages.where("role = 'user'").groupBy("session_id").agg(
+        F.min("timestamp").alias("ts"), F.min_by("content", F.struct("timestamp", "id")).alias("content"),
+    )
+    return first.join(mine, "session_id").select(
+        "session_id", F.coalesce(F.when(F.col("title") != "", F.col("title")), shortened(F.col("content"))).alias("title"), "ts",
+    ).orderBy(F.desc("ts"), "session_id")
 
 
 def decoded_sources(c: Column) -> Column:
@@ -82,7 +86,11 @@ def renamed(sessions: DataFrame, changes: DataFrame, username: str | None = None
     both = sessions.join(new, "session_id", "full")
     known = F.col("t").isNotNull() | F.col("u").isNotNull()
     old = F.col("title").isNotNull() | F.col("updated_at").isNotNull() | F.col("username").isNotNull()
-    return both.select("session_id", F.when(known, F.col("t")).otherwise(F.col("title")).alias("title"), F.when(known, F.col("u")).otherwise(F.col("updated_at")).alias("updated_at"), F.when(old, F.col("username")).otherwise(F.col("n")).alias("username"))
+    return both.select(
+        "session_id", F.when(known, F.col("t")).otherwise(F.col("title")).alias("title"),
+        F.when(known, F.col("u")).otherwise(F.col("updated_at")).alias("updated_at"),
+        F.when(old, F.col("username")).otherwise(F.col("n")).alias("username"),
+    )
 
 
 def deleted(messages: DataFrame, sessions: DataFrame, session_id, username: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -103,7 +111,9 @@ def orphans(messages: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def first_user_message(messages: DataFrame) -> DataFrame:
     """AGG2: session_id, content and ts of each session's first user message."""
-    return messages.where("role = 'user'").groupBy("session_id").agg(F.min_by("content", F.struct("timestamp", "id")).alias("content"), F.min("timestamp").alias("ts"))
+    return messages.where("role = 'user'").groupBy("session_id").agg(
+        F.min_by("content", F.struct("timestamp", "id")).alias("content"), F.min("timestamp").alias("ts"),
+    )
 
 
 def backfilled(sessions: DataFrame) -> DataFrame:
@@ -113,10 +123,15 @@ def backfilled(sessions: DataFrame) -> DataFrame:
 
 def migrated(messages: DataFrame, sessions: DataFrame) -> DataFrame:
     """The start-up migration: sessions for orphans (SNK10), owners for sessions without (SNK12), titles for unnamed ones (SNK13)."""
-    made = orphans(messages, sessions).select("session_id", shortened(F.col("content")).alias("title"), F.col("ts").alias("updated_at"), F.lit(None).cast("string").alias("username"))
+    made = orphans(messages, sessions).select(
+        "session_id", shortened(F.col("content")).alias("title"), F.col("ts").alias("updated_at"),
+        F.lit(None).cast("string").alias("username"),
+    )
     all_ = backfilled(sessions.unionByName(made))
     first = first_user_message(messages).select("session_id", shortened(F.col("content")).alias("named"))
-    return all_.join(first, "session_id", "left").withColumn("title", F.when((F.col("title") == OLD_TITLE) & F.col("named").isNotNull(), F.col("named")).otherwise(F.col("title"))).drop("named")
+    return all_.join(first, "session_id", "left").withColumn(
+        "title", F.when((F.col("title") == OLD_TITLE) & F.col("named").isNotNull(), F.col("named")).otherwise(F.col("title")),
+    ).drop("named")
 
 
 def sources_of(hits: DataFrame, key: str, rank: str = "rank", file: str = "source_file") -> DataFrame:
@@ -138,7 +153,9 @@ def registration_error(username: Column, password: Column) -> Column:
 def registered(users: DataFrame, username: str, password: str, role: str = "user") -> DataFrame:
     """POST register (SNK15): users with a new one; an invalid or taken name is an error."""
     spark = users.sparkSession
-    row = spark.createDataFrame([(username, password)], "u string, p string").select(registration_error(F.col("u"), F.col("p")).alias("e"), u_trim(F.col("u")).alias("u"), password_hash(F.col("p")).alias("p")).first()
+    row = spark.createDataFrame([(username, password)], "u string, p string").select(
+        registration_error(F.col("u"), F.col("p")).alias("e"), u_trim(F.col("u")).alias("u"), password_hash(F.col("p")).alias("p"),
+    ).first()
     if row.e:
         raise ValueError(row.e)
     if not users.where(F.col("username") == row.u).isEmpty():
@@ -171,7 +188,9 @@ def ask(spark, store: DataFrame, messages: DataFrame, session_id: str, question:
     if question == "":
         raise ValueError("the message is empty")
     now = F.current_timestamp()
-    said = spark.createDataFrame([(session_id, "user", question, None)], "session_id string, role string, content string, sources string").withColumn("timestamp", now)
+    said = spark.createDataFrame(
+        [(session_id, "user", question, None)], "session_id string, role string, content string, sources string",
+    ).withColumn("timestamp", now)
     messages = appended(messages, said)
     past = history_window(messages.where(F.col("session_id") == session_id), s.history_window)
     history = P.history_strings(past, "session_id", ["timestamp", "id"]).first()
@@ -201,5 +220,7 @@ def ask(spark, store: DataFrame, messages: DataFrame, session_id: str, question:
             from ..functions.text import generation_error
 
             answer, sources = spark.createDataFrame([(str(e),)], "e string").select(generation_error(F.col("e"))).first()[0], None
-    told = spark.createDataFrame([(session_id, "assistant", answer, sources)], "session_id string, role string, content string, sources string").withColumn("timestamp", now)
+    told = spark.createDataFrame(
+        [(session_id, "assistant", answer, sources)], "session_id string, role string, content string, sources string",
+    ).withColumn("timestamp", now)
     return answer, appended(messages, told)

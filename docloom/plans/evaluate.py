@@ -31,7 +31,10 @@ def first_hits(found: DataFrame, cases: DataFrame) -> DataFrame:
 def recall_mrr(first: DataFrame) -> DataFrame:
     """AGG11, AGG12 of (query_id, first_rank)."""
     hit = F.col("first_rank") > 0
-    return first.agg(F.round(100.0 * F.count_if(hit) / F.count("*"), 6).alias("recall"), F.round(F.coalesce(F.sum(F.when(hit, 1.0 / F.col("first_rank"))), F.lit(0.0)) / F.count("*"), 6).alias("mrr"))
+    return first.agg(
+        F.round(100.0 * F.count_if(hit) / F.count("*"), 6).alias("recall"),
+        F.round(F.coalesce(F.sum(F.when(hit, 1.0 / F.col("first_rank"))), F.lit(0.0)) / F.count("*"), 6).alias("mrr"),
+    )
 
 
 def grid(candidates: DataFrame, cases: DataFrame, top_k=TOP_K, min_score=MIN_SCORE) -> DataFrame:
@@ -46,7 +49,10 @@ def grid(candidates: DataFrame, cases: DataFrame, top_k=TOP_K, min_score=MIN_SCO
     total = cases.select("query_id").distinct().agg(F.count("*").alias("n"))
     sums = hits.groupBy("top_k", "min_score").agg(F.count("*").alias("found"), F.sum(1.0 / F.col("first")).alias("inverse"))
     every = cells.join(sums, ["top_k", "min_score"], "left").crossJoin(F.broadcast(total))
-    return every.select("top_k", "min_score", F.round(100.0 * F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"), F.round(F.coalesce("inverse", F.lit(0.0)) / F.col("n"), 6).alias("mrr"))
+    return every.select(
+        "top_k", "min_score", F.round(100.0 * F.coalesce("found", F.lit(0)) / F.col("n"), 6).alias("recall"),
+        F.round(F.coalesce("inverse", F.lit(0.0)) / F.col("n"), 6).alias("mrr"),
+    )
 
 
 def best(cells: DataFrame) -> DataFrame:
@@ -56,7 +62,9 @@ def best(cells: DataFrame) -> DataFrame:
 
 def judge_averages(verdicts: DataFrame) -> DataFrame:
     """AGG15: averages per temperature of (temperature, json) over answers that are JSON objects; a missing score counts 0."""
-    j = verdicts.select("temperature", F.from_json("json", JUDGE).alias("j"), F.get_json_object("json", "$").alias("raw")).where("raw IS NOT NULL AND startswith(raw, '{')")
+    j = verdicts.select(
+        "temperature", F.from_json("json", JUDGE).alias("j"), F.get_json_object("json", "$").alias("raw"),
+    ).where("raw IS NOT NULL AND startswith(raw, '{')")
     avg = lambda c: F.round(F.avg(F.coalesce(F.col(f"j.{c}.skor"), F.lit(0)).cast("double")), 6).alias(c)
     return j.groupBy("temperature").agg(avg("relevansi"), avg("factuality"), avg("completeness"), F.count("*").alias("n_valid"))
 
@@ -69,7 +77,10 @@ def judge_prompt(question: Column, context: Column, answer: Column) -> Column:
     """What a judging model is asked: three scores from 1 to 5, each with a reason, as a JSON object."""
     shape = "{" + ", ".join(f'"{m}": {{"skor": 5, "alasan": "..."}}' for m in MEASURES) + "}"
     ask = "Nilai jawaban berikut dengan skor 1 sampai 5 untuk relevansi (langsung menjawab), factuality (hanya dari konteks) dan completeness (semua hal penting dalam konteks)."
-    return F.concat(F.lit(f"{ask}\n\nPERTANYAAN:\n"), question, F.lit("\n\nKONTEKS:\n"), context, F.lit("\n\nJAWABAN:\n"), answer, F.lit(f"\n\nBalas dengan JSON saja:\n{shape}\n"))
+    return F.concat(
+        F.lit(f"{ask}\n\nPERTANYAAN:\n"), question, F.lit("\n\nKONTEKS:\n"), context, F.lit("\n\nJAWABAN:\n"), answer,
+        F.lit(f"\n\nBalas dengan JSON saja:\n{shape}\n"),
+    )
 
 
 def judged(answers: DataFrame, make_generator: Callable, temperatures=(0.1, 0.8), pause: float = 5.0, sleep: Callable = time.sleep) -> DataFrame:
@@ -97,7 +108,10 @@ def judged(answers: DataFrame, make_generator: Callable, temperatures=(0.1, 0.8)
                 sleep(pause)
                 out.append((t, str(q), answer, verdict))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.float64(), pa.string(), pa.string(), pa.string()))], names=["temperature", "query_id", "answer", "json"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), (pa.float64(), pa.string(), pa.string(), pa.string()))],
+                    names=["temperature", "query_id", "answer", "json"],
+                )
 
     return prompts.mapInArrow(run, "temperature double, query_id string, answer string, json string")
 
@@ -110,7 +124,10 @@ def layout_metrics(images: DataFrame, make_decoder: Callable, language: str = "i
         for b in batches:
             out = [(p, n, m, decoder.text(image, language, m)) for p, n, image in zip(*(b.column(i).to_pylist() for i in range(3))) for m in modes]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["path", "page_num", "psm", "text"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(zip(*out), (pa.string(), pa.int32(), pa.int32(), pa.string()))],
+                    names=["path", "page_num", "psm", "text"],
+                )
 
     got = images.select("path", "page_num", "image").mapInArrow(run, "path string, page_num int, psm int, text string")
     return got.select("*", *(c.alias(k) for k, c in text_metrics(F.col("text")).items()))

@@ -21,7 +21,10 @@ def to_texts(files: DataFrame, make_decoder: Callable, settings: Settings = Sett
     out = extracted(files, make_decoder, settings)
     name = F.element_at(F.split("path", "/"), -1)
     text = cleaning.clean(F.col("text")) if clean else F.col("text")
-    return out.select(name.alias("source_file"), F.sha2(name, 256).alias("document_id"), F.when(F.col("error").isNull(), text).alias("text"), "page_count", "pages", "error")
+    return out.select(
+        name.alias("source_file"), F.sha2(name, 256).alias("document_id"), F.when(F.col("error").isNull(), text).alias("text"),
+        "page_count", "pages", "error",
+    )
 
 
 def to_chunks(texts: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -36,17 +39,26 @@ def chunk_sizes(chunks: DataFrame) -> DataFrame:
 def summary(texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """SNK6 per document: file, pages, characters, chunks, average chunk size (AGG9, half to even), error."""
     joined = texts.join(chunk_sizes(chunks), "source_file", "left")
-    return joined.select("source_file", "document_id", "page_count", F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("avg_chunk_size", F.lit(0.0)).alias("avg_chunk_size"), "pages", "error")
+    return joined.select(
+        "source_file", "document_id", "page_count", F.coalesce(F.length("text"), F.lit(0)).alias("raw_chars"),
+        F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce("avg_chunk_size", F.lit(0.0)).alias("avg_chunk_size"), "pages",
+        "error",
+    )
 
 
 def rollup(documents: DataFrame) -> DataFrame:
     """AGG8."""
-    return documents.agg(F.count("*").alias("total_documents"), F.count_if(F.col("error").isNull()).alias("successful"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"))
+    return documents.agg(
+        F.count("*").alias("total_documents"), F.count_if(F.col("error").isNull()).alias("successful"),
+        F.count_if(F.col("error").isNotNull()).alias("failed"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"),
+    )
 
 
 def write_markdown(texts: DataFrame, folder: str) -> None:
     """SNK4: one text folder per document."""
-    texts.where("error IS NULL").select("source_file", F.concat(F.lit("# "), "source_file", F.lit("\n\n"), "text").alias("value")).write.mode("overwrite").partitionBy("source_file").text(folder)
+    texts.where("error IS NULL").select(
+        "source_file", F.concat(F.lit("# "), "source_file", F.lit("\n\n"), "text").alias("value"),
+    ).write.mode("overwrite").partitionBy("source_file").text(folder)
 
 
 def write_chunks(chunks: DataFrame, folder: str) -> None:
@@ -65,7 +77,10 @@ def write_summary(documents: DataFrame, folder: str) -> None:
 
 def export(rows: DataFrame, folder: str) -> None:
     """SNK7: chunk_id, source_file, content, ends of the vector and its dimension."""
-    rows.select("chunk_id", "source_file", "content", embedding_sample(F.col("embedding")).alias("embedding_sample"), F.size("embedding").alias("vector_dimension")).write.mode("overwrite").json(folder)
+    rows.select(
+        "chunk_id", "source_file", "content", embedding_sample(F.col("embedding")).alias("embedding_sample"),
+        F.size("embedding").alias("vector_dimension"),
+    ).write.mode("overwrite").json(folder)
 
 
 def sample_markdown(rows: DataFrame, n: int = 5) -> str:

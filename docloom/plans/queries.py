@@ -33,12 +33,20 @@ def _docs(spark, d):
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").select(F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"), F.lit(None).cast("string").alias("sources"), F.timestamp_seconds("turn").alias("timestamp"))
+    return table(spark, d, "conversations").select(
+        F.col("turn").alias("id"), F.col("conv_id").cast("string").alias("session_id"), "role", F.col("text").alias("content"),
+        F.lit(None).cast("string").alias("sources"), F.timestamp_seconds("turn").alias("timestamp"),
+    )
 
 
 def sessions(spark: SparkSession, d: str) -> DataFrame:
     ids = table(spark, d, "conversations").where("conv_id % 5 <> 0").select("conv_id").distinct()
-    return ids.select(F.col("conv_id").cast("string").alias("session_id"), F.when(F.col("conv_id") % 3 == 0, chat.OLD_TITLE).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("T"), F.col("conv_id").cast("string"))).alias("title"), F.timestamp_seconds(F.col("conv_id")).alias("updated_at"), F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("user"), (F.col("conv_id") % 3).cast("string"))).alias("username"))
+    return ids.select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.when(F.col("conv_id") % 3 == 0, chat.OLD_TITLE).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("T"), F.col("conv_id").cast("string"))).alias("title"),
+        F.timestamp_seconds(F.col("conv_id")).alias("updated_at"),
+        F.when(F.col("conv_id") % 7 != 0, F.concat(F.lit("user"), (F.col("conv_id") % 3).cast("string"))).alias("username"),
+    )
 
 
 M = "WITH m AS (SELECT turn AS id, CAST(conv_id AS VARCHAR) AS session_id, role, text AS content, turn AS ts FROM conversations), s AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, CASE WHEN conv_id % 3 = 0 THEN 'Sesi Riwayat' WHEN conv_id % 3 = 1 THEN 'T' || conv_id END AS title, conv_id AS updated_at, CASE WHEN conv_id % 7 <> 0 THEN 'user' || (conv_id % 3) END AS username FROM conversations WHERE conv_id % 5 <> 0) "
@@ -148,7 +156,9 @@ def clean_all(spark, d):
 CASE WHEN text = '' THEN 0.0 ELSE round(100.0 * length(regexp_replace(text, '[\\p{L}\\p{N}.,;:()/\\-_?!''"\\n\\t ]', '', 'g')) / length(text), 6) END AS noise_ratio FROM documents""")
 def ocr_metrics(spark, d):
     m = cleaning.text_metrics(F.col("text"))
-    return _docs(spark, d).select("doc_id", *(m[c].alias(c) for c in ("char_count", "word_count", "line_count")), F.round(m["noise_ratio"], 6).alias("noise_ratio"))
+    return _docs(spark, d).select(
+        "doc_id", *(m[c].alias(c) for c in ("char_count", "word_count", "line_count")), F.round(m["noise_ratio"], 6).alias("noise_ratio"),
+    )
 
 
 # -- pages and chunks --------------------------------------------------------
@@ -176,10 +186,16 @@ def chunk_documents(spark, d):
 
 @query("SELECT doc_id, true AS all_fit, true AS in_order, true AS all_there FROM documents WHERE trim(text) <> ''")
 def chunk_invariants(spark, d):
-    c = _chunks(spark, d).groupBy(F.col("document_id").cast("long").alias("doc_id")).agg(F.max("char_count").alias("most"), F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("c"))
+    c = _chunks(spark, d).groupBy(F.col("document_id").cast("long").alias("doc_id")).agg(
+        F.max("char_count").alias("most"), F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("c"),
+    )
     bare = lambda x: F.regexp_replace(x, r"(?U)\s", "")
     j = c.join(_docs(spark, d).select("doc_id", "text"), "doc_id")
-    return j.select("doc_id", (F.col("most") <= 1000).alias("all_fit"), (F.size(F.array_distinct(F.transform("c", lambda x: x.chunk_index))) == F.size("c")).alias("in_order"), F.forall("c", lambda x: bare(F.col("text")).contains(bare(x.content))).alias("all_there"))
+    return j.select(
+        "doc_id", (F.col("most") <= 1000).alias("all_fit"),
+        (F.size(F.array_distinct(F.transform("c", lambda x: x.chunk_index))) == F.size("c")).alias("in_order"),
+        F.forall("c", lambda x: bare(F.col("text")).contains(bare(x.content))).alias("all_there"),
+    )
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE trim(CASE WHEN turn % 3 = 0 THEN '  ' ELSE text END) <> ''")
@@ -212,7 +228,9 @@ def _asked(spark, d, cond="vec_id = 0"):
 _STORE = "st AS (SELECT doc_id, text AS content, source AS source_file, embedding, label FROM documents JOIN embeddings ON vec_id = doc_id)"
 _TIME = "(" + " OR ".join(f"contains('{QUESTION}', '{w}')" for w in TIME_WORDS) + ")"
 _BOOST = (
-    f"CASE WHEN {_TIME} THEN CASE WHEN " + " OR ".join(f"contains(lower(content), '{w}')" for w in ("januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember"))
+    f"CASE WHEN {_TIME} THEN CASE WHEN " + " OR ".join(f"contains(lower(content), '{w}')" for w in (
+        "januari", "februari", "maret", "april", "mei", "juni", "juli", "agustus", "september", "oktober", "november", "desember",
+    ))
     + " THEN 0.15 ELSE 0 END + 0.05 * (" + " + ".join(f"contains(lower(content), '{w}')::INT" for w in ("jadwal", "tanggal", "kalender", "herregistrasi", "registrasi"))
     + ") ELSE 0 END + 0.02 * (" + " + ".join(f"contains(lower(content), '{w}')::INT" for w in QUESTION.split() if len(w) > 2) + ")"
 )
@@ -238,7 +256,9 @@ def retrieve_one(spark, d):
 
 @query(_ranked_sql("vec_id % 50 = 0", 25, 5, 0.25))
 def retrieve_batch(spark, d):
-    return retrieve(spark, _store(spark, d), _asked(spark, d, "vec_id % 50 = 0"), 5, 0.25, "doc_id").drop("content").withColumn("rank", F.col("rank").cast("long"))
+    return retrieve(
+        spark, _store(spark, d), _asked(spark, d, "vec_id % 50 = 0"), 5, 0.25, "doc_id",
+    ).drop("content").withColumn("rank", F.col("rank").cast("long"))
 
 
 # words of the fixtures' vocabulary stand in for months and calendar words, which they hardly have
@@ -261,7 +281,11 @@ def time_query(spark, d):
 @query("SELECT vec_id, list_transform(list_concat(embedding[1:5], embedding[-5:]), lambda x: round(CAST(x AS DOUBLE), 6))[1] AS first, round(CAST(embedding[64] AS DOUBLE), 6) AS last, 11 AS n, len(embedding) AS dimension FROM embeddings")
 def embedding_sample(spark, d):
     s = store.embedding_sample(F.col("embedding"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.element_at(s, 1).cast("double"), 6).alias("first"), F.round(F.element_at(s, 11).cast("double"), 6).alias("last"), F.size(s).alias("n"), F.size("embedding").cast("long").alias("dimension"))
+    return table(spark, d, "embeddings").select(
+        "vec_id", F.round(F.element_at(s, 1).cast("double"), 6).alias("first"),
+        F.round(F.element_at(s, 11).cast("double"), 6).alias("last"), F.size(s).alias("n"),
+        F.size("embedding").cast("long").alias("dimension"),
+    )
 
 
 # -- store --------------------------------------------------------------------
@@ -269,7 +293,11 @@ def embedding_sample(spark, d):
 
 def _rows(spark, d, cond, tag):
     e = table(spark, d, "embeddings").where(cond)
-    return e.select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"), F.concat(F.lit(tag), (F.col("vec_id") % 7).cast("string")).alias("source_file"), F.col("label").cast("string").alias("document_id"), F.col("vec_id").cast("int").alias("chunk_index"), F.lit(tag).alias("content"), F.lit(3).alias("char_count"), "embedding")
+    return e.select(
+        F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("chunk_id"),
+        F.concat(F.lit(tag), (F.col("vec_id") % 7).cast("string")).alias("source_file"), F.col("label").cast("string").alias("document_id"),
+        F.col("vec_id").cast("int").alias("chunk_index"), F.lit(tag).alias("content"), F.lit(3).alias("char_count"), "embedding",
+    )
 
 
 _ROWS = "SELECT 'c' || vec_id AS chunk_id, '{tag}' || (vec_id % 7) AS source_file, CAST(label AS VARCHAR) AS document_id, CAST(vec_id AS INT) AS chunk_index, '{tag}' AS content FROM embeddings WHERE {cond}"
@@ -277,7 +305,9 @@ _ROWS = "SELECT 'c' || vec_id AS chunk_id, '{tag}' || (vec_id % 7) AS source_fil
 
 @query(f"WITH o AS ({_ROWS.format(tag='old', cond='true')}), n AS (SELECT CASE WHEN label = 0 THEN 'new-' ELSE '' END || chunk_id AS chunk_id, source_file, document_id, chunk_index, content FROM (SELECT *, CAST(document_id AS BIGINT) AS label FROM ({_ROWS.format(tag='new', cond='true')}))) SELECT * FROM o WHERE chunk_id NOT IN (SELECT chunk_id FROM n) UNION ALL SELECT * FROM n")
 def vector_upsert(spark, d):
-    new = _rows(spark, d, "true", "new").withColumn("chunk_id", F.when(F.col("document_id") == "0", F.concat(F.lit("new-"), "chunk_id")).otherwise(F.col("chunk_id")))
+    new = _rows(spark, d, "true", "new").withColumn(
+        "chunk_id", F.when(F.col("document_id") == "0", F.concat(F.lit("new-"), "chunk_id")).otherwise(F.col("chunk_id")),
+    )
     out = store.upserted(_rows(spark, d, "true", "old"), new)
     return out.select("chunk_id", "source_file", "document_id", "chunk_index", "content")
 
@@ -303,18 +333,24 @@ def distinct_documents(spark, d):
 @query("SELECT replace('doc' || d.doc_id || '.pdf', '.pdf', '') AS title, 'doc' || d.doc_id || '.pdf' AS file, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (d.doc_id % 365), '%d %b %Y') AS date, CASE WHEN l.doc_id IS NOT NULL THEN 'Ready' ELSE 'Proses' END AS status FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id")
 def catalog_left_join(spark, d):
     name = lambda c: F.concat(F.lit("doc"), F.col(c).cast("string"), F.lit(".pdf"))
-    files = _docs(spark, d).select(name("doc_id").alias("file"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))").alias("modified"))
+    files = _docs(spark, d).select(
+        name("doc_id").alias("file"), F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))").alias("modified"),
+    )
     return catalog.catalog(files, table(spark, d, "labels").select(name("doc_id").alias("source_file"), F.col("doc_id").alias("document_id")))
 
 
 @query("SELECT doc_id, strftime(TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (doc_id % 365), '%d %b %Y') AS date FROM documents")
 def catalog_date(spark, d):
-    return _docs(spark, d).select("doc_id", catalog.shown_date(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))")).alias("date"))
+    return _docs(spark, d).select(
+        "doc_id", catalog.shown_date(F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, cast(doc_id % 365 as int))")).alias("date"),
+    )
 
 
 @query("SELECT doc_id, source FROM documents WHERE contains(lower(lang || source), 'src1')")
 def catalog_search(spark, d):
-    return catalog.search(_docs(spark, d).select("doc_id", "source", F.col("source").alias("file"), F.concat("lang", "source").alias("title")), "SRC1").select("doc_id", "source")
+    return catalog.search(
+        _docs(spark, d).select("doc_id", "source", F.col("source").alias("file"), F.concat("lang", "source").alias("title")), "SRC1",
+    ).select("doc_id", "source")
 
 
 @query("SELECT event_id, CASE WHEN contains(m, 'SUCCESS:') THEN 'success' WHEN contains(m, 'CRITICAL ERROR') OR contains(m, 'ERROR:') THEN 'error' WHEN contains(m, 'Peringatan:') THEN 'warning' ELSE 'info' END AS level FROM (SELECT event_id, ['SUCCESS: a', 'ERROR: b', 'CRITICAL ERROR', 'Peringatan: c', 'd'][1 + event_id % 5] AS m FROM events)")
@@ -325,7 +361,10 @@ def log_level(spark, d):
 
 @query("SELECT event_id, event_type AS message FROM events WHERE user_id = (SELECT min(user_id) FROM events)")
 def event_log_by_key(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("filename"), F.lit(0).cast("bigint").alias("seq"), "user_id", F.timestamp_seconds("event_id").alias("ts"), F.col("event_type").alias("message"))
+    e = table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("filename"), F.lit(0).cast("bigint").alias("seq"), "user_id",
+        F.timestamp_seconds("event_id").alias("ts"), F.col("event_type").alias("message"),
+    )
     return log_of(e, str(e.agg(F.min("user_id")).first()[0])).select(F.unix_timestamp("ts").alias("event_id"), "message")
 
 
@@ -337,9 +376,14 @@ def html_escape(spark, d):
 @query("SELECT event_id, event_id % 3 > 0 AS valid, CASE event_id % 3 WHEN 1 THEN event_type END AS title, CASE event_id % 3 WHEN 0 THEN NULL WHEN 1 THEN 1 ELSE 0 END AS n FROM events")
 def json_field(spark, d):
     # by turns no JSON, one source, an empty list
-    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no json "), "event_type")).when(F.col("event_id") % 3 == 1, F.to_json(F.array(F.struct(F.col("event_type").alias("title"), F.lit("f.pdf").alias("file"))))).otherwise("[]")
+    raw = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("no json "), "event_type")).when(
+        F.col("event_id") % 3 == 1, F.to_json(F.array(F.struct(F.col("event_type").alias("title"), F.lit("f.pdf").alias("file")))),
+    ).otherwise("[]")
     got = table(spark, d, "events").select("event_id", chat.decoded_sources(raw).alias("s"))
-    return got.select("event_id", F.col("s").isNotNull().alias("valid"), F.get("s", F.lit(0)).title.alias("title"), F.when(F.col("s").isNotNull(), F.size("s")).alias("n"))
+    return got.select(
+        "event_id", F.col("s").isNotNull().alias("valid"), F.get("s", F.lit(0)).title.alias("title"),
+        F.when(F.col("s").isNotNull(), F.size("s")).alias("n"),
+    )
 
 
 @query(f"SELECT conv_id, turn, {SHORT.format('text')} AS title FROM conversations")
@@ -404,13 +448,17 @@ def condense_gate(spark, d):
 
 @query(M + ", n AS (SELECT DISTINCT session_id FROM m) SELECT * FROM s UNION ALL SELECT session_id, 'new', 0, 'guest' FROM n WHERE session_id NOT IN (SELECT session_id FROM s)")
 def session_insert_ignore(spark, d):
-    new = messages(spark, d).select("session_id", F.lit("new").alias("title"), F.timestamp_seconds(F.lit(0)).alias("updated_at"), F.lit("guest").alias("username"))
+    new = messages(spark, d).select(
+        "session_id", F.lit("new").alias("title"), F.timestamp_seconds(F.lit(0)).alias("updated_at"), F.lit("guest").alias("username"),
+    )
     return chat.inserted(sessions(spark, d), new).withColumn("updated_at", F.unix_timestamp("updated_at"))
 
 
 @query(M + ", n AS (SELECT DISTINCT session_id, 'named' AS title, 9 AS updated_at, 'guest' AS username FROM m WHERE CAST(session_id AS BIGINT) % 4 = 0) SELECT coalesce(s.session_id, n.session_id) AS session_id, coalesce(n.title, s.title) AS title, coalesce(n.updated_at, s.updated_at) AS updated_at, CASE WHEN s.session_id IS NOT NULL THEN s.username ELSE n.username END AS username FROM s FULL JOIN n ON s.session_id = n.session_id")
 def session_title_upsert(spark, d):
-    new = messages(spark, d).where("cast(session_id as bigint) % 4 = 0").select("session_id", F.lit("named").alias("title"), F.timestamp_seconds(F.lit(9)).alias("updated_at"), F.lit("guest").alias("username")).distinct()
+    new = messages(spark, d).where("cast(session_id as bigint) % 4 = 0").select(
+        "session_id", F.lit("named").alias("title"), F.timestamp_seconds(F.lit(9)).alias("updated_at"), F.lit("guest").alias("username"),
+    ).distinct()
     return chat.renamed(sessions(spark, d), new).withColumn("updated_at", F.unix_timestamp("updated_at"))
 
 
@@ -422,7 +470,9 @@ def session_migration(spark, d):
 @query(M + "SELECT session_id, id, 'message' AS kind FROM m WHERE session_id <> '7' UNION ALL SELECT session_id, NULL, 'session' FROM s WHERE session_id <> '7'")
 def session_delete(spark, d):
     left, kept = chat.deleted(messages(spark, d), sessions(spark, d), "7")
-    return left.select("session_id", "id", F.lit("message").alias("kind")).unionByName(kept.select("session_id", F.lit(None).cast("long").alias("id"), F.lit("session").alias("kind")))
+    return left.select("session_id", "id", F.lit("message").alias("kind")).unionByName(kept.select(
+        "session_id", F.lit(None).cast("long").alias("id"), F.lit("session").alias("kind"),
+    ))
 
 
 @query(M + "SELECT session_id, title, updated_at, coalesce(username, 'user') AS username FROM s")
@@ -437,13 +487,19 @@ def ownership_guard(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN u = '' OR p = '' THEN 'username and password are required' WHEN length(u) < 3 THEN 'username too short' WHEN length(p) < 6 THEN 'password too short' END AS error FROM (SELECT c_custkey, trim(substr(c_name, 1, CAST(c_custkey % 6 AS INT))) AS u, substr(c_mktsegment, 1, CAST(c_custkey % 8 AS INT)) AS p FROM customer)")
 def register_validation(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.expr("substring(c_name, 1, cast(c_custkey % 6 as int))").alias("u"), F.expr("substring(c_mktsegment, 1, cast(c_custkey % 8 as int))").alias("p"))
+    c = table(spark, d, "customer").select(
+        "c_custkey", F.expr("substring(c_name, 1, cast(c_custkey % 6 as int))").alias("u"),
+        F.expr("substring(c_mktsegment, 1, cast(c_custkey % 8 as int))").alias("p"),
+    )
     return c.select("c_custkey", chat.registration_error(F.col("u"), F.col("p")).alias("error"))
 
 
 @query("SELECT c_custkey AS id, c_name AS username, c_mktsegment AS role FROM customer WHERE c_name = (SELECT min(c_name) FROM customer) AND sha256(c_name) = sha256((SELECT min(c_name) FROM customer))")
 def login_lookup(spark, d):
-    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), T.password_hash(F.col("c_name")).alias("password"), F.col("c_mktsegment").alias("role"))
+    users = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), T.password_hash(F.col("c_name")).alias("password"),
+        F.col("c_mktsegment").alias("role"),
+    )
     name = users.agg(F.min("username")).first()[0]
     return chat.login(users, name, name)
 
@@ -452,7 +508,10 @@ _HITS = "SELECT conv_id AS query_id, turn + 1 AS rank, text AS content, 'f' || (
 
 
 def _hits(spark, d):
-    return table(spark, d, "conversations").select(F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("text").alias("content"), F.concat(F.lit("f"), (F.col("turn") % 3).cast("string"), F.lit(".pdf")).alias("source_file"))
+    return table(spark, d, "conversations").select(
+        F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("rank"), F.col("text").alias("content"),
+        F.concat(F.lit("f"), (F.col("turn") % 3).cast("string"), F.lit(".pdf")).alias("source_file"),
+    )
 
 
 @query(f"SELECT query_id, string_agg('[Dokumen ' || rank || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank) AS context FROM ({_HITS}) GROUP BY query_id")
@@ -492,7 +551,9 @@ def prompt_build(spark, d):
 
 @query(f"SELECT query_id, string_agg(replace(source_file, '.pdf', '') || '|' || source_file, ',' ORDER BY r) AS sources FROM (SELECT query_id, source_file, min(rank) AS r FROM ({_HITS}) GROUP BY ALL) GROUP BY query_id")
 def source_dedupe(spark, d):
-    return chat.sources_of(_hits(spark, d), "query_id").select("query_id", F.array_join(F.transform("sources", lambda s: F.concat(s.title, F.lit("|"), s.file)), ",").alias("sources"))
+    return chat.sources_of(_hits(spark, d), "query_id").select(
+        "query_id", F.array_join(F.transform("sources", lambda s: F.concat(s.title, F.lit("|"), s.file)), ",").alias("sources"),
+    )
 
 
 # -- ingestion and evaluation ---------------------------------------------------
@@ -505,14 +566,18 @@ def ingest_summary(spark, d):
 
 @query("SELECT source, CAST(round_even(avg(n_chars), 0) AS DOUBLE) AS avg_size FROM documents GROUP BY source")
 def avg_chunk_size(spark, d):
-    return ingest.chunk_sizes(_docs(spark, d).select(F.col("source").alias("source_file"), F.col("n_chars").alias("char_count"))).select(F.col("source_file").alias("source"), F.col("avg_chunk_size").alias("avg_size"))
+    return ingest.chunk_sizes(_docs(spark, d).select(F.col("source").alias("source_file"), F.col("n_chars").alias("char_count"))).select(
+        F.col("source_file").alias("source"), F.col("avg_chunk_size").alias("avg_size"),
+    )
 
 
 def _candidates(spark, d):
     asked = _asked(spark, d, "vec_id % 50 = 0")
     found = knn(spark, table(spark, d, "embeddings"), asked, 30, "vec_id")
     labels = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("own"))
-    return found.join(labels, "vec_id").join(asked.select("query_id", "label"), "query_id").select("query_id", F.col("vec_id").alias("id"), "rank", "score", (F.col("own") == F.col("label")).alias("relevant")).where("id <> query_id"), asked
+    return found.join(labels, "vec_id").join(asked.select("query_id", "label"), "query_id").select(
+        "query_id", F.col("vec_id").alias("id"), "rank", "score", (F.col("own") == F.col("label")).alias("relevant"),
+    ).where("id <> query_id"), asked
 
 
 _GRID = (
@@ -544,7 +609,10 @@ def _cases(spark, d):
     docs = _docs(spark, d)
     words = F.when(F.col("l") == "de", F.array(F.lit("heit"), F.lit("UNG"))).otherwise(F.array(F.lit("tion"), F.lit("MENT")))
     cases = docs.groupBy(F.col("source").alias("query_id")).agg(F.min("lang").alias("l")).select("query_id", words.alias("keywords"))
-    ranked = docs.select(F.col("source").alias("query_id"), F.col("text").alias("content"), F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"))
+    ranked = docs.select(
+        F.col("source").alias("query_id"), F.col("text").alias("content"),
+        F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("rank"),
+    )
     return ranked, cases
 
 
@@ -565,8 +633,14 @@ def keyword_hit(spark, d):
 
 @query("SELECT CAST(event_id % 2 AS DOUBLE) AS temperature, round(avg(CAST(event_id % 5 AS DOUBLE)), 6) AS relevansi, round(avg(CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 4.0 END), 6) AS factuality, 5.0::DOUBLE AS completeness, count(*) AS n_valid FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
 def judge_averages(spark, d):
-    v = F.format_string('{"relevansi": {"skor": %d, "alasan": "a"}, "factuality": {%s}, "completeness": {"skor": 5}}', F.col("event_id") % 5, F.when(F.col("event_id") % 3 == 0, '"alasan": "b"').otherwise('"skor": 4'))
-    e = table(spark, d, "events").select((F.col("event_id") % 2).cast("double").alias("temperature"), F.when(F.col("event_id") % 11 == 0, "rate limited").otherwise(v).alias("json"))
+    v = F.format_string(
+        '{"relevansi": {"skor": %d, "alasan": "a"}, "factuality": {%s}, "completeness": {"skor": 5}}', F.col("event_id") % 5,
+        F.when(F.col("event_id") % 3 == 0, '"alasan": "b"').otherwise('"skor": 4'),
+    )
+    e = table(spark, d, "events").select(
+        (F.col("event_id") % 2).cast("double").alias("temperature"),
+        F.when(F.col("event_id") % 11 == 0, "rate limited").otherwise(v).alias("json"),
+    )
     return evaluate.judge_averages(e)
 
 

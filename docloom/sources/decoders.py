@@ -59,7 +59,10 @@ def ocr_resources(spark: SparkSession, languages: tuple[str, ...] = ("eng", "ind
         rows = [("program tesseract", shutil.which("tesseract") is not None)]
         rows += [(f"library {m}", importlib.util.find_spec(m) is not None) for m in ("fitz", "pytesseract", "PIL")]
         rows += [(f"language {x}", (data / f"{x}.traineddata").is_file()) for x in languages]
-        yield pa.RecordBatch.from_arrays([pa.array([os.uname().nodename] * len(rows)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], names=["host", "what", "found"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([os.uname().nodename] * len(rows)), pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])],
+            names=["host", "what", "found"],
+        )
 
     return spark.range(0, n, 1, n).mapInArrow(run, "host string, what string, found boolean").distinct()
 

@@ -56,16 +56,23 @@ def progress(texts: DataFrame, chunks: DataFrame, stored: DataFrame, settings: S
     x = texts.join(per, "source_file", "left").join(stored.select("source_file", "failure"), "source_file", "left")
     n, read = F.coalesce("n", F.lit(0)), F.coalesce(F.length("text"), F.lit(0))
     text, ok = (lambda *c: F.concat(*(F.lit(v) if isinstance(v, str) else v.cast("string") for v in c))), F.col("error").isNull()
-    page = F.transform(F.coalesce("pages", F.array()), lambda p: F.concat(F.lit("Halaman "), p.page_num.cast("string"), F.lit(": "), p.page_type, F.lit(" (PSM "), p.psm_used.cast("string"), F.lit("), "), p.char_count.cast("string"), F.lit(" karakter")))
+    page = F.transform(F.coalesce("pages", F.array()), lambda p: F.concat(
+        F.lit("Halaman "), p.page_num.cast("string"), F.lit(": "), p.page_type, F.lit(" (PSM "), p.psm_used.cast("string"), F.lit("), "),
+        p.char_count.cast("string"), F.lit(" karakter"),
+    ))
     lines = F.concat(
         F.array(text("Memulai pemrosesan dokumen: ", F.col("source_file"))),
         page,
         F.when(ok, F.array(text("Ekstraksi selesai: ", read, " karakter."))).otherwise(F.array()),
         F.when(ok & (read == 0), F.array(F.lit("Peringatan: tidak ada teks yang terbaca."))).otherwise(F.array()),
         F.when(ok, F.array(text(f"Pemecahan teks (chunk_size {settings.chunk_size}, overlap {settings.chunk_overlap}): ", n, " chunk."))).otherwise(F.array()),
-        F.array(F.when(~ok, text("CRITICAL ERROR: ", F.col("error"))).when(n == 0, text("ERROR: tidak ada chunk yang valid.")).when(F.col("failure").isNotNull(), text("CRITICAL ERROR: ", F.col("failure"))).otherwise(text("SUCCESS: ", F.col("source_file"), " siap dicari."))),
+        F.array(F.when(~ok, text("CRITICAL ERROR: ", F.col("error"))).when(n == 0, text("ERROR: tidak ada chunk yang valid.")).when(
+            F.col("failure").isNotNull(), text("CRITICAL ERROR: ", F.col("failure")),
+        ).otherwise(text("SUCCESS: ", F.col("source_file"), " siap dicari."))),
     )
-    return x.select(F.col("source_file").alias("filename"), F.posexplode(lines).alias("step", "message")).withColumn("level", log_level(F.col("message"))).select("filename", "step", "level", "message")
+    return x.select(
+        F.col("source_file").alias("filename"), F.posexplode(lines).alias("step", "message"),
+    ).withColumn("level", log_level(F.col("message"))).select("filename", "step", "level", "message")
 
 
 def _store_files(spark: SparkSession, store: VectorStore, chunks: DataFrame, make_embedder: Callable, work: str) -> DataFrame:
@@ -84,7 +91,10 @@ def _store_files(spark: SparkSession, store: VectorStore, chunks: DataFrame, mak
     return spark.createDataFrame([(n, failed.get(n)) for n in names], "source_file string, failure string")
 
 
-def ingest(spark: SparkSession, folder: str, store: VectorStore, make_decoder: Callable, make_embedder: Callable, work: str, settings: Settings = Settings(), most_files: int = 1000):
+def ingest(
+    spark: SparkSession, folder: str, store: VectorStore, make_decoder: Callable, make_embedder: Callable, work: str,
+    settings: Settings = Settings(), most_files: int = 1000,
+):
     """Process what is new in the folder, then stop; run again, it adds nothing that was there. Files replace what the store holds of them. `most_files` are one micro-batch."""
 
     def batch(files: DataFrame, number: int) -> None:
@@ -95,7 +105,10 @@ def ingest(spark: SparkSession, folder: str, store: VectorStore, make_decoder: C
         chunks = spark.read.parquet(f"{work}/chunks-{number}")
         stored = _store_files(spark, store, chunks, make_embedder, f"{work}/vectors-{number}")
         lines = progress(texts, chunks, stored, settings)
-        log = lines.select("filename", F.lit(number).cast("bigint").alias("seq"), (F.current_timestamp() + F.expr("make_dt_interval(0, 0, 0, step / 1000000)")).alias("ts"), "level", "message")
+        log = lines.select(
+            "filename", F.lit(number).cast("bigint").alias("seq"),
+            (F.current_timestamp() + F.expr("make_dt_interval(0, 0, 0, step / 1000000)")).alias("ts"), "level", "message",
+        )
         log.write.mode("overwrite").parquet(f"{work}/log/batch={number}")
 
     return uploads(spark, folder, most_files=most_files).writeStream.foreachBatch(batch).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
