@@ -1,7 +1,7 @@
 """Cosine search (JN1, JN2, WIN3): exact, in two stages.
 
 Each batch of the store is multiplied with a block of query vectors and gives its best k a query; only those rows, without contents, are
-shuffled and ranked. Queries are taken in blocks of a fixed size, so what a task holds doesn't grow with their number.
+shuffled and ranked. Queries are taken in blocks of bounded bytes, so what the driver and a task hold doesn't grow with their number.
 """
 
 from __future__ import annotations
@@ -24,53 +24,61 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
+def _nearest(q: np.ndarray, m: np.ndarray, place: np.ndarray, k: int, some: int = 256):
+    """(query, row, distance) of the k rows of m nearest to each query, ties by `place`; `some` queries at a time bound the memory. Zero vectors are left out."""
+    for i in range(0, len(q), some):
+        d = np.round(1 - q[i : i + some] @ m.T, 6) + 0.0  # no negative zeros
+        gone = np.isnan(d)
+        order = (np.rint(np.where(gone, 0, d) * 1e6).astype(np.int64) << 32) + place
+        order[gone] = np.iinfo(np.int64).max
+        best = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(m) else np.broadcast_to(np.arange(len(m)), order.shape)
+        ok = ~np.take_along_axis(gone, best, 1)
+        yield np.nonzero(ok)[0] + i, best[ok], np.take_along_axis(d, best, 1)[ok]
+
+
 def knn(
     spark: SparkSession, store: DataFrame, queries: DataFrame, k: int, key: str = "chunk_id", vector: str = "embedding",
-    query_key: str = "query_id", block: int = 1024,
+    query_key: str = "query_id", block_bytes: int = 1 << 25,
 ) -> DataFrame:
     """(query_key, key, distance, score, rank): the k rows of the store nearest to each query, distance and score rounded to 6 digits, ties by key.
 
-    Null and zero vectors are never found. The store may be smaller than k. `block` query vectors are sent to the tasks at a time.
+    Null and zero vectors are never found. The store may be smaller than k. `block_bytes` of query vectors (65,536 of 64 numbers) are sent to the tasks for one scan of the store.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     ids = queries.select(F.col(query_key).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL").orderBy("q")
     kind, qkind = dict(store.dtypes)[key], dict(queries.dtypes)[query_key]
-    out, part = None, []
+    to_q = to_arrow_type(queries.schema[query_key].dataType)
+    schema = f"q {qkind}, key {kind}, distance double"
 
     def nearest(part) -> DataFrame:
         shared = spark.sparkContext.broadcast(([r.q for r in part], _unit(np.array([r.v for r in part], float))))
 
         def run(batches):
             names, q = shared.value
+            names = pa.array(names, to_q)
             for b in batches:
                 b = b.filter(pa.compute.is_valid(b.column(1)))
                 if not b.num_rows:
                     continue
                 keys = b.column(0)
                 m = _unit(np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1))
-                d = np.round(1 - q @ m.T, 6) + 0.0  # no negative zeros
                 place = np.empty(b.num_rows, np.int64)
                 place[np.array(pa.compute.sort_indices(keys))] = np.arange(b.num_rows)
-                for i, row in enumerate(d):
-                    ok = np.flatnonzero(~np.isnan(row))
-                    best = ok[np.lexsort((place[ok], row[ok]))[:k]]
-                    if len(best):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array([names[i]] * len(best), to_q), keys.take(pa.array(best)), pa.array(row[best])],
-                            names=["q", "key", "distance"],
-                        )
-
-        from pyspark.sql.pandas.types import to_arrow_type
+                for at, row, d in _nearest(q, m, place, k):
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), keys.take(pa.array(row)), pa.array(d)], names=["q", "key", "distance"])
 
-        to_q = to_arrow_type(queries.schema[query_key].dataType)
-        return store.select(key, vector).mapInArrow(run, f"q {qkind}, key {kind}, distance double")
+        return store.select(key, vector).mapInArrow(run, schema)
 
+    out, part, held = None, [], 0
     for row in ids.toLocalIterator():
         part.append(row)
-        if len(part) == block:
+        held += 8 * len(row.v)
+        if held >= block_bytes:
             out = nearest(part) if out is None else out.union(nearest(part))
-            part = []
+            part, held = [], 0
     if part or out is None:
-        last = nearest(part) if part else spark.createDataFrame([], f"q {qkind}, key {kind}, distance double")
+        last = nearest(part) if part else spark.createDataFrame([], schema)
         out = last if out is None else out.union(last)
     rank = F.row_number().over(Window.partitionBy("q").orderBy("distance", "key"))
     ranked = out.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -128,7 +128,7 @@ def test_knn(spark):
     s = vectors(spark, [(0, [1, 0]), (1, [0, 1]), (2, [1, 1]), (3, [0, 0]), (4, [2, 0])]).unionByName(spark.createDataFrame([("n", None, None, None, None, None, None)], VECTOR))
     q = spark.createDataFrame([(1, "q", [1.0, 0.0]), (2, "q", [0.0, 3.0])], "query_id int, query string, embedding array<float>")
     for block in (1, 1024):
-        got = {(r.query_id, r["rank"]): (r.chunk_id, r.distance) for r in knn(spark, s, q, 3, block=block).collect()}
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.distance) for r in knn(spark, s, q, 3, block_bytes=block).collect()}
         assert got[1, 1] == ("c0", 0.0) and got[1, 2] == ("c4", 0.0) and got[2, 1] == ("c1", 0.0) and got[1, 3][0] == "c2" and len(got) == 6
     assert knn(spark, s.limit(0), q, 3).count() == 0 and knn(spark, s, q.limit(0), 3).count() == 0
     assert retrieve(spark, s, q, 2, 0.9).count() == 3
