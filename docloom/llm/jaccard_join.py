@@ -8,16 +8,17 @@ Two documents link when their shingle sets have Jaccard similarity num/den or mo
    has no partner. Its own tokens are counted on a fixed share of the token space (2 (1 - t)): a lower
    bound, so leaving a class out is proven. For the classes left it is then counted on all tokens. Every map batch sends a token once: with its class, or
    as shared, so a token of a third of all documents costs one entry a batch.
-3. Merging by sketches: each class left is compared with one leader, that of the entry it shares most often among the `sketch` least hashes of its
-   prefix; first the most central class of an entry, in further rounds a random one of another component, until few comparisons link.
+3. Merging by sketches: entries are the `sketch` least hashes of each prefix, and each has a leader, in the first round its most central class, in further ones a random one.
+   Each class is compared with the leader that it may be most like, until few comparisons link. Parity sketches of 1,024 bits say which pairs can't link (each bit that differs is a
+   token that one has and the other hasn't) and how alike the others may be.
    Components make most of a group of near copies one, and links inside a component needn't be found again.
 4. Tokens of one component only now count as its own. Document frequencies of the others are counted exactly, and prefixes are extended by
    B tokens: a pair then shares B + 1 of them. Rare tokens (up to `frequent` classes) are indexed alone. If a pair shares no rare one, two of its B + 1 frequent
    ones fall into the same of B groups of tokens, so combinations of two frequent tokens are indexed within groups. B is a power of two in step with the prefix, so
    long sets have few combinations as well; sets near a border between two values of B are indexed under both.
 5. Entries that hold more than one component are merged like the sketches, in rounds of one comparison a class. In those
-   that still do, and of entries with the same classes in only one, classes outside the entry's first component are compared with all others of other components, filtered
-   by length and by the positions of the shared tokens.
+   that still do, and of entries with the same classes in only one, classes outside the entry's first component are compared with all others of other components that they
+   may link with by length, by the positions of the shared tokens and by parity sketches.
 6. Candidates are verified on the whole sets.
 
 Defined cases: texts with fewer words than a shingle are one shingle, the whole sequence; null texts and texts without words have an empty set,
@@ -46,6 +47,16 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 ROWS = 2000
 
 
+#: 64-bit words of a parity sketch.
+WORDS = 16
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of hashes: whether an odd number of them falls on each of its bits."""
+    odd = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 class _Hashes(dict):
     """The 64-bit hash of each word; emptied when large."""
 
@@ -100,6 +111,15 @@ class Join:
         """The number B of token groups for sets of n tokens: about a quarter of the prefix, and less than linked sets share."""
         return 1 << max(0, min(self.prefix(n) // 4, _ceil(self.num * n, self.den) - 1).bit_length() - 1)
 
+    def may_link(self, n: str, m: str, x: str, y: str) -> str:
+        """The SQL condition that sets of n and m tokens with sketches x and y may link: by their sizes, and by how many tokens one has and the other hasn't.
+
+        Each bit where the sketches differ is such a token at least.
+        """
+        differ = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(WORDS))
+        sizes = f"{self.num} * greatest({n}, {m}) <= {self.den} * least({n}, {m})"
+        return f"{sizes} AND (cast({n} + {m} as bigint) - ({differ})) * {self.den + self.num} >= {2 * self.num} * cast({n} + {m} as bigint)"
+
     def spreads(self, n: int) -> list[int]:
         """Every B that n or a partner of n may have."""
         low, high = self.spread(max(1, _ceil(self.num * n, self.den))), self.spread(self.den * n // self.num)
@@ -256,11 +276,14 @@ def _index(join: Join):
             m = [len(k) for k, _ in got]
             keys, far = (np.concatenate(c) for c in zip(*got))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.repeat(ids, m)), pa.array(np.repeat(sizes, m)), pa.array(far.astype(np.int32))],
-                names=["key", "id", "n", "far"],
+                [
+                    pa.array(keys), pa.array(np.repeat(ids, m)), pa.array(np.repeat(sizes, m)), pa.array(far.astype(np.int32)),
+                    b.column(3).take(pa.array(np.repeat(np.arange(len(m)), m))),
+                ],
+                names=["key", "id", "n", "far", "bits"],
             )
 
-    return run, "key long, id long, n int, far int"
+    return run, "key long, id long, n int, far int, bits array<bigint>"
 
 
 def _verify(spark: SparkSession, join: Join, pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -296,24 +319,31 @@ def _merge(
     spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame | None, links: list[DataFrame], sets: DataFrame, enough: str,
     central: bool, few: int = 20,
 ):
-    """Compare each class with one of another component, round by round; returns what entries still hold several components, and the components.
+    """Compare classes with others of other components, round by round; returns what entries still hold several components, and the components.
 
-    entries: key, id, n, far (and weight if the first round goes by it). A comparison needs as many shared entries c as `enough` says. Rounds end when less than one comparison in `few` links.
+    entries: key, id, n, far, bits (and weight if the first round goes by it). In each round an entry has one leader, and each class is verified against the leader that it may
+    be most like, by sketches, of those it shares as many entries c with as `enough` says. Rounds end when one gives less than a link for `few` comparisons, its own or the first round's.
     """
-    held = entries
+    held, begun = entries, None
+    columns = ["key", "id", "n", "far", "bits"]
     for turn in itertools.count():
         named = held.withColumn("comp", F.col("id")) if comp is None else _named(held, comp)
-        weight = F.col("weight") if central and not turn else F.xxhash64("id", F.lit(turn))
+        weight = F.col("weight") if central and not turn else F.xxhash64("id", "key", F.lit(turn))
         lead = named.groupBy("key").agg(
-            F.min(F.struct(weight.alias("w"), "id", "n", "far", "comp")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min(F.struct(weight.alias("w"), "id", "n", "far", "comp", "bits")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
         ).where("lo <> hi")
-        lead = lead.select("key", F.col("l.id").alias("b"), F.col("l.n").alias("m"), F.col("l.far").alias("far_b"), F.col("l.comp").alias("comp_b"))
-        met = materialise(spark, named.join(lead, "key").select("key", "id", "n", "far", "comp", "b", "m", "far_b", "comp_b"), "met")
+        lead = lead.select(
+            "key", F.col("l.id").alias("b"), F.col("l.n").alias("m"), F.col("l.far").alias("far_b"), F.col("l.comp").alias("comp_b"),
+            F.col("l.bits").alias("bits_b"),
+        )
+        mixed = named.join(lead, "key").withColumn("may", F.expr(f"comp <> comp_b AND m <= far AND n <= far_b AND {join.may_link('n', 'm', 'bits', 'bits_b')}"))
+        alike = F.when(F.col("may"), F.expr("-(" + " + ".join(f"bit_count(bits[{i}] ^ bits_b[{i}])" for i in range(WORDS)) + ") / (n + m)"))
+        met = materialise(spark, mixed.select(*columns, "b", alike.alias("alike")), "met")
         if turn:
             drop_table(spark, held)
-        held = met.select("key", "id", "n", "far")
-        fits = met.where(f"comp <> comp_b AND m <= far AND n <= far_b AND {join.num} * greatest(n, m) <= {join.den} * least(n, m)")
-        pairs = fits.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(enough).groupBy("a").agg(F.max(F.struct("c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+        held = met.select(*columns)
+        pairs = met.where("alike IS NOT NULL").groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("c"), F.first("n").alias("n"), F.max("alike").alias("alike"))
+        pairs = pairs.where(enough).groupBy("a").agg(F.max(F.struct("alike", "c", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
         pairs = materialise(spark, pairs, "pairs")
         tried = rows_of(spark, pairs)
         if not tried:
@@ -327,7 +357,8 @@ def _merge(
             old, comp = comp, partly(spark, _all(links), "components")
             if old is not None:
                 drop_table(spark, old)
-        if found * few < tried:
+        begun = tried if begun is None else begun
+        if found * few < max(tried, begun):
             return held, comp
 
 
@@ -375,14 +406,17 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
             if b.num_rows:
                 got = [shingle_set(t, join.width) for t in texts(b)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2)],
-                    names=["id", "n", "toks", "weight"],
+                    [
+                        b.column(0), pa.array([len(g) for g in got], pa.int32()), pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64())), b.column(2),
+                        pa.array([parity(g) for g in got], pa.list_(pa.int64())),
+                    ],
+                    names=["id", "n", "toks", "weight", "bits"],
                 )
 
     texts_of = id_filter(spark, src.select("row", "who", "text"), live, "row").join(live, ["row", "who"]).dropDuplicates(["row", "who"])
     # a leader has fewest tokens of its own, then most copies: what near copies were made from, rather than one of them
     texts_of = texts_of.select("id", "text", F.expr("own * 1048576 - size").alias("weight"))
-    first = materialise(spark, texts_of.mapInArrow(lean(whole), "id long, n int, toks array<bigint>, weight long"), "live-sets", ROWS)
+    first = materialise(spark, texts_of.mapInArrow(lean(whole), "id long, n int, toks array<bigint>, weight long, bits array<bigint>"), "live-sets", ROWS)
     # the same count over all tokens of the classes left
     total = first.agg(F.sum("n").cast("long")).first()[0] or 0
     run, schema = _all_asks(groups(total, 1_500_000))
@@ -396,7 +430,7 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     # any order of tokens serves for merging: the standard prefix by hash
     quick = sets.select(
         "id", "n", "weight", F.explode(F.expr(f"slice(toks, 1, least({join.sketch}, {prefix_sql}))")).alias("key"),
-        F.expr(f"cast({join.den} * n div {join.num} as int)").alias("far"),
+        F.expr(f"cast({join.den} * n div {join.num} as int)").alias("far"), "bits",
     )
     links: list[DataFrame] = []
     held, comp = _merge(spark, join, quick, None, links, sets, f"4 * c >= least({join.sketch}, {prefix_sql})", True)
@@ -410,7 +444,7 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     ).where("lo <> hi").select("tok", F.col("df").cast("int").alias("df"))
     ordered = flat.select("tok", "id").join(df, "tok").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "tok"))).alias("rest"))
     run, schema = _index(join)
-    index = materialise(spark, ordered.join(sets.select("id", "n"), "id").select("id", "n", "rest").mapInArrow(lean(run), schema), "index", ROWS)
+    index = materialise(spark, ordered.join(sets.select("id", "n", "bits"), "id").select("id", "n", "rest", "bits").mapInArrow(lean(run), schema), "index", ROWS)
     finished(spark, flat)
 
     held, comp = _merge(spark, join, index, comp, links, sets, "c > 0", False)
@@ -425,11 +459,11 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     h = F.xxhash64("id")
     name = F.xxhash64(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit(1), "id")), F.min("id"), F.max("id"))
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), name.alias("list")).where("lo <> hi").select("key", "lo", "list")
-    lists = held.join(mixed, "key").groupBy("list", "lo", "id").agg(F.max("far").alias("far"), F.first("n").alias("n"), F.first("comp").alias("comp"))
+    lists = held.join(mixed, "key").groupBy("list", "lo", "id").agg(F.max("far").alias("far"), F.first("n").alias("n"), F.first("comp").alias("comp"), F.first("bits").alias("bits"))
     lists = materialise(spark, lists, "lists")
-    x = lists.where("comp <> lo").select("list", "lo", F.col("id").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"))
-    y = lists.select("list", "lo", F.col("id").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"))
-    rest = x.join(y, ["list", "lo"]).where(f"ca <> cb AND m <= fa AND n <= fb AND {join.num} * greatest(n, m) <= {join.den} * least(n, m)")
+    x = lists.where("comp <> lo").select("list", "lo", F.col("id").alias("a"), "n", F.col("far").alias("fa"), F.col("comp").alias("ca"), "bits")
+    y = lists.select("list", "lo", F.col("id").alias("b"), F.col("n").alias("m"), F.col("far").alias("fb"), F.col("comp").alias("cb"), F.col("bits").alias("bits_b"))
+    rest = x.join(y, ["list", "lo"]).where(f"ca <> cb AND m <= fa AND n <= fb AND {join.may_link('n', 'm', 'bits', 'bits_b')}")
     rest = materialise(spark, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if rows_of(spark, rest):
         # links inside a component add nothing: a node and its root stand for those found so far
