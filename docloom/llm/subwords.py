@@ -117,7 +117,7 @@ class WordEncoder:
             memo.room()
             self.base.room()
             ws = t.lower().replace("\n", " ").split(" ")
-            new = set(ws).difference(memo)
+            new = [w for w in set(ws) if w not in memo]
             for w in new:
                 self._learn(w)
             out.append(np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u2"))

@@ -263,7 +263,7 @@ class Unigram:
         memo, base = self.memo, self.base
         memo.room()
         parts = self._parts(t)
-        new = set(parts).difference(memo)
+        new = [w for w in set(parts) if w not in memo]
         for w in new:
             base.room()
             memo.put(w, self._part(w))
