@@ -587,7 +587,7 @@ def test_parity_sketches_never_rule_out_a_link(spark):
         a = rng.integers(0, 2**63, n, dtype=np.int64).view(np.uint64)
         b = np.concatenate([a[: int(rng.integers(n // 2, n + 1))], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 1)), dtype=np.int64).view(np.uint64)])
         x, y, same = jaccard_join.parity(a), jaccard_join.parity(b), len(np.intersect1d(a, b))
-        assert int(np.bitwise_count(x ^ y).sum()) <= len(a) + len(b) - 2 * same
+        assert int(np.bitwise_count((x ^ y).view(np.uint64)).sum()) <= len(a) + len(b) - 2 * same
         rows.append((len(a), len(b), x.tolist(), y.tolist(), 100 * same >= 80 * (len(a) + len(b) - same)))
     df = spark.createDataFrame(rows, "n int, m int, x array<bigint>, y array<bigint>, links boolean")
     got = df.select("links", F.expr(join.may_link("n", "m", "x", "y")).alias("may")).collect()
