@@ -303,9 +303,9 @@ def _verify(spark: SparkSession, join: Join, pairs: DataFrame, sets: DataFrame)
                 at = pa.array(keep)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], names=["a", "b"])
 
-    def side(end: str, toks: str) -> DataFrame:
-        return id_filter(spark, sets.select("id", "toks"), pairs.select(F.col(end).alias("id")), "id").select(F.col("id").alias(end), F.col("toks").alias(toks))
-
+    ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    kept = id_filter(spark, sets.select("id", "toks"), ends, "id")
+    side = lambda end, toks: kept.select(F.col("id").alias(end), F.col("toks").alias(toks))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(lean(run), "a long, b long")
 
@@ -317,7 +317,7 @@ def _named(entries: DataFrame, comp: DataFrame) -> DataFrame:
 
 def _merge(
     spark: SparkSession, join: Join, entries: DataFrame, comp: DataFrame | None, links: list[DataFrame], sets: DataFrame, enough: str,
-    central: bool, few: int = 20,
+    central: bool, few: int = 5,
 ):
     """Compare classes with others of other components, round by round; returns what entries still hold several components, and the components.
 
@@ -449,12 +449,8 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
 
     held, comp = _merge(spark, join, index, comp, links, sets, "c > 0", False)
     finished(spark, index)
-    if links:
-        comp = components(spark, _all(links), "components")
-    if comp is not None:
-        held = _named(held, comp)
-    else:
-        held = held.withColumn("comp", F.col("id"))
+    last = held
+    held = _named(held, comp) if comp is not None else held.withColumn("comp", F.col("id"))
     # keys held by the same classes ask for the same pairs: they become one list, named by its classes (a name shared by chance only adds candidates)
     h = F.xxhash64("id")
     name = F.xxhash64(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64(F.lit(1), "id")), F.min("id"), F.max("id"))
@@ -466,12 +462,10 @@ def link(spark: SparkSession, docs: DataFrame, join: Join) -> DataFrame:
     rest = x.join(y, ["list", "lo"]).where(f"ca <> cb AND m <= fa AND n <= fb AND {join.may_link('n', 'm', 'bits', 'bits_b')}")
     rest = materialise(spark, rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     if rows_of(spark, rest):
-        # links inside a component add nothing: a node and its root stand for those found so far
-        more = [materialise(spark, _verify(spark, join, rest, sets), "new-links", ROWS)]
-        more += [comp.select(F.col("node").alias("a"), F.col("root").alias("b"))] if comp is not None else []
-        comp = components(spark, _all(more), "components")
-        links.append(more[0])
-    finished(spark, lists, rest, sets, live, *links)
+        links.append(materialise(spark, _verify(spark, join, rest, sets), "new-links", ROWS))
+    if links:
+        comp = components(spark, _all(links), "components")
+    finished(spark, last, lists, rest, sets, live, *links)
     low = classes.select("id", "node", "low", "row", "who")
     low = _named(low, comp) if comp is not None else low.withColumn("comp", F.col("id"))
     best = low.groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("x"), "low", "who", "row")).alias("best"))
