@@ -219,7 +219,7 @@ class Memo(dict):
 
     longest = 256
 
-    def __init__(self, most: int = 64 << 20):
+    def __init__(self, most: int = 96 << 20):
         self.most, self.held = most, 0
 
     def put(self, piece: str, ids: bytes) -> bytes:

@@ -97,14 +97,26 @@ class WordEncoder:
     def _whole(self, t: str) -> np.ndarray:
         return np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u2")
 
-    def _learn(self, w: str) -> None:
+    def _learn(self, new: list[str]) -> None:
         """A comma or full stop after a letter or digit is a word of its own."""
-        parts = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalnum() else (w,)
-        for x in parts:
-            if x not in self.base:
-                self.base.put(x, self._word(x))
-        self.memo.put(w, b"".join(map(self.base.__getitem__, parts)))
-        self.base.drop_long((w, w[:-1]))
+        memo, base, held, more = self.memo, self.base, 0, 0
+        for w in new:
+            x, y = (w[:-1], w[-1]) if w[-1:] in (",", ".") and w[-2:-1].isalnum() else (w, "")
+            ids = base.get(x)
+            if ids is None:
+                base[x] = ids = self._word(x)
+                more += 4 * len(x) + len(ids) + 200
+            if y:
+                if y not in base:
+                    base.put(y, self._word(y))
+                ids += base[y]
+            memo[w] = ids
+            held += 4 * len(w) + len(ids) + 200
+        memo.held += held
+        base.held += more
+        for w in new:
+            if len(w) > base.longest:
+                base.drop_long((w, w[:-1]))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each whole text, as unsigned 16-bit numbers."""
@@ -118,8 +130,8 @@ class WordEncoder:
             self.base.room()
             ws = t.lower().replace("\n", " ").split(" ")
             new = [w for w in set(ws) if w not in memo]
-            for w in new:
-                self._learn(w)
+            if new:
+                self._learn(new)
             out.append(np.frombuffer(b"".join(map(memo.__getitem__, ws)), "<u2"))
             memo.drop_long(new)
         return out
