@@ -259,12 +259,13 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
     # leading words on both sides of a border between partitions: two rows a partition at most
     edges = near.where("edge").groupBy("lead").agg(F.countDistinct("row", "p").alias("c")).where("c > 1").select("lead")
     twins = near.where("twin").unionByName(near.where("edge AND NOT twin").join(edges, "lead").select(near.columns)).drop("head", "twin", "edge")
-    twins = twins.distinct()  # repeated rows
+    # a stretch that stands often in one text is one row with all its places; repeated rows count once
+    twins = twins.groupBy("lead", "whole", "doc_id", "row", "back", "n").agg(F.collect_set("p").alias("places"))
     twins = materialise(spark, twins, "candidates")
     finished(spark, near)
 
-    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", "p")
-    kinds = twins.groupBy("lead", "whole", "back", "n").agg(F.count("*").alias("c"), F.min(place).alias("at"))
+    place = F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row", F.array_min("places").alias("p"))
+    kinds = twins.groupBy("lead", "whole", "back", "n").agg(F.sum(F.size("places")).alias("c"), F.min(place).alias("at"))
     kinds = materialise(spark, kinds, "kinds")
     mixed = kinds.groupBy("lead").agg(F.count("*").alias("k")).where("k > 1").select("lead")
     ask = kinds.join(mixed, "lead").select("lead", "whole", "c", "at", "back", "n", F.col("at.row").alias("row"), F.col("at.p").alias("p"))
@@ -289,26 +290,27 @@ def repeats(spark: SparkSession, docs: DataFrame, shape: Shape | None = None) ->
         "lead", "whole", ones.alias("dup"), ones.alias("own"), F.col("at.doc_id").alias("src"), F.col("at").alias("head"),
     )
     verdict = plain.unionByName(masks)
-    head = (F.col("head.row") == F.col("row")) & (F.col("head.p") == F.col("p"))
+    # one verdict a stretch, so a row of twins meets one at most
     marked = twins.join(verdict, ["lead", "whole"]).select(
-        "doc_id", "row", (F.col("p") - F.col("back")).alias("s"), "dup",
-        F.when(head, F.col("own")).otherwise(F.lit(0).cast("long")).alias("own"), "src",
+        "doc_id", "row", "places", "back", "dup", "own", "src", F.when(F.col("head.row") == F.col("row"), F.col("head.p")).alias("head"),
     )
-    per = marked.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("s", "dup", "own", "src"))).alias("m"))
+    per = marked.groupBy("row", "doc_id").agg(F.collect_list(F.struct("places", "back", "dup", "own", "src", "head")).alias("m"))
 
     def spans(batches: Batches) -> Batches:
         for b in batches:
             out = []
             for row, doc, m in zip(*(b.column(i).to_pylist() for i in range(3))):
+                at = sorted(((p - x["back"], p == x["head"], x) for x in m for p in x["places"]), key=lambda y: y[0])
                 for first in (True, False):
                     now = None
-                    for x in m:
-                        mask = x["dup"] & (x["own"] if first else ~x["own"])
+                    for begin, head, x in at:
+                        own = x["own"] if head else 0
+                        mask = x["dup"] & (own if first else ~own)
                         mask &= (1 << 64) - 1
                         while mask:
                             i = (mask & -mask).bit_length() - 1
                             mask &= mask - 1
-                            s = x["s"] + i
+                            s = begin + i
                             if now and s <= now[1]:
                                 now[1] = s + shape.words
                             else:

@@ -519,6 +519,28 @@ def test_repeats(spark, docs, rows, empty):
     assert set(w for _, t in left for w in WORD.findall(t or "")) == set(whole)  # one copy of everything stays
 
 
+def test_repeats_inside_a_text(spark, monkeypatch):
+    """What is joined doesn't grow with how often a passage stands in one text; every place is found."""
+    made, write = {}, suffix_dedup.materialise
+
+    def spy(spark, df, name, *more):
+        t = write(spark, df, name, *more)
+        made[name] = t.count()
+        return t
+
+    monkeypatch.setattr(suffix_dedup, "materialise", spy)
+    line, counts = " ".join(f"p{i}" for i in range(70)), []
+    for times in (10, 40):
+        rows = [(i, f"a{i} b{i} " + " ".join([line] * times) + f" c{i}") for i in range(4)] + [(None, " ".join([line] * times)), (0, "other text")]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+        text = {r.row: r.text for r in df.select(F.xxhash64("doc_id", "text").alias("row"), "text").collect()}
+        got = suffix_dedup.repeats(spark, df).collect()
+        assert {(r.doc_id, text[r.row], i) for r in got for i in range(r.start, r.end)} == slow_repeats(rows)
+        assert [(r.doc_id, r.start) for r in got if r["first"]] == [(0, 2)]
+        counts.append(made["candidates"])
+    assert counts[0] == counts[1]
+
+
 def test_cut():
     assert suffix_dedup.cut(b" a b\n c  d ", [(1, 3)]) == b" a d " and suffix_dedup.cut(b"a b", [(0, 2)]) == b"" and suffix_dedup.cut(b"a b c", [(0, 1), (2, 3)]) == b"b "
 
