@@ -1,7 +1,8 @@
 """Cosine search (JN1, JN2, WIN3): exact, in two stages.
 
 Each batch of the store is multiplied with a block of query vectors and gives its best k a query; only those rows, without contents, are
-shuffled and ranked. Queries are taken in blocks of bounded bytes, so what the driver and a task hold doesn't grow with their number.
+shuffled and ranked. Queries are taken in blocks of bounded bytes, and a block meets a batch in slices of both, so what the driver and a task hold doesn't grow
+with the number of queries or rows.
 """
 
 from __future__ import annotations
@@ -24,16 +25,30 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
 
 
-def _nearest(q: np.ndarray, m: np.ndarray, place: np.ndarray, k: int, some: int = 256):
-    """(query, row, distance) of the k rows of m nearest to each query, ties by `place`; `some` queries at a time bound the memory. Zero vectors are left out."""
+def _nearest(q: np.ndarray, vectors: pa.ListArray, place: np.ndarray, k: int, some: int = 256, cells: int = 1 << 18):
+    """(query, row, distance) of the k rows of `vectors` nearest to each query, ties by `place`. Zero vectors are left out.
+
+    `some` queries meet a slice of rows (k at least) at a time, of at most `cells` distances and numbers, and keep one number for each row found:
+    beside the places, what is held depends neither on the number of rows nor, but for single rows, on how long vectors are.
+    """
+    none, row_of = np.iinfo(np.int64).max, np.argsort(place)
+    step = max(k, cells // max(some, q.shape[1]))
     for i in range(0, len(q), some):
-        d = np.round(1 - q[i : i + some] @ m.T, 6) + 0.0  # no negative zeros
-        gone = np.isnan(d)
-        order = (np.rint(np.where(gone, 0, d) * 1e6).astype(np.int64) << 32) + place
-        order[gone] = np.iinfo(np.int64).max
-        best = np.argpartition(order, k - 1, axis=1)[:, :k] if k < len(m) else np.broadcast_to(np.arange(len(m)), order.shape)
-        ok = ~np.take_along_axis(gone, best, 1)
-        yield np.nonzero(ok)[0] + i, best[ok], np.take_along_axis(d, best, 1)[ok]
+        best = np.empty((len(q[i : i + some]), 0), np.int64)
+        for j in range(0, len(vectors), step):
+            part = vectors.slice(j, step)
+            d = q[i : i + some] @ _unit(np.asarray(part.flatten(), float).reshape(len(part), -1)).T
+            d = np.rint(np.multiply(np.subtract(1, d, out=d), 1e6, out=d), out=d)
+            gone = np.isnan(d)
+            d[gone] = 0
+            order = (d.astype(np.int64) << 32) + place[j : j + step]
+            order[gone] = none
+            best = np.concatenate([best, order], axis=1)
+            if best.shape[1] > k:
+                best = np.partition(best, k - 1, axis=1)[:, :k]
+        ok = best != none
+        found = best[ok]
+        yield np.nonzero(ok)[0] + i, row_of[found & 0xFFFFFFFF], (found >> 32) / 1e6
 
 
 def knn(
@@ -58,14 +73,14 @@ def knn(
             names, q = shared.value
             names = pa.array(names, to_q)
             for b in batches:
-                b = b.filter(pa.compute.is_valid(b.column(1)))
+                if b.column(1).null_count:
+                    b = b.filter(pa.compute.is_valid(b.column(1)))
                 if not b.num_rows:
                     continue
                 keys = b.column(0)
-                m = _unit(np.asarray(b.column(1).flatten(), float).reshape(b.num_rows, -1))
                 place = np.empty(b.num_rows, np.int64)
                 place[np.array(pa.compute.sort_indices(keys))] = np.arange(b.num_rows)
-                for at, row, d in _nearest(q, m, place, k):
+                for at, row, d in _nearest(q, b.column(1), place, k):
                     yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), keys.take(pa.array(row)), pa.array(d)], names=["q", "key", "distance"])
 
         return store.select(key, vector).mapInArrow(run, schema)

@@ -42,7 +42,9 @@ def grid(candidates: DataFrame, cases: DataFrame, top_k=TOP_K, min_score=MIN_SCO
 
     A cell takes the first max(2k, 25) candidates, those that reach the score, the k best of them, and the rank of the first relevant one.
     """
-    cells = candidates.sparkSession.createDataFrame([(k, s) for k in top_k for s in min_score], "top_k int, min_score double")
+    each = [F.struct(F.lit(k).cast("int").alias("top_k"), F.lit(s).cast("double").alias("min_score")) for k in top_k for s in min_score]
+    listed = F.array(*each).cast("array<struct<top_k: int, min_score: double>>")
+    cells = candidates.sparkSession.range(0, 1, 1, 1).select(F.inline(listed))  # rows from Python would take Python workers of their own
     own = candidates.join(F.broadcast(cells), (F.col("rank") <= F.greatest(2 * F.col("top_k"), F.lit(25))) & (F.col("score") >= F.col("min_score")))
     place = F.row_number().over(Window.partitionBy("query_id", "top_k", "min_score").orderBy(F.desc("score"), "rank"))
     hits = own.withColumn("place", place).where((F.col("place") <= F.col("top_k")) & F.col("relevant")).groupBy("query_id", "top_k", "min_score").agg(F.min("place").alias("first"))

@@ -1,8 +1,10 @@
 """Literal cases for rules that the fixture tables don't reach, and the file, store, chat and stream paths."""
 
 import json
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +138,60 @@ def test_knn(spark):
     assert d == 0.707107
 
 
+def searched(spark, keys, vectors, asked, k):
+    """(query, key, distance) rows of the search's first stage for one batch, and the most bytes that Python's and numpy's allocations came to."""
+    runs = []
+
+    class Store:
+        dtypes = [("chunk_id", "bigint"), ("embedding", "array<float>")]
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            runs.append(run)
+            return spark.createDataFrame([], schema)
+
+    knn(spark, Store(), asked, k)
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.FixedSizeListArray.from_arrays(vectors.ravel(), vectors.shape[1]).cast(pa.list_(pa.float32()))], names=["chunk_id", "embedding"])
+    list(runs[0](iter([batch.slice(0, 10)])))
+    tracemalloc.start()
+    try:
+        found = list(runs[0](iter([batch])))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    return [tuple(r.values()) for b in found for r in b.to_pylist()], most
+
+
+def test_knn_memory(spark):
+    r = np.random.default_rng(5)
+    asked = lambda n, width: spark.createDataFrame([(i, r.normal(size=width).tolist()) for i in range(n)], "query_id int, embedding array<float>")
+    q = asked(260, 16)
+    used = {n: searched(spark, np.arange(n), r.normal(size=(n, 16)).astype("f4"), q, 30)[1] for n in (2_000, 20_000)}
+    assert used[20_000] < 2 * used[2_000], used
+    q = asked(3, 2048)
+    used = {n: searched(spark, np.arange(n), r.normal(size=(n, 2048)).astype("f4"), q, 5)[1] for n in (500, 4_000)}
+    assert used[4_000] < 2 * used[500], used
+
+
+@pytest.mark.parametrize("k", [1, 30, 1500, 5000])
+def test_knn_slices(spark, k):
+    """Rows of several slices, equal ones in different slices, in no order of their keys; a zero vector."""
+    r = np.random.default_rng(6)
+    m = np.tile(r.integers(-2, 3, (900, 6)), (4, 1)).astype("f4")
+    m[7] = 0
+    keys = r.permutation(len(m))
+    q = r.integers(-2, 3, (300, 6)) + 0.5
+    got, _ = searched(spark, keys, m, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id int, embedding array<float>"), k)
+    want = []
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    fine = m.any(1)
+    for i, d in enumerate(np.round(1 - unit(q) @ unit(m[fine].astype(float)).T, 6)):
+        want += [(i, key, x) for x, key in sorted(zip((d + 0.0).tolist(), keys[fine].tolist()))[:k]]
+    assert sorted(got) == sorted(want)
+
+
 def test_store(spark, tmp_path):
     st = store.VectorStore(spark, str(tmp_path))
     assert st.read().count() == 0 and store.documents_of(st.read()).count() == 0
@@ -485,6 +541,14 @@ def test_evaluation(spark):
     assert evaluate.grid(c.limit(0), cases).first().mrr == 0.0
 
 
+def test_grid_without_python_rows(spark):
+    c = spark.range(3).selectExpr("id AS query_id", "id", "1 AS rank", "0.4D AS score", "id = 1 AS relevant")
+    cells = evaluate.grid(c, c.select("query_id"))
+    assert "LogicalRDD" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.top_k, r.min_score): r.recall for r in cells.collect()} == {(k, x): 33.333333 if x == 0.3 else 0.0 for k in (5, 10, 15) for x in (0.3, 0.5)}
+    assert evaluate.grid(c, c.select("query_id"), top_k=()).count() == 0
+
+
 def test_pages_fold_keeps_empty(spark):
     p = spark.createDataFrame([("d", 2, " b "), ("d", 1, "a"), ("d", 3, None)], "k string, page_num int, text string")
     assert pages.fold(p, "k").first().asDict() == {"k": "d", "text": "a\n\nb", "page_count": 3}
